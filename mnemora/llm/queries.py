@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html_text, mixing, quality, simhash
+from . import chat, embedding_dedup, html_text, mixing, packing, quality, simhash, token_rollup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
@@ -36,5 +40,27 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op3_html_text": op3_html_text, "op4_chat_format": op4_chat_format, "op5_mixing": op5_mixing, "op6_quality": op6_quality}
-ORACLES: dict[str, str] = {"op4_chat_format": chat.ORACLE, "op5_mixing": mixing.ORACLE}
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_rollup.count_documents(_table(spark, sf_dir, "documents"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {
+    "op1_embedding_dedup": op1_embedding_dedup,
+    "op2_simhash": op2_simhash,
+    "op3_html_text": op3_html_text,
+    "op4_chat_format": op4_chat_format,
+    "op5_mixing": op5_mixing,
+    "op6_quality": op6_quality,
+    "op8_packing": op8_packing,
+    "op9_token_counts": op9_token_counts,
+    "op10_warc": op10_warc,
+}
+ORACLES: dict[str, str] = {"op1_embedding_dedup": embedding_dedup.ORACLE, "op4_chat_format": chat.ORACLE, "op5_mixing": mixing.ORACLE, "op10_warc": warc.ORACLE}
