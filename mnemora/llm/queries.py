@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embedding_dedup, html_text, mixing, packing, quality, simhash, token_rollup, warc
+from . import chat, embedding_dedup, html_text, licenses, mixing, packing, quality, simhash, token_rollup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(_table(spark, sf_dir, "documents"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summarise(licenses.scan(_table(spark, sf_dir, "documents")))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES = {
     "op4_chat_format": op4_chat_format,
     "op5_mixing": op5_mixing,
     "op6_quality": op6_quality,
+    "op7_licenses": op7_licenses,
     "op8_packing": op8_packing,
     "op9_token_counts": op9_token_counts,
     "op10_warc": op10_warc,

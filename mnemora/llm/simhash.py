@@ -49,13 +49,14 @@ def simhash64(text: str | None, shingle: int = SHINGLE) -> int:
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fp = pa.array([simhash64(x.as_py()) for x in batch.column(2)], pa.int64())
-        yield pa.record_batch([batch.column(0), batch.column(1), fp], names=["doc_id", "text_hash", "fp"])
+        yield pa.record_batch([batch.column(0), batch.column(1), fp], names=["doc_id", "row_hash", "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``(doc_id, text_hash, fp)`` per row, from whole texts; other columns aren't read."""
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    return picked.mapInArrow(_hashed, "doc_id long, text_hash long, fp long")
+def fingerprints(docs: DataFrame, row_hash: Column | None = None) -> DataFrame:
+    """``(doc_id, row_hash, fp)`` per row, from whole texts. ``row_hash`` tells rows of one doc_id apart: by default a hash of the text."""
+    hashed = F.xxhash64("text") if row_hash is None else row_hash
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), hashed.alias("row_hash"), F.col("text").cast("string").alias("text"))
+    return picked.mapInArrow(_hashed, "doc_id long, row_hash long, fp long")
 
 
 def _half(fp: Column, which: int) -> Column:
@@ -77,20 +78,20 @@ def hamming_links(distinct: DataFrame, fp: str = "fp", max_bits: int = MAX_BITS)
     return probes.join(table, "key").where(near).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: ``doc_id, text_hash, fp, root, component_id``.
+def near_duplicates(docs: DataFrame, row_hash: Column | None = None) -> DataFrame:
+    """One row per document: ``doc_id, row_hash, fp, root, component_id``.
 
     ``root`` names the component by a fingerprint, ``component_id`` by its smallest doc_id (null
     where all its members have a null doc_id). Null and blank texts have fingerprint zero and are
     linked like any other; repeated rows stay repeated; an empty table gives no rows.
     """
-    marked = cut(fingerprints(docs))
+    marked = cut(fingerprints(docs, row_hash))
     members = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     linked = connected_components(hamming_links(members), "a", "b").withColumnRenamed("node", "fp")
     rooted = members.join(linked, "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     ends = cut(rooted.join(named, "root").select("fp", "root", "component_id"))
-    return marked.join(ends, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+    return marked.join(ends, "fp").select("doc_id", "row_hash", "fp", "root", "component_id")
 
 
 def hex_fingerprint(fp: Column) -> Column:
@@ -101,11 +102,13 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (all its columns) with one document of each near-duplicate group.
 
     The document with the smallest doc_id stays; rows without a doc_id stay only where their group
-    has none with one, and rows repeated in full stay once.
+    has none with one. Of rows that share that doc_id, the one with the smallest hash of all its
+    columns stays (maps, which have no hash, aside), and rows repeated in full stay once.
     """
-    found = near_duplicates(docs)
-    order = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("i"), F.col("text_hash").alias("h"))
-    kept = found.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.i").alias("__m_id"), F.col("k.h").alias("__m_hash"))
-    own = docs.withColumn("__m_hash", F.xxhash64("text"))
-    same = own["doc_id"].cast("long").eqNullSafe(kept["__m_id"]) & (own["__m_hash"] == kept["__m_hash"])
+    whole = F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()))
+    found = near_duplicates(docs, whole)
+    order = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("i"), F.col("row_hash").alias("h"))
+    kept = found.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.i").alias("__m_id"), F.col("k.h").alias("__m_kept"))
+    own = docs.withColumn("__m_hash", whole)
+    same = own["doc_id"].cast("long").eqNullSafe(kept["__m_id"]) & (own["__m_hash"] == kept["__m_kept"])
     return own.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__m_hash"]).drop("__m_hash")
