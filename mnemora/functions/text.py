@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,9 +16,24 @@ def _strings(values: Sequence[str]) -> Column:
     return F.array(*map(F.lit, values)).cast(STRINGS) if values else F.array().cast(STRINGS)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """Lower-case words between white space (Unicode's included); null and blank texts have none."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\s+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\s+"), "")
+
+
+def _stripped(text: Column, punctuation: str, shortest: int) -> Column:
+    """Words as a set, without punctuation at their ends and without those shorter than ``shortest``.
+
+    Two expressions over the whole text in place of a lambda per word: they stay in generated code.
+    """
+    marks = "".join(f"\\{c}" for c in punctuation)
+    bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), rf"(?U)(?<!\S)[{marks}]+|[{marks}]+(?!\S)", "")
+    return F.split(F.regexp_replace(bare, rf"(?U)(?<!\S)\S{{1,{shortest - 1}}}(?!\S)", ""), r"(?U)\s+")
 
 
 def tokens(text: Column, strict_bytes: bool = False) -> Column:
@@ -26,15 +41,16 @@ def tokens(text: Column, strict_bytes: bool = False) -> Column:
 
     ``strict_bytes`` measures length in bytes.
     """
-    size = F.octet_length if strict_bytes else F.length
-    stripped = F.transform(words(text), lambda w: F.btrim(w, F.lit(vocab.PUNCTUATION)))
-    return F.array_except(F.filter(stripped, lambda w: size(w) > 2), _strings(vocab.STOP_WORDS))
+    dropped = _strings(["", *vocab.STOP_WORDS])
+    if strict_bytes:
+        stripped = F.transform(words(text), lambda w: F.btrim(w, F.lit(vocab.PUNCTUATION)))
+        return F.array_except(F.filter(stripped, lambda w: F.octet_length(w) > 2), dropped)
+    return F.array_except(_stripped(text, vocab.PUNCTUATION, 3), dropped)
 
 
 def short_tokens(text: Column) -> Column:
     """Content words of the expansion step: another stop list, dashes and slashes stripped as well."""
-    stripped = F.transform(words(text), lambda w: F.btrim(w, F.lit(vocab.SHORT_PUNCTUATION)))
-    return F.array_except(F.filter(stripped, lambda w: F.length(w) >= 3), _strings(vocab.SHORT_STOP_WORDS))
+    return F.array_except(_stripped(text, vocab.SHORT_PUNCTUATION, 3), _strings(["", *vocab.SHORT_STOP_WORDS]))
 
 
 def plain_tokens(text: Column) -> Column:
@@ -42,10 +58,23 @@ def plain_tokens(text: Column) -> Column:
     return F.array_distinct(words(text))
 
 
+def query_tokens(query: str, kind: str = "content") -> Column:
+    """The tokens of a literal query as a constant: ``content``, ``short`` or ``plain``, by the rules above."""
+    found = query.lower().split()
+    if kind != "plain":
+        marks, stop = (vocab.PUNCTUATION, vocab.STOP_WORDS) if kind == "content" else (vocab.SHORT_PUNCTUATION, vocab.SHORT_STOP_WORDS)
+        found = [w for w in (w.strip(marks) for w in found) if len(w) > 2 and w not in stop]
+    return _strings(list(dict.fromkeys(found)))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Shared members over all members of two sets; 0 where either is empty or null."""
-    shared = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), shared / (F.size(a) + F.size(b) - shared)).otherwise(F.lit(0.0))
+
+    def share(s: Column) -> Column:
+        return F.when((s["a"] > 0) & (s["b"] > 0), s["n"] / (s["a"] + s["b"] - s["n"])).otherwise(F.lit(0.0))
+
+    counted = lambda s: F.struct(F.size(s["a"]).alias("a"), F.size(s["b"]).alias("b"), F.size(F.array_intersect(s["a"], s["b"])).alias("n"))
+    return bound(bound(F.struct(a.alias("a"), b.alias("b")), counted), share)
 
 
 def tag_set(tags: Column) -> Column:
@@ -147,9 +176,12 @@ def distilled_facts(text: Column) -> Column:
         rest = F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1)))
         return F.aggregate(rest, start, add, lambda s: F.concat(s["done"], F.array(s["open"])))
 
+    def every(texts: Column, separator: str) -> Column:
+        return F.flatten(F.transform(texts, lambda c: clauses(c, separator)))
+
     split = sentences
     for separator in vocab.CLAUSE_SEPARATORS:
-        split = F.flatten(F.transform(split, lambda c, s=separator: clauses(c, s)))
+        split = every(split, separator)
     return F.filter(F.transform(split, normalised_fact), lambda f: f.isNotNull())
 
 

@@ -86,7 +86,7 @@ def relevance(context: Column, kind: Column, confidence: Column, timestamp: Colu
     weight = F.when(kind == "pattern", 1.5).when(kind == "insight", 1.3).otherwise(1.0)
     age = F.greatest(F.floor((now.cast("double") - timestamp.cast("double")) / 86400), F.lit(0))
     fresh = F.greatest(F.lit(0.7), 1.0 - age / 90.0 * 0.3)
-    return F.least(T.jaccard(T.tokens(context), T.tokens(F.lit(query))) * weight * (0.5 + confidence * 0.5) * fresh, F.lit(1.0))
+    return F.least(T.jaccard(T.tokens(context), T.query_tokens(query)) * weight * (0.5 + confidence * 0.5) * fresh, F.lit(1.0))
 
 
 def retrieve_relevant(df: DataFrame, query: str, now: Column, top_k: int = 10, min_similarity: float = 0.0, order: Sequence[str] = ("experience_id",)) -> DataFrame:

@@ -62,9 +62,13 @@ def detect_supersedes(facts: DataFrame, candidates: int = vocab.SUPERSEDE_CANDID
     index = F.coalesce(_json("metadata", "temporal_index").try_cast("bigint"), F.lit(0))
     ready = facts.select("node_id", "agent_id", "concept", "content", index.alias("idx")).where("idx > 0")
     new = ready.select(F.col("node_id").alias("new_id"), "agent_id", F.col("concept").alias("new_concept"), F.col("content").alias("new_content"), F.col("idx").alias("new_idx"), F.get(T.words(F.col("concept")), F.lit(0)).alias("key"))
+    # which old concepts contain which keys: every piece of a concept that is as long as a key may be, joined on equality
     keys = new.select("agent_id", "key").where("key is not null").distinct()
-    concepts = ready.select("agent_id", "concept").distinct()
-    inside = concepts.join(keys, "agent_id").where(F.contains(F.lower("concept"), F.col("key")))  # distinct concepts only
+    sizes = keys.agg(F.min(F.length("key")).alias("lo"), F.max(F.length("key")).alias("hi"))  # one row
+    concepts = ready.select("agent_id", "concept", F.lower("concept").alias("low")).distinct().crossJoin(F.broadcast(sizes)).where(F.length("low") >= F.col("lo"))
+    cuts = concepts.select("agent_id", "concept", "low", F.explode(F.sequence("lo", F.least("hi", F.length("low")))).alias("size"))
+    pieces = cuts.select("agent_id", "concept", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("low") - F.col("size") + 1), lambda i: F.substring(F.col("low"), i, F.col("size"))))).alias("key"))
+    inside = pieces.join(keys, ["agent_id", "key"]).distinct()
     old = ready.join(inside, ["agent_id", "concept"]).select(F.col("node_id").alias("old_id"), "agent_id", F.col("concept").alias("old_concept"), F.col("content").alias("old_content"), F.col("idx").alias("old_idx"), "key")
     # a new fact's closest predecessors: the list of the last few old facts, carried along in time order
     item = F.struct(F.col("old_id"), F.col("old_concept"), F.col("old_content"), F.col("old_idx"))

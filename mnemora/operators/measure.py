@@ -10,7 +10,7 @@ from ..functions import text as T
 
 def precision_at_k(ranked: DataFrame, query: str, k: int) -> DataFrame:
     """One row ``precision``: share of the first ``k`` of ``ranked`` (pos, concept, content) with a word of the query; null without words or rows."""
-    asked = F.filter(T.plain_tokens(F.lit(query)), lambda w: w != "*")
+    asked = F.filter(T.query_tokens(query, "plain"), lambda w: w != "*")
     top = ranked.orderBy("pos").limit(max(k, 0))
     said = T.plain_tokens(F.concat_ws(" ", "concept", "content"))
     return top.select(F.arrays_overlap(asked, said).cast("double").alias("hit"), asked.alias("q")).agg(F.avg(F.when(F.size("q") > 0, F.col("hit"))).alias("precision"))

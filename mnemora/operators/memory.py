@@ -55,11 +55,11 @@ def prune_sensory(sensory: DataFrame, now: Column) -> tuple[DataFrame, DataFrame
     return sensory.where(~expired), sensory.agg(F.count_if(expired).alias("n_pruned"))
 
 
-def attend_to_sensory(sensory: DataFrame, attended: DataFrame, now: Column, next_index: Column = F.lit(1)) -> tuple[DataFrame, DataFrame]:
+def attend_to_sensory(sensory: DataFrame, attended: DataFrame, now: Column, next_index: int = 1) -> tuple[DataFrame, DataFrame]:
     """``(episodes, ATTENDED_TO edges)`` of unexpired items; ``attended``: node_id, reason."""
     found = sensory.where(F.col("expires_at") > now).join(attended.select("node_id", "reason"), "node_id")
     content = F.concat(F.lit("["), "modality", F.lit("] "), "raw_data", F.when(F.coalesce("reason", F.lit("")) != "", F.concat(F.lit(" -- attended: "), "reason")).otherwise(""))
-    episodes = found.select(F.concat(F.lit("epi_"), "node_id").alias("node_id"), "agent_id", content.alias("content"), F.lit("sensory").alias("source_label"), (next_index + F.row_number().over(Window.partitionBy("agent_id").orderBy("observation_order", "node_id")) - 1).cast("long").alias("temporal_index"))
+    episodes = found.select(F.concat(F.lit("epi_"), "node_id").alias("node_id"), "agent_id", content.alias("content"), F.lit("sensory").alias("source_label"), (F.lit(next_index) + F.row_number().over(Window.partitionBy("agent_id").orderBy("observation_order", "node_id")) - 1).cast("long").alias("temporal_index"))
     edges = found.select(F.col("node_id").alias("source_id"), F.concat(F.lit("epi_"), "node_id").alias("target_id"), F.lit("ATTENDED_TO").alias("edge_type"), now.alias("attended_at"))
     return episodes, edges
 

@@ -24,7 +24,7 @@ class RecallOptions:
 
 
 def keyword_jaccard(text: Column, query: str) -> Column:
-    return T.jaccard(T.plain_tokens(text), T.plain_tokens(F.lit(query)))
+    return T.jaccard(T.plain_tokens(text), T.query_tokens(query, "plain"))
 
 
 def exp_decay(age_seconds: Column, half_life_seconds: float) -> Column:
@@ -133,7 +133,7 @@ def rerank(facts: DataFrame, query: str, top_k: int = 0) -> DataFrame:
 
     ``temporal`` marks facts with a place in time: they gain 0.15 where the query asks about time.
     """
-    asked = T.tokens(F.lit(query))
+    asked = T.query_tokens(query)
     about_time = any(cue in query.lower() for cue in vocab.TEMPORAL_CUES)
     said = T.tokens(F.concat_ws(" ", "context", "outcome"))
     bonus = F.when(F.col("temporal") & (F.size(said) > 0), 0.15).otherwise(0.0) if about_time else F.lit(0.0)
@@ -148,7 +148,7 @@ def expand(facts: DataFrame, seeds: DataFrame, edges: DataFrame, query: str, lim
     A seed scores by rank and keywords, a neighbour by edge and keywords, both times confidence.
     Of several edges to a neighbour that of the first seed counts.
     """
-    asked = T.short_tokens(F.lit(query))
+    asked = T.query_tokens(query, "short")
     kw = lambda empty: F.when(F.size(asked) > 0, T.jaccard(asked, T.short_tokens(F.concat_ws(" ", "concept", "content")))).otherwise(empty)
     n = F.count("*").over(Window.partitionBy(F.lit(1)))
     own = seeds.withColumn("n", n).join(facts, "node_id")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocab
+from ..plans.lineage import materialise
 
 
 def prepared(facts: DataFrame) -> DataFrame:
@@ -58,7 +59,7 @@ def candidates(ready: DataFrame, threshold: float) -> DataFrame:
 
 def similar_pairs(facts: DataFrame, threshold: float = vocab.LINK_THRESHOLD) -> DataFrame:
     """``(a, b, score)``, a < b: all pairs of an agent's facts with composite similarity of ``threshold`` and more."""
-    ready = prepared(facts)
+    ready = materialise(prepared(facts))  # read four times below; texts are tokenised once
     side = lambda x: ready.select(F.col("node_id").alias(x), F.struct("w", "t", "c").alias(f"{x}_s"))
     both = candidates(ready, threshold).join(side("a"), "a").join(side("b"), "b")
     scored = both.select("a", "b", T.composite(*(T.jaccard(F.col(f"a_s.{k}"), F.col(f"b_s.{k}")) for k in "wtc")).alias("score"))

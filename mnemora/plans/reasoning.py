@@ -11,7 +11,7 @@ from ..operators import creative, dedup, experiences, federation, graphstore, hi
 from ..streaming import intent_log
 from . import sql as S
 from .registry import query
-from .stores import AT, edges_of, nodes_of
+from .stores import at, edges_of, nodes_of
 from .tables import Views
 
 ASKED = "the of is worthless river"
@@ -154,20 +154,20 @@ _NEAR = f"""t AS (SELECT node_id, agent_id, {S.jaccard(S.plain("concept || ' ' |
 @query("o84_recall_facts_ranked", f"""WITH {_NEAR} SELECT f.node_id, round({S.jaccard(S.plain("concept || ' ' || content"), S.plain(S.text(ASKED)))} + 0.7 * confidence + 0.5 * importance + 0.4 * pow(2, -{_age('coalesce(last_accessed_at, created_at)')} / 604800.0) + 0.3 * ln(1 + usage_count) + 0.6 * coalesce(g.best, 0), 6) AS score
     FROM facts f LEFT JOIN g USING (node_id) WHERE NOT archived AND superseded_by IS NULL AND confidence >= 0.1 ORDER BY score DESC, confidence DESC, f.node_id LIMIT 40""")
 def _(v: Views) -> DataFrame:
-    found = recall.recall_facts(v.facts, ASKED, AT, recall.RecallOptions(limit=40, min_confidence=0.1), v.links, v.episodes)
+    found = recall.recall_facts(v.facts, ASKED, at(), recall.RecallOptions(limit=40, min_confidence=0.1), v.links, v.episodes)
     return found.select("node_id", F.round("score", 6).alias("score"))
 
 
 @query("o85_recall_episodes_ranked", f"""WITH t AS (SELECT node_id, agent_id, {S.jaccard(S.plain("concept || ' ' || content"), S.plain(S.text(ASKED)))} AS s FROM facts), g AS (SELECT e.node_id, max(s) AS best FROM links l JOIN t ON t.node_id = source_id JOIN episodes e ON e.node_id = target_id AND e.agent_id = t.agent_id WHERE edge_type = 'DERIVES_FROM' GROUP BY e.node_id)
     SELECT e.node_id, round({S.jaccard(S.plain('content'), S.plain(S.text(ASKED)))} + 0.4 * pow(2, -{_age('created_at')} / 604800.0) + 0.6 * coalesce(best, 0), 6) AS score FROM episodes e LEFT JOIN g USING (node_id) WHERE NOT compressed ORDER BY score DESC, temporal_index DESC, e.node_id LIMIT 30""")
 def _(v: Views) -> DataFrame:
-    found = recall.recall_episodes(v.episodes, ASKED, AT, recall.RecallOptions(limit=30), v.links, v.facts)
+    found = recall.recall_episodes(v.episodes, ASKED, at(), recall.RecallOptions(limit=30), v.links, v.facts)
     return found.select("node_id", F.round("score", 6).alias("score"))
 
 
 @query("o86_recall_primitives", f"SELECT node_id, round({S.jaccard(S.plain('content'), S.plain(S.text(ASKED)))}, 6) AS jaccard, round(pow(2, -{_age('created_at')} / 86400.0), 6) AS decay, round(ln(1 + usage_count), 6) AS boost FROM facts")
 def _(v: Views) -> DataFrame:
-    age = F.greatest(F.unix_timestamp(AT) - F.unix_timestamp("created_at"), F.lit(0)).cast("double")
+    age = F.greatest(F.unix_timestamp(at()) - F.unix_timestamp("created_at"), F.lit(0)).cast("double")
     return v.facts.select("node_id", F.round(recall.keyword_jaccard(F.col("content"), ASKED), 6).alias("jaccard"), F.round(recall.exp_decay(age, 86400.0), 6).alias("decay"), F.round(recall.usage_boost(F.col("usage_count")), 6).alias("boost"))
 
 
@@ -175,7 +175,7 @@ def _(v: Views) -> DataFrame:
     FROM facts WHERE NOT archived AND superseded_by IS NULL ORDER BY round(0.7 * confidence + 0.5 * importance + 0.3 * ln(1 + usage_count), 12) DESC, confidence DESC, node_id LIMIT 25""")
 def _(v: Views) -> DataFrame:
     options = recall.RecallOptions(limit=25, half_life_seconds=0.0, max_graph_hops=0)
-    return recall.recall_facts(v.facts, "zzz", AT, options).select("node_id", F.array_join("reasons", "; ").alias("reasons"))
+    return recall.recall_facts(v.facts, "zzz", at(), options).select("node_id", F.array_join("reasons", "; ").alias("reasons"))
 
 
 @query("o88_graph_proximity", f"WITH {_NEAR} SELECT node_id, round(best, 6) AS best FROM g WHERE best > 0")
@@ -189,7 +189,7 @@ def _(v: Views) -> DataFrame:
 @query("o89_retrieve_relevant", f"""SELECT experience_id, round(least({S.jaccard(S.tokens('context'), S.tokens(S.text('error of user number 12')))} * CASE experience_type WHEN 'pattern' THEN 1.5 WHEN 'insight' THEN 1.3 ELSE 1 END * (0.5 + confidence * 0.5) * greatest(0.7, 1 - greatest(floor((epoch(TIMESTAMP '2026-01-01') - epoch(timestamp)) / 86400), 0) / 90 * 0.3), 1), 6) AS relevance
     FROM experiences ORDER BY relevance DESC, experience_id LIMIT 50""")
 def _(v: Views) -> DataFrame:
-    return experiences.retrieve_relevant(v.experiences, "error of user number 12", AT, 50).select("experience_id", F.round("relevance", 6).alias("relevance"))
+    return experiences.retrieve_relevant(v.experiences, "error of user number 12", at(), 50).select("experience_id", F.round("relevance", 6).alias("relevance"))
 
 
 @query("o90_rerank", f"""SELECT node_id, round(len(list_intersect({S.tokens("concept || ' ' || content")}, {S.tokens(S.text('when was the worthless river changed'))})) / len({S.tokens(S.text('when was the worthless river changed'))}) + CASE WHEN usage_count > 3 AND len({S.tokens("concept || ' ' || content")}) > 0 THEN 0.15 ELSE 0 END, 6) AS score FROM facts ORDER BY score DESC, node_id LIMIT 100""")
@@ -458,7 +458,7 @@ def _(v: Views) -> DataFrame:
     SELECT node_id, CASE WHEN NOT cand THEN 'keep' WHEN NOT archived THEN 'archive' WHEN importance >= 0.3 AND node_id IN (SELECT source_id FROM links WHERE edge_type = 'DERIVES_FROM') THEN 'keep' ELSE 'delete' END AS action FROM c""")
 def _(v: Views) -> DataFrame:
     policy = dedup.RetentionPolicy(0.3, 10, {"src3": 1_000_000}, True)
-    return dedup.retention(v.facts, graphstore.provenance(v.links), AT, policy)
+    return dedup.retention(v.facts, graphstore.provenance(v.links), at(), policy)
 
 
 def _intents(v: Views) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -14,11 +14,17 @@ from . import sql as S
 from .registry import query
 from .tables import NOW, Views
 
-AT = F.lit(NOW).cast("timestamp")
-MID = F.lit("2024-01-15 00:00:00").cast("timestamp")
 WORDS = "the deploy worthless river"
 
 
+def at(moment: str = NOW) -> Column:
+    return F.lit(moment).cast("timestamp")
+
+
+def mid() -> Column:
+    return at("2024-01-15 00:00:00")
+
+
 def nodes_of(v: Views) -> DataFrame:
     n = v.nodes
     named = F.map_filter(F.create_map(F.lit("name"), "name", F.lit("balance"), "balance", F.lit("segment"), "segment"), lambda _, x: x.isNotNull())
@@ -172,7 +178,7 @@ def _(v: Views) -> DataFrame:
 @query("o25_record_sensory", "SELECT node_id, 7 + row_number() OVER (PARTITION BY agent_id ORDER BY node_id) AS observation_order FROM sensory")
 def _(v: Views) -> DataFrame:
     before = v.sensory.select("agent_id").distinct().withColumn("observation_order", F.lit(7))
-    return memory.record_sensory(before, v.sensory, AT).select("node_id", "observation_order")
+    return memory.record_sensory(before, v.sensory, at()).select("node_id", "observation_order")
 
 
 @query("o26_working_slots", "SELECT node_id, task_id FROM (SELECT *, row_number() OVER (PARTITION BY agent_id, task_id ORDER BY relevance DESC, created_at DESC, node_id) AS n FROM working) WHERE n <= 20")
@@ -202,7 +208,7 @@ def _(v: Views) -> DataFrame:
 
 @query("o31_record_access", "SELECT f.node_id, f.usage_count + count(l.target_id) AS usage_count FROM facts f LEFT JOIN links l ON l.target_id = f.node_id AND l.edge_type = 'SIMILAR_TO' GROUP BY f.node_id, f.usage_count")
 def _(v: Views) -> DataFrame:
-    accesses = v.links.where("edge_type = 'SIMILAR_TO'").select(F.col("target_id").alias("node_id"), AT.alias("accessed_at"))
+    accesses = v.links.where("edge_type = 'SIMILAR_TO'").select(F.col("target_id").alias("node_id"), at().alias("accessed_at"))
     return memory.record_access(v.facts, accesses).select("node_id", "usage_count")
 
 
@@ -254,12 +260,12 @@ def _(v: Views) -> DataFrame:
 
 @query("o44_recent_sensory", "SELECT node_id FROM sensory WHERE expires_at > TIMESTAMP '2024-01-15 00:00:00' ORDER BY observation_order DESC, node_id LIMIT 100")
 def _(v: Views) -> DataFrame:
-    return memory.recent_sensory(v.sensory, MID, 100).select("node_id")
+    return memory.recent_sensory(v.sensory, mid(), 100).select("node_id")
 
 
 @query("o45_prune_sensory", "SELECT count(*) FILTER (expires_at <= TIMESTAMP '2024-01-15 00:00:00') AS n_pruned FROM sensory")
 def _(v: Views) -> DataFrame:
-    return memory.prune_sensory(v.sensory, MID)[1]
+    return memory.prune_sensory(v.sensory, mid())[1]
 
 
 @query("o46_get_working", "SELECT node_id, relevance FROM working WHERE task_id = 'u3' ORDER BY relevance DESC, node_id")
@@ -304,7 +310,7 @@ def _(v: Views) -> DataFrame:
 
 @query("o61_compress_and_expire", "SELECT count(*) AS n, count(*) FILTER (compressed OR timestamp < TIMESTAMP '2024-01-20' - INTERVAL 9 DAY) AS n_compressed FROM experiences WHERE timestamp >= TIMESTAMP '2024-01-20' - INTERVAL 15 DAY")
 def _(v: Views) -> DataFrame:
-    kept = experiences.compress_and_expire(v.experiences, F.lit("2024-01-20").cast("timestamp"), 9, 15)
+    kept = experiences.compress_and_expire(v.experiences, at("2024-01-20 00:00:00"), 9, 15)
     return kept.agg(F.count("*").alias("n"), F.count_if("compressed").alias("n_compressed"))
 
 
@@ -379,7 +385,7 @@ def _(v: Views) -> DataFrame:
 @query("o114_attend_to_sensory", "SELECT 'epi_' || node_id AS node_id, '[' || modality || '] ' || raw_data || ' -- attended: loud' AS content FROM sensory WHERE expires_at > TIMESTAMP '2024-01-15 00:00:00' AND modality = 'error'")
 def _(v: Views) -> DataFrame:
     attended = v.sensory.where("modality = 'error'").select("node_id", F.lit("loud").alias("reason"))
-    return memory.attend_to_sensory(v.sensory, attended, MID)[0].select("node_id", "content")
+    return memory.attend_to_sensory(v.sensory, attended, mid())[0].select("node_id", "content")
 
 
 @query("o8_experience_ids", "SELECT experience_id, 'exp_' || strftime(timestamp, '%Y%m%d_%H%M%S') || '_' || substr(sha256(context || outcome || strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%f')), 1, 16) AS derived_id FROM experiences")
