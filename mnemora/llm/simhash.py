@@ -108,7 +108,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     whole = F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()))
     found = near_duplicates(docs, whole)
     order = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("i"), F.col("row_hash").alias("h"))
-    kept = found.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.i").alias("__m_id"), F.col("k.h").alias("__m_kept"))
-    own = docs.withColumn("__m_hash", whole)
-    same = own["doc_id"].cast("long").eqNullSafe(kept["__m_id"]) & (own["__m_hash"] == kept["__m_kept"])
-    return own.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__m_hash"]).drop("__m_hash")
+    kept = found.groupBy("root").agg(F.min(order).alias("k"))
+    key = lambda i, h: F.concat_ws(" ", F.coalesce(i.cast("string"), F.lit("null")), h.cast("string"))
+    own = docs.withColumn("__m_key", key(F.col("doc_id").cast("long"), whole))
+    # one key for both steps, null ids included: texts are shuffled once
+    return own.join(kept.select(key(F.col("k.i"), F.col("k.h")).alias("__m_key")), "__m_key", "left_semi").dropDuplicates(["__m_key"]).select(*docs.columns)
