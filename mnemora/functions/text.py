@@ -91,16 +91,24 @@ def similarity(content_a: Column, concept_a: Column, tags_a: Column, content_b:
     return composite(jaccard(tokens(content_a), tokens(content_b)), jaccard(tag_set(tags_a), tag_set(tags_b)), jaccard(tokens(concept_a), tokens(concept_b)))
 
 
-def numeric_contradiction(content_a: Column, content_b: Column, concept_a: Column, concept_b: Column) -> Column:
-    """``"a, b vs c"``: numbers that only one of two texts on a shared concept has; null if there is none."""
+def numbers(text: Column) -> Column:
+    """The numbers in a text, each once."""
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(vocab.NUMBER_PATTERN), 0))
+
+
+def conflicting_numbers(numbers_a: Column, numbers_b: Column, concept_a: Column, concept_b: Column) -> Column:
+    """``"a, b vs c"``: numbers that only one of two facts on a shared concept has; null if there is none."""
     common = F.filter(F.array_intersect(words(concept_a), words(concept_b)), lambda w: F.length(w) > 2)
-    number = lambda c: F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(vocab.NUMBER_PATTERN), 0))
-    own = lambda x, y: F.array_sort(F.array_except(number(x), number(y)))
-    only_a, only_b = own(content_a, content_b), own(content_b, content_a)
+    only_a, only_b = F.array_sort(F.array_except(numbers_a, numbers_b)), F.array_sort(F.array_except(numbers_b, numbers_a))
     stated = F.concat(F.array_join(only_a, ", "), F.lit(" vs "), F.array_join(only_b, ", "))
     return F.when((F.size(common) > 0) & (F.size(only_a) > 0) & (F.size(only_b) > 0), stated)
 
 
+def numeric_contradiction(content_a: Column, content_b: Column, concept_a: Column, concept_b: Column) -> Column:
+    """:func:`conflicting_numbers` of two texts."""
+    return conflicting_numbers(numbers(content_a), numbers(content_b), concept_a, concept_b)
+
+
 def negation_contradiction(a: Column, b: Column) -> Column:
     """True if two texts share two words and exactly one of them negates."""
     left, right, no = plain_tokens(a), plain_tokens(b), _strings(vocab.NEGATION_WORDS)

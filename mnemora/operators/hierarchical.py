@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocab
+from ..plans.lineage import materialise
 from . import similarity
 from .memory import keywords
 
@@ -60,8 +61,9 @@ def detect_supersedes(facts: DataFrame, candidates: int = vocab.SUPERSEDE_CANDID
     fact meets all others.
     """
     index = F.coalesce(_json("metadata", "temporal_index").try_cast("bigint"), F.lit(0))
-    ready = facts.select("node_id", "agent_id", "concept", "content", index.alias("idx")).where("idx > 0")
-    new = ready.select(F.col("node_id").alias("new_id"), "agent_id", F.col("concept").alias("new_concept"), F.col("content").alias("new_content"), F.col("idx").alias("new_idx"), F.get(T.words(F.col("concept")), F.lit(0)).alias("key"))
+    # of a text only its numbers matter: they are taken once, and no text is shuffled
+    ready = materialise(facts.select("node_id", "agent_id", "concept", T.numbers(F.col("content")).alias("numbers"), index.alias("idx")).where("idx > 0"))
+    new = ready.select(F.col("node_id").alias("new_id"), "agent_id", F.col("concept").alias("new_concept"), F.col("numbers").alias("new_numbers"), F.col("idx").alias("new_idx"), F.get(T.words(F.col("concept")), F.lit(0)).alias("key"))
     # which old concepts contain which keys: every piece of a concept that is as long as a key may be, joined on equality
     keys = new.select("agent_id", "key").where("key is not null").distinct()
     sizes = keys.agg(F.min(F.length("key")).alias("lo"), F.max(F.length("key")).alias("hi"))  # one row
@@ -69,16 +71,16 @@ def detect_supersedes(facts: DataFrame, candidates: int = vocab.SUPERSEDE_CANDID
     cuts = concepts.select("agent_id", "concept", "low", F.explode(F.sequence("lo", F.least("hi", F.length("low")))).alias("size"))
     pieces = cuts.select("agent_id", "concept", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("low") - F.col("size") + 1), lambda i: F.substring(F.col("low"), i, F.col("size"))))).alias("key"))
     inside = pieces.join(keys, ["agent_id", "key"]).distinct()
-    old = ready.join(inside, ["agent_id", "concept"]).select(F.col("node_id").alias("old_id"), "agent_id", F.col("concept").alias("old_concept"), F.col("content").alias("old_content"), F.col("idx").alias("old_idx"), "key")
+    old = ready.join(inside, ["agent_id", "concept"]).select(F.col("node_id").alias("old_id"), "agent_id", F.col("concept").alias("old_concept"), F.col("numbers").alias("old_numbers"), F.col("idx").alias("old_idx"), "key")
     # a new fact's closest predecessors: the list of the last few old facts, carried along in time order
-    item = F.struct(F.col("old_id"), F.col("old_concept"), F.col("old_content"), F.col("old_idx"))
-    line = old.select("agent_id", "key", F.col("old_idx").alias("at"), F.lit(1).alias("kind"), item.alias("item"), F.lit(None).cast("struct<new_id:string,new_concept:string,new_content:string,new_idx:bigint>").alias("asks"), F.col("old_id").alias("tie"))
-    asks = new.where("key is not null").select("agent_id", "key", F.col("new_idx").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast(line.schema["item"].dataType).alias("item"), F.struct("new_id", "new_concept", "new_content", "new_idx").alias("asks"), F.col("new_id").alias("tie"))
+    item = F.struct(F.col("old_id"), F.col("old_concept"), F.col("old_numbers"), F.col("old_idx"))
+    line = old.select("agent_id", "key", F.col("old_idx").alias("at"), F.lit(1).alias("kind"), item.alias("item"), F.lit(None).cast("struct<new_id:string,new_concept:string,new_numbers:array<string>,new_idx:bigint>").alias("asks"), F.col("old_id").alias("tie"))
+    asks = new.where("key is not null").select("agent_id", "key", F.col("new_idx").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast(line.schema["item"].dataType).alias("item"), F.struct("new_id", "new_concept", "new_numbers", "new_idx").alias("asks"), F.col("new_id").alias("tie"))
     order = Window.partitionBy("agent_id", "key").orderBy("at", "kind", "tie")
     counted = line.unionByName(asks).withColumn("pos", F.count("item").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     asked = counted.where("asks is not null and pos > 0").select("agent_id", "key", "asks", F.explode(F.sequence(F.greatest(F.col("pos") - candidates + 1, F.lit(1)), "pos")).alias("pos"))
     found = asked.join(counted.where("item is not null").select("agent_id", "key", "pos", "item"), ["agent_id", "key", "pos"])
-    conflict = T.numeric_contradiction(F.col("asks.new_content"), F.col("item.old_content"), F.col("asks.new_concept"), F.col("item.old_concept"))
+    conflict = T.conflicting_numbers(F.col("asks.new_numbers"), F.col("item.old_numbers"), F.col("asks.new_concept"), F.col("item.old_concept"))
     delta = F.concat(F.lit("index "), F.col("item.old_idx").cast("string"), F.lit(" -> "), F.col("asks.new_idx").cast("string"))
     named = found.select(F.col("asks.new_id").alias("new_id"), F.col("item.old_id").alias("old_id"), conflict.alias("conflict"), delta.alias("temporal_delta"))
     return named.where("conflict is not null").select("new_id", "old_id", F.concat(F.lit("Updated values: "), "conflict").alias("reason"), "temporal_delta").distinct()

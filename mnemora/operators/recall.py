@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocab
+from ..plans.lineage import materialise
 
 
 @dataclass(frozen=True)
@@ -39,15 +40,16 @@ def _age(at: Column, now: Column) -> Column:
     return F.greatest(F.unix_timestamp(now) - F.unix_timestamp(at), F.lit(0)).cast("double")
 
 
-def graph_scores(texts: DataFrame, links: DataFrame, query: str, max_hops: int) -> DataFrame:
+def graph_scores(scored: DataFrame, links: DataFrame, max_hops: int) -> DataFrame:
     """``(node_id, best, via, hop)``: the best neighbour's keyword similarity over its distance.
 
-    ``texts``: node_id, agent_id, text of everything that may be a neighbour; ``links``: here, there,
-    edge_type as they may be walked. Neighbours of other agents neither score nor are walked through.
-    Only neighbours that share a word with the query score, so the last hop joins those alone.
+    ``scored``: node_id, agent_id and keyword similarity ``s`` of everything that may be a neighbour;
+    ``links``: here, there, edge_type as they may be walked. Neighbours of other agents neither score nor
+    are walked through. Only neighbours that share a word with the query score, so the last hop joins
+    those alone.
     """
     hops = min(max_hops, vocab.MAX_GRAPH_HOPS)
-    own = texts.select("node_id", "agent_id", keyword_jaccard(F.col("text"), query).alias("s"))
+    own = scored.select("node_id", "agent_id", "s")
     walk = links.join(own.select(F.col("node_id").alias("here"), F.col("agent_id").alias("here_agent")), "here").join(own.select(F.col("node_id").alias("there"), F.col("agent_id").alias("there_agent"), "s"), "there")
     walk = walk.where("here_agent = there_agent and here <> there").select("here", "there", "edge_type", "s")
     if hops == 1:
@@ -69,23 +71,22 @@ def graph_scores(texts: DataFrame, links: DataFrame, query: str, max_hops: int)
     return best.select("node_id", "g.best", "g.via", "g.hop")
 
 
-def _ranked(rows: DataFrame, query: str, now: Column, options: RecallOptions, proximity: DataFrame | None, ties: Sequence[Column]) -> DataFrame:
-    """Scores rows with columns text, conf, imp, at, uses; adds ``score`` and ``reasons``."""
+def _ranked(rows: DataFrame, now: Column, options: RecallOptions, proximity: DataFrame | None, ties: Sequence[Column]) -> DataFrame:
+    """Ranks rows with columns node_id, s, conf, imp, at, uses; adds ``score`` and ``reasons``."""
     w = options.weights
-    if proximity is not None and options.max_graph_hops > 0:
+    if proximity is not None:
         rows = rows.join(proximity, "node_id", "left")
     else:
         rows = rows.withColumns({"best": F.lit(0.0), "via": F.lit(None).cast("string"), "hop": F.lit(None).cast("int")})
-    age = _age(F.col("at"), now)
-    rows = rows.withColumns({"jaccard": keyword_jaccard(F.col("text"), query), "age": age})
+    rows = rows.withColumn("age", _age(F.col("at"), now))
     terms = {
-        "text": w["text"] * F.col("jaccard"), "confidence": w["confidence"] * F.col("conf"), "importance": w["importance"] * F.col("imp"),
+        "text": w["text"] * F.col("s"), "confidence": w["confidence"] * F.col("conf"), "importance": w["importance"] * F.col("imp"),
         "recency": w["recency"] * exp_decay(F.col("age"), options.half_life_seconds), "usage": w["usage"] * usage_boost(F.col("uses")), "graph": w["graph"] * F.coalesce("best", F.lit(0.0)),
     }
     rows = rows.withColumns({f"t_{k}": F.coalesce(v, F.lit(0.0)) for k, v in terms.items()})
     four = lambda c: F.format_string("%.4f", c)
     details = {
-        "text": F.concat(F.lit(" (jaccard="), four(F.col("jaccard")), F.lit(")")), "confidence": F.lit(""), "importance": F.lit(""), "recency": F.concat(F.lit(" (age="), F.col("age").cast("long").cast("string"), F.lit("s)")),
+        "text": F.concat(F.lit(" (jaccard="), four(F.col("s")), F.lit(")")), "confidence": F.lit(""), "importance": F.lit(""), "recency": F.concat(F.lit(" (age="), F.col("age").cast("long").cast("string"), F.lit("s)")),
         "usage": F.concat(F.lit(" (n="), F.col("uses").cast("string"), F.lit(")")), "graph": F.concat(F.lit(" ("), "via", F.lit(" hop"), F.col("hop").cast("string"), F.lit(")")),
     }
     score = F.lit(0.0)
@@ -96,36 +97,55 @@ def _ranked(rows: DataFrame, query: str, now: Column, options: RecallOptions, pr
     return top.withColumn("reasons", F.when(F.size(reasons) > 0, reasons).otherwise(F.array(F.lit("baseline (no positive signals)"))))
 
 
+def _with_texts(top: DataFrame, table: DataFrame, columns: Sequence[str], ties: Sequence[Column]) -> DataFrame:
+    """The few ranked rows with columns of their table, which is scanned again for these ids alone."""
+    few = F.broadcast(top.select("node_id", "score", "reasons"))  # at most the limit asked for
+    return table.select("node_id", *columns).join(few, "node_id").orderBy(F.desc("score"), *ties)
+
+
+def _fact_text() -> Column:
+    return F.concat_ws(" ", "concept", "content")
+
+
 def recall_facts(facts: DataFrame, query: str, now: Column, options: RecallOptions = RecallOptions(), edges: DataFrame | None = None, episodes: DataFrame | None = None) -> DataFrame:
     """Facts by score, then confidence, then id: ``node_id, concept, content, confidence, score, reasons``.
 
-    Neighbours are similar facts (both ways) and the episodes that a fact derives from.
+    Neighbours are similar facts (both ways) and the episodes that a fact derives from. With a graph term
+    texts are compared once, into a narrow table of scores that all joins use.
     """
+    narrow = facts.select(
+        "node_id", "agent_id", keyword_jaccard(_fact_text(), query).alias("s"), "confidence", F.col("confidence").alias("conf"), F.coalesce("importance", "confidence").alias("imp"),
+        F.coalesce("last_accessed_at", "created_at").alias("at"), F.coalesce("usage_count", F.lit(0)).alias("uses"), F.coalesce("archived", F.lit(False)).alias("archived"), F.col("superseded_by").isNotNull().alias("superseded"),
+    )
     proximity = None
     if edges is not None and options.max_graph_hops > 0:
-        texts = facts.select("node_id", "agent_id", F.concat_ws(" ", "concept", "content").alias("text"))
+        narrow = materialise(narrow)
+        scored = narrow.select("node_id", "agent_id", "s")
         if episodes is not None:
-            texts = texts.unionAll(episodes.select("node_id", "agent_id", F.col("content").alias("text")))
+            scored = scored.unionAll(episodes.select("node_id", "agent_id", keyword_jaccard(F.col("content"), query)))
         similar = edges.where("edge_type = 'SIMILAR_TO'")
         links = similar.select(F.col("source_id").alias("here"), F.col("target_id").alias("there"), "edge_type").unionAll(similar.select(F.col("target_id").alias("here"), F.col("source_id").alias("there"), "edge_type"))
         links = links.unionAll(edges.where("edge_type = 'DERIVES_FROM'").select(F.col("source_id").alias("here"), F.col("target_id").alias("there"), "edge_type"))
-        proximity = graph_scores(texts, links, query, options.max_graph_hops)
-    kept = facts.where(F.col("confidence") >= options.min_confidence)
-    kept = kept if options.include_archived else kept.where(~F.coalesce("archived", F.lit(False)))
-    kept = kept if options.include_superseded else kept.where(F.col("superseded_by").isNull())
-    rows = kept.select("node_id", "concept", "content", "confidence", F.concat_ws(" ", "concept", "content").alias("text"), F.col("confidence").alias("conf"), F.coalesce("importance", "confidence").alias("imp"), F.coalesce("last_accessed_at", "created_at").alias("at"), F.coalesce("usage_count", F.lit(0)).alias("uses"))
-    return _ranked(rows, query, now, options, proximity, [F.desc("confidence"), F.col("node_id")]).select("node_id", "concept", "content", "confidence", "score", "reasons")
+        proximity = graph_scores(scored, links, options.max_graph_hops)
+    kept = narrow.where(F.col("confidence") >= options.min_confidence)
+    kept = kept if options.include_archived else kept.where(~F.col("archived"))
+    kept = kept if options.include_superseded else kept.where(~F.col("superseded"))
+    ties = [F.desc("confidence"), F.col("node_id")]
+    return _with_texts(_ranked(kept, now, options, proximity, ties), facts, ["concept", "content", "confidence"], ties).select("node_id", "concept", "content", "confidence", "score", "reasons")
 
 
 def recall_episodes(episodes: DataFrame, query: str, now: Column, options: RecallOptions = RecallOptions(), edges: DataFrame | None = None, facts: DataFrame | None = None) -> DataFrame:
     """Uncompressed episodes by score, then newest, then id; neighbours are the facts derived from them."""
+    narrow = episodes.select("node_id", "agent_id", "temporal_index", "compressed", keyword_jaccard(F.col("content"), query).alias("s"), F.lit(0.0).alias("conf"), F.lit(0.0).alias("imp"), F.col("created_at").alias("at"), F.lit(0).alias("uses"))
     proximity = None
     if edges is not None and facts is not None and options.max_graph_hops > 0:
-        texts = episodes.select("node_id", "agent_id", F.col("content").alias("text")).unionAll(facts.select("node_id", "agent_id", F.concat_ws(" ", "concept", "content").alias("text")))
+        narrow = materialise(narrow)
+        scored = narrow.select("node_id", "agent_id", "s").unionAll(facts.select("node_id", "agent_id", keyword_jaccard(_fact_text(), query)))
         links = edges.where("edge_type = 'DERIVES_FROM'").select(F.col("target_id").alias("here"), F.col("source_id").alias("there"), "edge_type")
-        proximity = graph_scores(texts, links, query, options.max_graph_hops)
-    rows = episodes.where(~F.col("compressed")).select("node_id", "content", "temporal_index", F.col("content").alias("text"), F.lit(0.0).alias("conf"), F.lit(0.0).alias("imp"), F.col("created_at").alias("at"), F.lit(0).alias("uses"))
-    return _ranked(rows, query, now, options, proximity, [F.desc("temporal_index"), F.col("node_id")]).select("node_id", "content", "temporal_index", "score", "reasons")
+        proximity = graph_scores(scored, links, options.max_graph_hops)
+    ties = [F.desc("temporal_index"), F.col("node_id")]
+    top = _ranked(narrow.where(~F.col("compressed")), now, options, proximity, ties)
+    return _with_texts(top, episodes, ["content", "temporal_index"], ties).select("node_id", "content", "temporal_index", "score", "reasons")
 
 
 def rerank(facts: DataFrame, query: str, top_k: int = 0) -> DataFrame:

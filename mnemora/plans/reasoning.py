@@ -180,10 +180,10 @@ def _(v: Views) -> DataFrame:
 
 @query("o88_graph_proximity", f"WITH {_NEAR} SELECT node_id, round(best, 6) AS best FROM g WHERE best > 0")
 def _(v: Views) -> DataFrame:
-    texts = v.facts.select("node_id", "agent_id", F.concat_ws(" ", "concept", "content").alias("text")).unionAll(v.episodes.select("node_id", "agent_id", "content"))
+    scored = v.facts.select("node_id", "agent_id", recall.keyword_jaccard(F.concat_ws(" ", "concept", "content"), ASKED).alias("s")).unionAll(v.episodes.select("node_id", "agent_id", recall.keyword_jaccard(F.col("content"), ASKED)))
     walked = v.links.where("edge_type in ('SIMILAR_TO', 'DERIVES_FROM')").select(F.col("source_id").alias("here"), F.col("target_id").alias("there"), "edge_type")
     walked = walked.unionAll(v.links.where("edge_type = 'SIMILAR_TO'").select("target_id", "source_id", "edge_type"))
-    return recall.graph_scores(texts, walked, ASKED, 1).select("node_id", F.round("best", 6).alias("best"))
+    return recall.graph_scores(scored, walked, 1).select("node_id", F.round("best", 6).alias("best"))
 
 
 @query("o89_retrieve_relevant", f"""SELECT experience_id, round(least({S.jaccard(S.tokens('context'), S.tokens(S.text('error of user number 12')))} * CASE experience_type WHEN 'pattern' THEN 1.5 WHEN 'insight' THEN 1.3 ELSE 1 END * (0.5 + confidence * 0.5) * greatest(0.7, 1 - greatest(floor((epoch(TIMESTAMP '2026-01-01') - epoch(timestamp)) / 86400), 0) / 90 * 0.3), 1), 6) AS relevance
