@@ -66,9 +66,13 @@ class Catalog:
             if schema is None:
                 raise MemoryCatalogError(f"unknown table: {table}")
             return self.spark.createDataFrame([], schema)
-        df = self.spark.read.option("mergeSchema", "true").parquet(self._path(table)) if self.backend == "parquet" else self.spark.table(table)
-        if schema is not None:  # additive columns: what older files lack is null
-            df = self.spark.createDataFrame([], schema).unionByName(df, allowMissingColumns=True)
+        if self.backend == "view":
+            df = self.spark.table(table)
+            df = df if schema is None else self.spark.createDataFrame([], schema).unionByName(df, allowMissingColumns=True)
+        elif schema is None:
+            df = self.spark.read.option("mergeSchema", "true").parquet(self._path(table))
+        else:  # the declared layout: what older files lack is null, and no footer is read to find out
+            df = self.spark.read.schema(schema).parquet(self._path(table))
         tenant = next((c for c in ("agent_id", "agent_name") if c in df.columns), None)
         return df if self.agent is None or tenant is None else df.where(F.col(tenant) == self.agent)
 
