@@ -9,7 +9,7 @@ exactly.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -26,11 +26,18 @@ def score(a: str = "a", b: str = "b") -> Column:
     return T.composite(T.jaccard(F.col(f"{a}.w"), F.col(f"{b}.w")), T.jaccard(F.col(f"{a}.t"), F.col(f"{b}.t")), T.jaccard(F.col(f"{a}.c"), F.col(f"{b}.c")))
 
 
-def _prefixes(tokens: DataFrame, least: float) -> DataFrame:
-    """``(agent_id, node_id, token)``: rarest tokens, as many as a partner with Jaccard ``least`` can't all lack."""
+def _ordered(ready: DataFrame) -> DataFrame:
+    """``(agent_id, node_id, c, ws)``: content tokens of every fact, its agent's rarest first. Materialised: prefixes of several lengths are cut from it."""
+    tokens = ready.select("agent_id", "node_id", F.explode("w").alias("token"))
     seen = tokens.groupBy("agent_id", "token").agg(F.count("*").alias("df"))
-    ranked = tokens.join(seen, ["agent_id", "token"]).withColumn("pos", F.row_number().over(Window.partitionBy("agent_id", "node_id").orderBy("df", "token")))
-    return ranked.where(F.col("pos") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1).select("agent_id", "node_id", "token", "size")
+    ranked = tokens.join(seen, ["agent_id", "token"]).groupBy("agent_id", "node_id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("r"))
+    return materialise(ranked.select("agent_id", "node_id", F.transform("r", lambda x: x["token"]).alias("ws")).join(ready.select("node_id", "c"), "node_id"))
+
+
+def _prefixes(ordered: DataFrame, least: float) -> DataFrame:
+    """``(agent_id, node_id, c, size, token)``: rarest tokens, as many as a partner with Jaccard ``least`` can't all lack."""
+    size = F.size("ws")
+    return ordered.select("agent_id", "node_id", "c", size.alias("size"), F.explode(F.slice("ws", 1, F.greatest(size - F.ceil(size * least - 1e-9) + 1, F.lit(0)).cast("int"))).alias("token"))
 
 
 def _meeting(prefixes: DataFrame, key: list[str], least: float) -> DataFrame:
@@ -49,11 +56,10 @@ def candidates(ready: DataFrame, threshold: float) -> DataFrame:
     near, far = (threshold - t - c) / w, (threshold - t) / w
     if near <= 0:
         raise ValueError(f"a threshold of {threshold} needs no common word; it must exceed {t + c}")
-    tokens = ready.select("agent_id", "node_id", F.size("w").alias("size"), F.explode("w").alias("token"))
-    concepts = ready.select("node_id", F.explode("c").alias("concept_token"))
-    found = _meeting(_prefixes(tokens, near).join(concepts, "node_id"), ["agent_id", "concept_token", "token"], near)
+    ordered = _ordered(ready)
+    found = _meeting(_prefixes(ordered, near).withColumn("concept_token", F.explode("c")), ["agent_id", "concept_token", "token"], near)
     if far <= 1:
-        found = found.union(_meeting(_prefixes(tokens, far), ["agent_id", "token"], far)).distinct()
+        found = found.union(_meeting(_prefixes(ordered, far), ["agent_id", "token"], far)).distinct()
     return found
 
 
