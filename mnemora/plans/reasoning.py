@@ -93,7 +93,7 @@ def _(v: Views) -> DataFrame:
 _KEY = "CASE WHEN link_type IS NOT NULL THEN type || '_' || link_type WHEN file LIKE '%.md' THEN CASE WHEN contains(file, '_') THEN split_part(file, '_', 1) ELSE regexp_replace(file, '\\.md$', '') END || '_' || type ELSE type END"
 
 
-@query("o75_detect_patterns", f"WITH k AS (SELECT *, {_KEY} AS pattern_key FROM discoveries) SELECT pattern_key, count(*) AS n, round(least(0.5 + 0.1 * count(*), 0.95), 6) AS confidence, array_to_string(list(discovery_id ORDER BY seen_at, discovery_id)[1:5], ',') AS examples FROM k GROUP BY 1 HAVING count(*) >= 3")
+@query("o75_detect_patterns", f"WITH k AS (SELECT *, {_KEY} AS pattern_key FROM discoveries) SELECT pattern_key, count(*) AS n, CAST(round(least(0.5 + 0.1 * count(*), 0.95), 6) AS DOUBLE) AS confidence, array_to_string(list(discovery_id ORDER BY seen_at, discovery_id)[1:5], ',') AS examples FROM k GROUP BY 1 HAVING count(*) >= 3")
 def _(v: Views) -> DataFrame:
     return patterns.detect(v.discoveries).select("pattern_key", "n", F.round("confidence", 6).alias("confidence"), F.array_join("examples", ",").alias("examples"))
 
@@ -250,7 +250,7 @@ def _(v: Views) -> DataFrame:
     return federation.merge(_two_stores(v)).select("node_id", "source")
 
 
-@query("o104_federated_query", f"{_MERGED} SELECT node_id, source, CASE source WHEN 'local' THEN 1.0 ELSE 0.9 END AS confidence, (SELECT count(*) FROM customer WHERE 'N' || CAST(c_nationkey AS VARCHAR) = b.node_id) AS confirmation_count FROM b WHERE node_type = 'nation' AND contains(lower(name), 'nation') ORDER BY confidence DESC, confirmation_count DESC, node_id LIMIT 15")
+@query("o104_federated_query", f"{_MERGED} SELECT node_id, source, CAST(CASE source WHEN 'local' THEN 1.0 ELSE 0.9 END AS DOUBLE) AS confidence, (SELECT count(*) FROM customer WHERE 'N' || CAST(c_nationkey AS VARCHAR) = b.node_id) AS confirmation_count FROM b WHERE node_type = 'nation' AND contains(lower(name), 'nation') ORDER BY confidence DESC, confirmation_count DESC, node_id LIMIT 15")
 def _(v: Views) -> DataFrame:
     confirmed = federation.confirmation_counts(federation.assertions(v.edges.where("edge_type = 'LIVES_IN'"), "CONFIRMED_BY"))
     return federation.federated_query(_two_stores(v), "nation", ["name"], "nation", confirmed, 15)
