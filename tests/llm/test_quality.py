@@ -49,3 +49,13 @@ def test_rows_pass_unchanged(spark):
     assert kept.schema == df.schema
     assert [r.doc_id for r in kept.orderBy("doc_id").collect()] == [0, 1]
     assert quality.keep_good(df.limit(0)).count() == 0 and quality.measure(df.limit(0)).count() == 0
+
+
+def test_bands_tell_labelled_documents_apart(spark):
+    """Of documents that pass the base rule, the bands reject most of those labelled bad and few of the good."""
+    folder = "/root/testdata/sf0.01"
+    got = quality.measure(spark.read.parquet(f"{folder}/documents.parquet")).where("not base_failed")
+    rows = got.join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").groupBy("quality").agg({"*": "count", "kept": "count_if"}).collect()
+    by = {r.quality: (r["count(1)"], r["count_if(kept)"]) for r in rows}
+    assert by[0][0] >= 10 and by[0][1] <= 0.4 * by[0][0]
+    assert by[1][1] >= 0.98 * by[1][0]
