@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 import math
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -36,12 +37,13 @@ _TERM_START = "|".join(TERMS)
 
 @dataclass(frozen=True)
 class LicenseRules:
-    """``l1``: weight of the sparsity penalty; ``similarity``: share of a template's word pairs that confirms."""
+    """``l1``: weight of the sparsity penalty; ``similarity``: share of a template's word pairs that confirms; ``run_lines``: lines joined to find wrapped notices."""
 
     l1: float = 0.0004
     rounds: int = 600
     similarity: float = 0.6
     least_threshold: float = 0.5
+    run_lines: tuple[int, ...] = (4, 8, 16)
 
 
 def tokens(text: str) -> list[str]:
@@ -132,36 +134,92 @@ def _grams(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def scan(docs: DataFrame, rules: LicenseRules = LicenseRules()) -> DataFrame:
-    """One row per document: ``doc_id`` and ``paragraphs``, its confirmed licence notices.
+def _tokens(text: Column) -> Column:
+    """:func:`tokens` as an expression."""
+    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(_TOKEN), 0), lambda w: F.when(w.rlike(_NUMBER), "#").otherwise(w))
 
-    ``paragraphs`` is an array of ``struct<paragraph (from 0), family, probability, similarity, text>``.
-    A paragraph is a line. Null, empty and plain texts have an empty array; repeated rows and null ids
-    stay; an empty table gives an empty one.
-    """
-    model = train(rules)
+
+def _confirmed(candidates: Column, model: LicenseModel, rules: LicenseRules) -> Callable[[DataFrame], DataFrame]:
+    """Replaces ``candidates`` (structs of paragraph, lines, text) in column ``p`` by those the model and a template of its family accept."""
     weights = _constant({g: list(v) for g, v in model.weights.items()}, "map<string,array<double>>")
     vocabulary = _constant(sorted(model.weights), "array<string>")
     pairs = _constant({f: [sorted(grams(tokens(t), (2,))) for t in ts if len(tokens(t)) > 1] for f, ts in TEMPLATES.items()}, "map<string,array<array<string>>>")
-    term = rf"(?i)\b(?:{_TERM_START})"
-    text = F.col("text").cast("string")
-    numbered = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("paragraph"), x.alias("text")))
-    hopeful = F.when(text.rlike(term), F.filter(numbered, lambda p: p["text"].rlike(term)))
-    step = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(hopeful, F.array().cast("array<struct<paragraph:int,text:string>>")).alias("p"))
-    words = lambda p: F.transform(F.regexp_extract_all(F.lower(p["text"]), F.lit(_TOKEN), 0), lambda w: F.when(w.rlike(_NUMBER), "#").otherwise(w))
-    step = step.withColumn("p", F.transform("p", lambda p: F.struct(p["paragraph"].alias("paragraph"), p["text"].alias("text"), words(p).alias("words"))))
+    classes = F.array(*map(F.lit, model.classes))
+    own = lambda p: (p["paragraph"].alias("paragraph"), p["lines"].alias("lines"), p["text"].alias("text"))
     features = lambda p: F.array_intersect(F.concat(_grams(p["words"], 1), _grams(p["words"], 2), _grams(p["words"], 3)), vocabulary)
-    step = step.withColumn("p", F.transform("p", lambda p: F.struct(p["paragraph"].alias("paragraph"), p["text"].alias("text"), p["words"].alias("words"), features(p).alias("f"))))
     logits = lambda p: F.aggregate(p["f"], F.array(*map(F.lit, model.bias)), lambda z, g: F.zip_with(z, F.element_at(weights, g), lambda a, b: a + b))
-    step = step.withColumn("p", F.transform("p", lambda p: F.struct(p["paragraph"].alias("paragraph"), p["text"].alias("text"), p["words"].alias("words"), logits(p).alias("z"))))
-    classes = F.array(*map(F.lit, model.classes))
     best = lambda p: F.element_at(classes, F.array_position(p["z"], F.array_max(p["z"])).cast("int"))
     sure = lambda p: 1 / F.aggregate(p["z"], F.lit(0.0), lambda s, z: s + F.exp((z - F.array_max(p["z"])) / model.temperature))
-    step = step.withColumn("p", F.transform("p", lambda p: F.struct(p["paragraph"].alias("paragraph"), p["text"].alias("text"), F.array_distinct(_grams(p["words"], 2)).alias("pairs"), best(p).alias("family"), sure(p).alias("probability"))))
-    step = step.withColumn("p", F.filter("p", lambda p: (p["family"] != UNKNOWN_CLASS) & (p["probability"] >= model.threshold)))
     alike = lambda p: F.array_max(F.transform(F.element_at(pairs, p["family"]), lambda t: F.size(F.array_intersect(t, p["pairs"])) / F.size(t)))
-    step = step.withColumn("p", F.transform("p", lambda p: F.struct(p["paragraph"].alias("paragraph"), p["family"].alias("family"), p["probability"].alias("probability"), alike(p).alias("similarity"), p["text"].alias("text"))))
-    return step.select("doc_id", F.filter("p", lambda p: p["similarity"] >= rules.similarity).alias("paragraphs"))
+
+    def run(step: DataFrame) -> DataFrame:
+        step = step.withColumn("p", F.transform(candidates, lambda p: F.struct(*own(p), _tokens(p["text"]).alias("words"))))
+        step = step.withColumn("p", F.transform("p", lambda p: F.struct(*own(p), p["words"].alias("words"), features(p).alias("f"))))
+        step = step.withColumn("p", F.transform("p", lambda p: F.struct(*own(p), p["words"].alias("words"), logits(p).alias("z"))))
+        step = step.withColumn("p", F.transform("p", lambda p: F.struct(*own(p), F.array_distinct(_grams(p["words"], 2)).alias("pairs"), best(p).alias("family"), sure(p).alias("probability"))))
+        step = step.withColumn("p", F.filter("p", lambda p: (p["family"] != UNKNOWN_CLASS) & (p["probability"] >= model.threshold)))
+        step = step.withColumn("p", F.transform("p", lambda p: F.struct(p["paragraph"].alias("paragraph"), p["lines"].alias("lines"), p["family"].alias("family"), p["probability"].alias("probability"), alike(p).alias("similarity"), p["text"].alias("text"))))
+        return step.withColumn("p", F.filter("p", lambda p: p["similarity"] >= rules.similarity))
+
+    return run
+
+
+def _runs(lines: Column, alone: Column, term: str, sizes: tuple[int, ...]) -> Column:
+    """Runs of adjacent lines, joined, that hold a term: of each size, a new one every half size.
+
+    A run stops at a line without a word and at a line that is a notice by itself (its number in ``alone``),
+    so a notice of up to half a size and one lines lies whole in one of them.
+    """
+    open_ = lambda x: x["text"].rlike("(?i)[a-z0-9]") & ~F.array_contains(alone, x["paragraph"])
+
+    def of(size: int) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(lines) - 2, F.lit(0)), F.lit(size // 2))
+        window = F.flatten(F.transform(starts, lambda i: _pieces(F.slice(lines, i + 1, size), open_)))
+        return F.filter(window, lambda p: (p["lines"] > 1) & p["text"].rlike(term))
+
+    return F.concat(*map(of, sizes))
+
+
+def _pieces(window: Column, open_: Callable[[Column], Column]) -> Column:
+    """The stretches of open lines of a window, each joined to one candidate."""
+    kind = "array<struct<paragraph:int,lines:int,text:string>>"
+    state = F.struct(F.array().cast(kind).alias("done"), F.lit(False).alias("going"))
+
+    def add(s: Column, x: Column) -> Column:
+        last = F.element_at(s["done"], -1)
+        longer = F.struct(last["paragraph"].alias("paragraph"), (last["lines"] + 1).alias("lines"), F.concat(last["text"], F.lit("\n"), x["text"]).alias("text"))
+        fresh = F.struct(x["paragraph"].alias("paragraph"), F.lit(1).alias("lines"), x["text"].alias("text"))
+        grown = F.when(s["going"], F.concat(F.slice(s["done"], 1, F.size(s["done"]) - 1), F.array(longer))).otherwise(F.concat(s["done"], F.array(fresh)))
+        return F.when(open_(x), F.struct(grown.cast(kind).alias("done"), F.lit(True).alias("going"))).otherwise(F.struct(s["done"].alias("done"), F.lit(False).alias("going")))
+
+    return F.aggregate(window, state, add, lambda s: s["done"])
+
+
+def _apart(found: Column) -> Column:
+    """Of overlapping runs of one family the most alike, then the shortest, then the first."""
+    ranked = F.array_sort(F.transform(found, lambda p: F.struct((-p["similarity"]).alias("s"), p["lines"].alias("l"), p["paragraph"].alias("n"), p.alias("p"))))
+    meets = lambda a, b: (a["family"] == b["family"]) & (a["paragraph"] < b["paragraph"] + b["lines"]) & (b["paragraph"] < a["paragraph"] + a["lines"])
+    return F.aggregate(F.transform(ranked, lambda r: r["p"]), F.slice(found, 1, 0), lambda kept, p: F.when(F.exists(kept, lambda k: meets(k, p)), kept).otherwise(F.concat(kept, F.array(p))))
+
+
+def scan(docs: DataFrame, rules: LicenseRules = LicenseRules()) -> DataFrame:
+    """One row per document: ``doc_id`` and ``paragraphs``, its confirmed licence notices.
+
+    ``paragraphs`` is an array of ``struct<paragraph (from 0), lines, family, probability, similarity, text>``.
+    A paragraph is a line, or a run of ``lines`` adjacent lines, from line ``paragraph`` on, of which none is
+    a notice by itself: notices are often wrapped. Null, empty and plain texts have an empty array; repeated
+    rows and null ids stay; an empty table gives an empty one.
+    """
+    model = train(rules)
+    term = rf"(?i)\b(?:{_TERM_START})"
+    text = F.col("text").cast("string")
+    kind = "array<struct<paragraph:int,lines:int,text:string>>"
+    numbered = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("paragraph"), F.lit(1).alias("lines"), x.alias("text")))
+    step = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.when(text.rlike(term), numbered), F.array().cast(kind)).alias("every"))
+    step = _confirmed(F.filter("every", lambda p: p["text"].rlike(term)), model, rules)(step).withColumnRenamed("p", "alone")
+    runs = _runs(F.col("every"), F.transform("alone", lambda p: p["paragraph"]), term, rules.run_lines)
+    step = _confirmed(F.when(F.size("every") > 1, runs).otherwise(F.array().cast(kind)), model, rules)(step)
+    return step.select("doc_id", F.array_sort(F.concat("alone", _apart(F.col("p")))).alias("paragraphs"))
 
 
 def summarise(scanned: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import textwrap
+
 from mnemora.llm import licenses
 from mnemora.llm.license_texts import HELD_OUT_FRAMES
 
@@ -51,3 +53,39 @@ def test_native_and_narrow(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Exchange", "Python", "Arrow", "Pandas"))
     assert licenses.scan(spark.createDataFrame([], DOCS)).count() == 0
+
+
+WRAPPED = {
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.""",
+    "bsd": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.""",
+    "apache": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    "gpl": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
+}
+
+
+def test_wrapped_notices(spark):
+    wrap = lambda t, width, mark: "\n".join((mark + x).rstrip() for part in t.split("\n\n") for x in [*textwrap.wrap(part, width), ""])
+    prose = "The rain in the town was heavy and the people\nof the place stayed in for the whole of the day"
+    cases = [(f, f"{before}{wrap(t, width, mark)}{after}") for f, t in WRAPPED.items() for width in (40, 60, 72, 100) for mark in ("", "# ", " * ") for before, after in (("", ""), (f"{prose}\n", prose), (f"{prose}\n" * 20, f"{prose}\n" * 20))]
+    got = {r.doc_id: r for r in licenses.summarise(licenses.scan(spark.createDataFrame([(i, t, "", 0) for i, (_, t) in enumerate(cases)], DOCS))).collect()}
+    wrong = [(f, got[i].license_family, t) for i, (f, t) in enumerate(cases) if got[i].families != [f]]
+    assert not wrong
+    both = wrap(WRAPPED["mit"], 60, "") + "\n" + wrap(WRAPPED["bsd"], 60, "")
+    assert licenses.summarise(licenses.scan(spark.createDataFrame([(1, both, "", 0)], DOCS))).first().families == ["bsd", "mit"]
+    split = "Released under the\nMIT License.\n\nAll rights\nreserved."
+    found = licenses.scan(spark.createDataFrame([(1, split, "", 0)], DOCS)).first().paragraphs
+    assert [(p.paragraph, p.lines, p.family, p.text) for p in found] == [(0, 2, "mit", "Released under the\nMIT License."), (3, 2, "proprietary", "All rights\nreserved.")]
