@@ -144,3 +144,61 @@ UNKNOWN: tuple[str, ...] = (
 #: Sentences around a notice, for training and for calibration on forms not trained on.
 TRAIN_FRAMES = ("{}", "Copyright (c) 2019 The Authors. {}", "{} See the file for details.", "About this project: {}", "{} Please read it before you go on.")
 HELD_OUT_FRAMES = ("* {}", "(c) 2021 by somebody else. {} Thank you for reading.", "Note. {} More text follows here, about the weather.")
+
+#: Short names of each family as projects write them, and its SPDX identifiers.
+NAMES: dict[str, tuple[str, ...]] = {
+    "mit": ("MIT",),
+    "apache": ("Apache", "Apache 2.0", "ASL 2.0"),
+    "gpl": ("GPL", "GPLv3", "GNU GPL", "GNU GPL v2", "GNU General Public License"),
+    "lgpl": ("LGPL", "LGPLv3", "GNU LGPL", "GNU Lesser General Public License", "GNU Library General Public License"),
+    "agpl": ("AGPL", "AGPLv3", "GNU AGPL", "GNU Affero General Public License"),
+    "bsd": ("BSD", "BSD 3-Clause", "3-Clause BSD", "New BSD", "Simplified BSD", "Modified BSD"),
+    "mpl": ("MPL", "MPL 2.0", "Mozilla Public License", "Mozilla Public License 2.0"),
+    "cc-by": ("CC BY", "CC BY 4.0", "Creative Commons Attribution", "Creative Commons Attribution 4.0 International"),
+    "cc-by-sa": ("CC BY-SA", "CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike", "Creative Commons Attribution-ShareAlike 4.0 International"),
+    "cc-by-nc": ("CC BY-NC", "CC BY-NC 4.0", "CC BY-NC-SA 4.0", "CC BY-NC-ND 4.0", "Creative Commons Attribution-NonCommercial", "Creative Commons Attribution-NonCommercial 4.0 International"),
+    "public-domain": ("CC0", "CC0 1.0", "Unlicense", "CC0 1.0 Universal"),
+}
+_GNU = ("{}", "{}+", "{}-only", "{}-or-later")
+_gnu = lambda ids: tuple(f.format(x) for x in ids for f in _GNU)
+_cc = lambda kind: tuple(f"CC-{kind}-{v}" for v in ("1.0", "2.0", "2.5", "3.0", "4.0"))
+SPDX: dict[str, tuple[str, ...]] = {
+    "mit": ("MIT", "MIT-0", "MIT-Modern-Variant", "MIT-open-group", "MIT-feh"),
+    "apache": ("Apache-1.0", "Apache-1.1", "Apache-2.0"),
+    "gpl": _gnu(("GPL-1.0", "GPL-2.0", "GPL-3.0")),
+    "lgpl": _gnu(("LGPL-2.0", "LGPL-2.1", "LGPL-3.0")),
+    "agpl": _gnu(("AGPL-1.0", "AGPL-3.0")),
+    "bsd": ("BSD-1-Clause", "BSD-2-Clause", "BSD-2-Clause-Patent", "BSD-2-Clause-Views", "BSD-3-Clause", "BSD-3-Clause-Attribution", "BSD-3-Clause-Clear", "BSD-3-Clause-LBNL", "BSD-4-Clause", "BSD-4-Clause-UC"),
+    "mpl": ("MPL-1.0", "MPL-1.1", "MPL-2.0", "MPL-2.0-no-copyleft-exception"),
+    "cc-by": _cc("BY"),
+    "cc-by-sa": _cc("BY-SA"),
+    "cc-by-nc": (*_cc("BY-NC"), *_cc("BY-NC-SA"), *_cc("BY-NC-ND")),
+    "public-domain": ("CC0-1.0", "Unlicense", "CC-PDDC"),
+}
+
+#: Headings of whole licence texts.
+HEADINGS: dict[str, tuple[str, ...]] = {
+    "mit": ("MIT License", "The MIT License"),
+    "apache": ("Apache License Version 2.0, January 2004", "Apache License"),
+    "gpl": ("GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    "lgpl": ("GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    "agpl": ("GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",),
+    "bsd": ("BSD 3-Clause License", "BSD 2-Clause License", "The BSD License"),
+    "mpl": ("Mozilla Public License Version 2.0",),
+    "cc-by": ("Creative Commons Attribution 4.0 International Public License",),
+    "cc-by-sa": ("Creative Commons Attribution-ShareAlike 4.0 International Public License",),
+    "cc-by-nc": ("Creative Commons Attribution-NonCommercial 4.0 International Public License",),
+    "public-domain": ("CC0 1.0 Universal", "The Unlicense"),
+}
+
+#: What a short notice must hold in whole to be confirmed, and the sentences it is trained on.
+KEYS = ("{} license", "license {}", "licensed under {}", "licensed under the {}", "released under {}")
+SHORT_FORMS = (*KEYS, "This project is {} licensed, license {}.", "Licensed under the terms of the {} license.")
+#: Notices in words that no form above has, to measure recall on; never trained on and no templates.
+HELD_OUT_NOTICES = ("The code is made available under a {} license.", "Project license: {}", "You can use this under the {} license or ask us.", "Everything here is licensed under {} unless noted.", "Code license - {}")
+
+UNKNOWN_SHORT: tuple[str, ...] = (
+    "License: EPL-2.0", "License: Zlib", "License: ISC", "ISC License", "Eclipse Public License", "Artistic License", "Licensed under EUPL 1.2.", "Licensed under zlib.", "License: BSL-1.0", "Boost Software License 1.0", "SPDX-License-Identifier: ISC",
+    "SPDX-License-Identifier: CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0.", "Creative Commons Attribution-NoDerivatives 4.0 International License", "European Union Public License", "SIL Open Font License", "Driving license", "License: yes", "Public license", "General license",
+    "License agreement", "License key: 2.0", "Licensed under contract.", "Licensed under the law of the state.", "GNU Free Documentation License", "SPDX-License-Identifier: GFDL-1.3-only", "Common Public License", "CDDL license", "Python license", "License: PSF-2.0", "Public domain of the town",
+)

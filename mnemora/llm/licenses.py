@@ -25,12 +25,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .license_texts import HELD_OUT_FRAMES, TEMPLATES, TRAIN_FRAMES, UNKNOWN
+from .license_texts import HEADINGS, HELD_OUT_FRAMES, KEYS, NAMES, SHORT_FORMS, SPDX, TEMPLATES, TRAIN_FRAMES, UNKNOWN, UNKNOWN_SHORT
 
 UNKNOWN_CLASS = "unknown"
 #: Licence terms, as patterns for the start of a word: an n-gram without one is no feature.
 TERMS = ("licen[cs]", "unlicen[cs]", "copyright", "spdx", "gnu", "gpl", "lgpl", "agpl", "bsd", "mpl", "apache", "mozilla", "cc0?(?![a-z0-9])", "rights", "redistribut", "public", "creative", "permission")
-_TOKEN = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"
+#: A version loses its word and its "v", and stands apart from a name: GPLv3, GPL-3.0 and GPL version 3 are alike.
+_VERSION = r"(?:(?<=gpl)|(?<=mpl)|(?<=asl)|(?<=apache)|(?<![a-z0-9]))[\s(,]*(?:version|v)\.?\s*(?=[0-9])|(?<=gpl)(?=[0-9])"
+_TOKEN = r"attribution(?:-[a-z]+)+|[a-z0-9]+(?:\.[a-z0-9]+)*"
 _NUMBER = r"^[0-9]+(?:\.[0-9]+)*$"
 _TERM_START = "|".join(TERMS)
 
@@ -47,7 +49,7 @@ class LicenseRules:
 
 
 def tokens(text: str) -> list[str]:
-    return ["#" if re.match(_NUMBER, t) else t for t in re.findall(_TOKEN, text.lower())]
+    return ["#" if re.match(_NUMBER, t) else t for t in re.findall(_TOKEN, re.sub(_VERSION, " ", text.lower()))]
 
 
 def grams(words: list[str], sizes: tuple[int, ...] = (1, 2, 3)) -> set[str]:
@@ -80,9 +82,30 @@ def _labelled(frames: tuple[str, ...]) -> list[tuple[str, str]]:
     return known + [(UNKNOWN_CLASS, frame.format(t)) for t in UNKNOWN for frame in frames]
 
 
+def _short(forms: tuple[str, ...]) -> dict[str, list[str]]:
+    """Each form with each name and identifier of a family."""
+    return {f: sorted({form.replace("{}", n) for n in (*NAMES[f], *SPDX[f]) for form in forms}) for f in NAMES}
+
+
+@lru_cache(maxsize=1)
+def _short_rows() -> list[tuple[str, str]]:
+    """Short notices to train on, one of each token sequence."""
+    rows = [(f, t) for f, ts in _short(SHORT_FORMS).items() for t in ts] + [(f, f"SPDX-License-Identifier: {x}") for f, xs in SPDX.items() for x in xs] + [(f, t) for f, ts in HEADINGS.items() for t in ts]
+    rows += [(UNKNOWN_CLASS, t) for t in UNKNOWN_SHORT for _ in range(4)]
+    return list({(f, *tokens(t), i if f == UNKNOWN_CLASS else 0): (f, t) for i, (f, t) in enumerate(rows)}.values())
+
+
+@lru_cache(maxsize=1)
+def _template_pairs() -> dict[str, list[list[str]]]:
+    """Word pairs of each family's templates and headings, and of its keys, which are so short that nearly all must be held."""
+    keys = _short((*KEYS, "identifier {}"))
+    every = {f: [*ts, *keys.get(f, ()), *HEADINGS.get(f, ())] for f, ts in TEMPLATES.items()}
+    return {f: sorted({tuple(sorted(grams(tokens(t), (2,)))) for t in ts if len(tokens(t)) > 1}) for f, ts in every.items()}
+
+
 @lru_cache(maxsize=4)
 def train(rules: LicenseRules = LicenseRules()) -> LicenseModel:
-    rows = _labelled(TRAIN_FRAMES)
+    rows = _labelled(TRAIN_FRAMES) + _short_rows()
     classes = (UNKNOWN_CLASS, *TEMPLATES)
     term = re.compile(rf"(?:^| )(?:{_TERM_START})")
     found = [{g for g in grams(tokens(text)) if term.search(g)} for _, text in rows]
@@ -136,14 +159,14 @@ def _grams(words: Column, n: int) -> Column:
 
 def _tokens(text: Column) -> Column:
     """:func:`tokens` as an expression."""
-    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(_TOKEN), 0), lambda w: F.when(w.rlike(_NUMBER), "#").otherwise(w))
+    return F.transform(F.regexp_extract_all(F.regexp_replace(F.lower(text), _VERSION, " "), F.lit(_TOKEN), 0), lambda w: F.when(w.rlike(_NUMBER), "#").otherwise(w))
 
 
 def _confirmed(candidates: Column, model: LicenseModel, rules: LicenseRules) -> Callable[[DataFrame], DataFrame]:
     """Replaces ``candidates`` (structs of paragraph, lines, text) in column ``p`` by those the model and a template of its family accept."""
     weights = _constant({g: list(v) for g, v in model.weights.items()}, "map<string,array<double>>")
     vocabulary = _constant(sorted(model.weights), "array<string>")
-    pairs = _constant({f: [sorted(grams(tokens(t), (2,))) for t in ts if len(tokens(t)) > 1] for f, ts in TEMPLATES.items()}, "map<string,array<array<string>>>")
+    pairs = _constant({f: list(map(list, ts)) for f, ts in _template_pairs().items()}, "map<string,array<array<string>>>")
     classes = F.array(*map(F.lit, model.classes))
     own = lambda p: (p["paragraph"].alias("paragraph"), p["lines"].alias("lines"), p["text"].alias("text"))
     features = lambda p: F.array_intersect(F.concat(_grams(p["words"], 1), _grams(p["words"], 2), _grams(p["words"], 3)), vocabulary)
@@ -225,10 +248,10 @@ def scan(docs: DataFrame, rules: LicenseRules = LicenseRules()) -> DataFrame:
 def summarise(scanned: DataFrame) -> DataFrame:
     """``doc_id, n_notices, families, license_family, probability, similarity`` per document.
 
-    ``license_family`` is that of the best confirmed notice (similarity, then probability, then the first);
-    documents without one have the family ``unknown`` and nulls.
+    ``license_family`` is that of the best confirmed notice (similarity, then probability, then the first),
+    reserved rights last, as licence texts open with them; documents without one have the family ``unknown`` and nulls.
     """
-    ranked = F.array_sort(F.transform("paragraphs", lambda p: F.struct((-p["similarity"]).alias("s"), (-p["probability"]).alias("q"), p["paragraph"].alias("n"), p["family"].alias("f"))))
+    ranked = F.array_sort(F.transform("paragraphs", lambda p: F.struct((p["family"] == "proprietary").alias("r"), (-p["similarity"]).alias("s"), (-p["probability"]).alias("q"), p["paragraph"].alias("n"), p["family"].alias("f"))))
     best = F.get(ranked, F.lit(0))
     return scanned.select(
         "doc_id", F.size("paragraphs").cast("long").alias("n_notices"), F.array_sort(F.array_distinct(F.transform("paragraphs", lambda p: p["family"]))).alias("families"),

