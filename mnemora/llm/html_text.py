@@ -33,21 +33,26 @@ _TOKEN = re.compile(
 )
 _BLOCKS = frozenset("html head body p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table thead tbody tfoot tr td th caption section article header footer nav aside main blockquote pre form fieldset figure figcaption hr address details summary menu dialog center label legend option".split())
 _BOILER_TAGS = frozenset("head nav footer aside form menu dialog fieldset".split())
-_ATTR = re.compile(r"(class|id|role|itemprop|aria-hidden|style|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_STATE = re.compile(r"(?:has|no|with|without)[-_]", re.I)  # says what a layout has, not what the element is
 _COMMENTS = frozenset("comment comments disqus replies reply respond".split())
 _BOILER_NAMES = _COMMENTS | frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe subscription share sharing social related recommended widget pagination pager login signin signup copyright toolbar contentinfo complementary search dialog alert form".split())
 _HEAD_NAMES = frozenset("header banner masthead topbar".split())
 
 
+_SENTENCE_ENDS = (".", "!", "?", "…", "。", "！", "？", "।", "؟", '."', ".”", ".»")
+
+
 @dataclass(frozen=True)
 class BlockRules:
-    """Thresholds: characters of a short and a long block, shares of stop words and of linked characters."""
+    """Thresholds: characters of a short and a long block, shares of stop words, of a page's characters in blocks with stop words, and of linked characters."""
 
     short: int = 70
     long: int = 200
     stop_high: float = 0.30
     stop_low: float = 0.15
+    page_known: float = 0.20
     link_dense: float = 0.5
 
 
@@ -59,6 +64,7 @@ class Block:
     main: bool
     item: bool
     heading: bool
+    region: int  # of a marked article inside a block whose name is out: its number, else 0
 
 
 def _names(attrs: str) -> tuple[frozenset[str], bool, bool]:
@@ -67,7 +73,7 @@ def _names(attrs: str) -> tuple[frozenset[str], bool, bool]:
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key in ("class", "id", "role"):
-            names.update(x.lower() for x in _PIECES.findall(value))
+            names.update(x.lower() for y in value.split() if not _STATE.match(y) for x in _PIECES.findall(y))
             main = main or (key == "role" and value.lower() == "main")
         elif key == "itemprop":
             main = main or value.lower() == "articlebody"
@@ -75,7 +81,7 @@ def _names(attrs: str) -> tuple[frozenset[str], bool, bool]:
             hidden = hidden or "display:none" in value.replace(" ", "").lower()
         elif key == "aria-hidden":
             hidden = hidden or value.lower() == "true"
-        else:
+        elif key == "hidden":
             hidden = True
     return frozenset(names), hidden, main
 
@@ -83,18 +89,19 @@ def _names(attrs: str) -> tuple[frozenset[str], bool, bool]:
 def blocks(page: str) -> list[Block]:
     """The page's blocks with text, in order."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # open block elements: tag, out, main
+    stack: list[tuple[str, bool, bool, bool, int]] = []  # open block elements: tag, out, out by a name alone, main, region
     parts: list[str] = []
     linked, link = 0, False
     item = heading = False
+    regions = 0
 
     def close_block() -> None:
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                _, out, main = stack[-1] if stack else ("", False, False)
-                found.append(Block(text, linked, out, main, item, heading))
+                _, out, _, main, region = stack[-1] if stack else ("", False, False, False, 0)
+                found.append(Block(text, linked, out, main, item, heading, region))
             parts.clear()
         linked = 0
 
@@ -125,15 +132,20 @@ def blocks(page: str) -> list[Block]:
                     stack.pop()
                 if tag == "li" and stack and stack[-1][0] == "li":
                     stack.pop()
-                _, out, main = stack[-1] if stack else ("", False, False)
+                _, out, soft, main, region = stack[-1] if stack else ("", False, False, False, 0)
                 names, hidden, marked = _names(m["attrs"]) if m["attrs"] else (frozenset(), False, False)
                 if tag in ("html", "body"):
                     hidden, names = False, frozenset()
                 wanted = tag in ("article", "main") or marked
                 named = _COMMENTS if wanted else _BOILER_NAMES if main else _BOILER_NAMES | _HEAD_NAMES
-                out = out or hidden or tag in _BOILER_TAGS or (tag == "header" and not main) or not names.isdisjoint(named)
+                if wanted and soft:  # a layout may be named after what it has beside the article
+                    out, soft, regions = False, False, regions + 1
+                    region = regions
+                hard = hidden or tag in _BOILER_TAGS or (tag == "header" and not main) or not names.isdisjoint(_COMMENTS)
+                layout = not out and not hard and not wanted and not names.isdisjoint(named)
+                out, soft = out or hard or not names.isdisjoint(named), (soft or layout) and not hard
                 if tag != "hr":
-                    stack.append((tag, out, main or wanted))
+                    stack.append((tag, out, soft, main or wanted, region))
             item = bool(stack) and stack[-1][0] in ("li", "dd", "dt", "td", "th")
             heading = bool(stack) and stack[-1][0] in ("h1", "h2", "h3", "h4", "h5", "h6")
     close_block()
@@ -145,7 +157,8 @@ def _stop_share(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / len(words)
 
 
-def _decide(b: Block, rules: BlockRules) -> bool | None:
+def _decide(b: Block, rules: BlockRules, known: bool) -> bool | None:
+    """``known``: the page is in a language whose stop words are listed; elsewhere long blocks are text."""
     if b.out:
         return False
     size = len(b.text)
@@ -155,6 +168,8 @@ def _decide(b: Block, rules: BlockRules) -> bool | None:
         return None
     if b.main:  # the page itself says that this is the article
         return True
+    if not known:
+        return True
     share = _stop_share(b.text)
     if share >= rules.stop_high or (share >= rules.stop_low and size >= rules.long):
         return True
@@ -164,10 +179,22 @@ def _decide(b: Block, rules: BlockRules) -> bool | None:
 def main_text(page: str | None, rules: BlockRules = BlockRules()) -> list[str]:
     """The blocks of main text, in page order."""
     every = blocks(page or "")
+    sizes: dict[int, int] = {0: 0}
+    for b in every:
+        if b.main and not b.out:
+            sizes[b.region] = sizes.get(b.region, 0) + len(b.text)
+    larger = {r for r, n in sizes.items() if r == 0 or n > sizes[0]}  # else teasers beside the article
+    for b in every:
+        b.out = b.out or b.region not in larger
     inside = any(b.main and not b.out for b in every)
     if inside:
         every = [b for b in every if b.main and not b.out]
-    first = [_decide(b, rules) for b in every]
+    prose = [b for b in every if not b.main and not b.out and b.linked <= rules.link_dense * len(b.text) and len(b.text) >= rules.short]
+    served = sum(len(b.text) for b in prose if _stop_share(b.text) >= rules.stop_low)
+    known = 0 < served >= rules.page_known * sum(len(b.text) for b in prose)
+    first = [_decide(b, rules, known) for b in every]
+    if not inside and not any(first) and any(x is None and b.text.endswith(_SENTENCE_ENDS) for b, x in zip(every, first, strict=True)):
+        first = [x is None for x in first]  # a page of short blocks with a sentence: what nothing speaks against stays
     far = len(every) + 1
     before, last = [], (far, None)
     for label in first:
@@ -198,7 +225,7 @@ def extract(pages: DataFrame, rules: BlockRules = BlockRules()) -> DataFrame:
 
     Null html counts as empty, and a page without main text has an empty text. Where a page marks
     its article, an undecided block stays in; elsewhere it stays out unless its nearest decided
-    neighbours say otherwise. Repeated rows and null ids stay; an empty table gives an empty one.
+    neighbours say otherwise, or no block of the page is text for sure and one of the undecided is a sentence. Repeated rows and null ids stay; an empty table gives an empty one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

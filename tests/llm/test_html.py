@@ -36,3 +36,29 @@ def test_rows(spark):
     got = html_text.extract(df).collect()
     assert sorted((r.page_id or 0, r.url or "", r.text) for r in got) == [(0, "", ""), (1, "u", LONG), (1, "u", LONG), (2, "v", "")]
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_short_pages_without_markup():
+    assert text("<div><p>Short article text.</p></div>") == "Short article text."
+    assert text(f"<nav>{LONG}</nav><h1>Title</h1><p>One short line.</p><footer>{LONG}</footer>") == "Title One short line."
+
+
+def test_other_languages_and_tables():
+    chinese = "这条河很宽，夜里流向大海，镇上的人们都在那里和我们在一起。" * 4
+    russian = "Река в городе была широкой и ночью текла к морю, а жители посёлка стояли на берегу и долго смотрели на воду."
+    polish = "Rzeka w mieście była szeroka i nocą płynęła do morza, a ludzie z okolicy stali na brzegu i długo patrzyli na wodę."
+    names = ", ".join(f"Anna Kowalska {i}" for i in range(12))
+    for body in (chinese, russian, polish, names):
+        assert text(f"<nav>Menu</nav><div>{body}</div><div>{body}</div>") == f"{body} {body}"
+    assert text(f"<div>{russian}</div>" * 6 + f"<div>{LONG}</div>") == f"{russian} " * 6 + LONG
+
+
+def test_names_of_layouts_and_whole_attributes():
+    for name in ("layout has-sidebar", "no-sidebar", "sidebar-layout", "menu-open"):
+        assert text(f'<div class="{name}"><nav>{LONG}</nav><article><p>{LONG}</p><div class="sidebar">{LONG}</div></article></div>') == LONG
+    assert text(f"<div class='no-sidebar'><p>{LONG}</p></div>") == LONG
+    assert text(f'<div title="The hidden class=menu river" data-hidden data-class="menu"><p>{LONG}</p></div>') == LONG
+    assert text(f'<main><h1>Title</h1><div class="sidebar-layout"><article><p>{LONG}</p></article></div></main>') == f"Title {LONG}"
+    assert text(f'<article><p>{LONG}</p></article><div class="related"><article>Teaser of another.</article></div>') == LONG
+    assert text(f'<div hidden class="menu"><article><p>{LONG}</p></article></div><p>{LONG}</p>') == LONG
+    assert text(f'<div class="comments"><article><p>{LONG}</p></article></div>') == ""
