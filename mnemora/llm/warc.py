@@ -2,8 +2,10 @@
 
 Every record is a gzip member of its own. The reader gives each task a byte range: it scans for the
 gzip magic, takes a candidate for a member only if its first bytes inflate to a WARC version line, and
-owns the records that start inside its range, reading past the end for the last of them. So an archive
-of any size is read by as many tasks as it has ranges, and no range depends on another.
+owns the members that start inside its range, reading past the end for the last of them. So an archive
+of any size is read by as many tasks as it has ranges, and no range depends on another. Other archives
+are read whole, by fewer tasks: one gzip stream of many records by the task at its start, a plain file
+by one task.
 """
 
 from __future__ import annotations
@@ -78,7 +80,9 @@ def _marked(pages: DataFrame, options: WarcOptions) -> DataFrame:
 
 
 def write(pages: DataFrame, folder: str, options: WarcOptions = WarcOptions()) -> DataFrame:
-    """Writes ``pages`` (page_id, url, html) below ``folder``; returns the manifest ``(path, bytes, records)``.
+    """Writes ``pages`` (page_id, url, html) below ``folder``; returns the manifest ``(path, bytes, records, split_bytes, split_records)``.
+
+    ``split_records`` counts the records that start in each range of ``split_bytes``, for the reader to compare.
 
     A null html has an empty payload. Of pages with equal payloads, all rows with the smallest page_id
     are responses and the others revisit it; pages without an id come last, and are responses among
@@ -88,34 +92,63 @@ def write(pages: DataFrame, folder: str, options: WarcOptions = WarcOptions()) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(folder)
-        done: list[tuple[str, int, int]] = []
-        out, name, size, count = None, "", 0, 0
+        done: list[tuple[str, int, list[int]]] = []
+        out, name, size, counts = None, "", 0, []
         for batch in batches:
             for page_id, url, payload, refers_to in zip(*(batch.column(i) for i in range(4)), strict=True):
                 if out is None:
-                    name, size, count = f"pages-{uuid.uuid4().hex}.warc.gz", 0, 0
+                    name, size, counts = f"pages-{uuid.uuid4().hex}.warc.gz", 0, []
                     out = store.open_output_stream(f"{base}/{name}", compression=None)
                 member = record(page_id.as_py(), url.as_py(), payload.as_py(), refers_to.as_py(), options)
                 out.write(member)
-                size, count = size + len(member), count + 1
+                counts += [0] * (size // options.split_bytes + 1 - len(counts))
+                counts[-1] += 1
+                size += len(member)
                 if size >= options.file_bytes:
                     out.close()
-                    done.append((name, size, count))
+                    done.append((name, size, counts))
                     out = None
         if out is not None:
             out.close()
-            done.append((name, size, count))
+            done.append((name, size, counts))
         if done:
-            names, sizes, counts = zip(*done, strict=True)
-            yield pa.record_batch([pa.array([f"{folder}/{n}" for n in names]), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], names=["path", "bytes", "records"])
+            names, sizes, split = zip(*done, strict=True)
+            columns = [pa.array([f"{folder}/{n}" for n in names]), pa.array(sizes, pa.int64()), pa.array(map(sum, split), pa.int64()), pa.array([options.split_bytes] * len(done), pa.int64()), pa.array(split, pa.list_(pa.int64()))]
+            yield pa.record_batch(columns, names=["path", "bytes", "records", "split_bytes", "split_records"])
 
     store, base = fs.FileSystem.from_uri(folder)
     store.create_dir(base, recursive=True)
-    return cut(_marked(pages, options).mapInArrow(run, "path string, bytes long, records long"))
+    return cut(_marked(pages, options).mapInArrow(run, "path string, bytes long, records long, split_bytes long, split_records array<long>"))
+
+
+def _records(pieces: Iterator[bytes], where: str) -> Iterator[bytes]:
+    """The records, header and block, of a stream of them; a stream that isn't records to its end is an error."""
+    held, need, head = bytearray(), 0, -1
+    for piece in pieces:
+        held += piece
+        while True:
+            if head < 0:
+                while held[:2] == b"\r\n":  # what ends the record before
+                    del held[:2]
+                if held == b"\r":
+                    break
+                if not b"WARC/1.".startswith(bytes(held[:7])):
+                    raise ValueError(f"{where}: no record where one should start")
+                head = held.find(b"\r\n\r\n")
+                if head < 0:
+                    break
+                need = head + 4 + int(_fields(bytes(held[:head])).get("content-length", "0"))
+            if len(held) < need:
+                break
+            yield bytes(held[:need])
+            del held[:need]
+            head = -1
+    if held.strip(b"\r\n"):
+        raise ValueError(f"{where}: the last record is cut short")
 
 
 class _Members:
-    """Gzip members with a WARC record that start in ``[start, end)`` of a file."""
+    """Records of the gzip members that start in ``[start, end)`` of a file, each with its member's offset."""
 
     def __init__(self, source, start: int, end: int, chunk: int):
         self.source, self.start, self.end, self.chunk = source, start, end, chunk
@@ -130,28 +163,40 @@ class _Members:
     def _drop(self, n: int) -> None:
         self.buffer, self.at = self.buffer[n:], self.at + n
 
-    def _decode(self) -> bytes | None:
-        """The member at the head of the buffer, which then moves behind it; None if it isn't one."""
-        inflate, parts, fed, checked = zlib.decompressobj(31), [], 0, False
-        total = b""
+    def _decode(self) -> Iterator[bytes]:
+        """What the member at the head of the buffer holds, piece by piece, the buffer moving behind it.
+
+        Nothing if it isn't a member with a WARC record. Once its first bytes are a version line, damage is an error.
+        """
+        offset, inflate, total = self.at, zlib.decompressobj(31), b""
+        fed = 0
         try:
-            while not inflate.eof:
+            while len(total) < 7 and not inflate.eof:
                 if fed == len(self.buffer) and not self._more():
-                    return None
+                    break
                 piece = self.buffer[fed : fed + self.chunk]
-                fed += len(piece)
-                parts.append(inflate.decompress(piece))
-                if not checked:
-                    total = b"".join(parts) if len(parts) > 1 else parts[0]
-                    if not b"WARC/1.".startswith(total[:7]):
-                        return None
-                    checked = len(total) >= 7
+                total += inflate.decompress(piece, 7 - len(total))  # no further, so that later damage is told from no member
+                fed += len(piece) - len(inflate.unconsumed_tail)
+                if not b"WARC/1.".startswith(total[:7]):
+                    return
         except zlib.error:
-            return None
-        if not checked:
-            return None
+            return
+        if len(total) < 7:
+            if total and not inflate.eof:
+                raise ValueError(f"the member at {offset} is cut short")
+            return
         self._drop(fed - len(inflate.unused_data))
-        return b"".join(parts)
+        yield total
+        try:
+            while not inflate.eof:
+                if not self.buffer and not self._more():
+                    raise ValueError(f"the member at {offset} is cut short")
+                piece = self.buffer[: self.chunk]
+                part = inflate.decompress(piece)
+                self._drop(len(piece) - len(inflate.unused_data))
+                yield part
+        except zlib.error as e:
+            raise ValueError(f"the member at {offset} is damaged: {e}") from e
 
     def __iter__(self) -> Iterator[tuple[int, bytes]]:
         while self.at < self.end:
@@ -165,18 +210,37 @@ class _Members:
             if self.at >= self.end:
                 return
             offset = self.at
-            member = self._decode()
-            if member is None:
-                self._drop(1)
-            else:
+            for member in _records(self._decode(), f"the member at {offset}"):
                 yield offset, member
+            if self.at == offset:
+                self._drop(1)
+
+
+def _archive(source, start: int, split: int, chunk: int) -> Iterator[tuple[int, bytes]]:
+    """Records of one range of an archive; those of a plain file all belong to its first range."""
+    source.seek(0)
+    first = source.read(7)
+    if first and first[:3] != MAGIC and first != b"WARC/1.":
+        raise ValueError("neither gzip nor WARC")
+    if first == b"WARC/1.":
+        source.seek(0)
+        offset = 0
+        for member in _records(iter(lambda: source.read(chunk), b""), "plain file") if start == 0 else ():
+            yield offset, member
+            offset += len(member) + 4
+    else:
+        yield from _Members(source, start, start + split, chunk)
+
+
+def _fields(head: bytes) -> dict[str, str]:
+    lines = head.decode("utf-8", "replace").split("\r\n")
+    return {"": lines[0]} | {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
 
 
 def parse_record(member: bytes) -> tuple[dict[str, str], bytes]:
     """Header fields by lower-case name (the version line as ``""``) and the block."""
     head, _, rest = member.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8", "replace").split("\r\n")
-    fields = {"": lines[0]} | {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    fields = _fields(head)
     size = int(fields.get("content-length", "0"))
     if len(rest) < size:
         raise ValueError(f"record {fields.get('warc-record-id')} is cut short")
@@ -192,20 +256,29 @@ _READ = "path string, offset long, page_id long, url string, record_type string,
 
 
 def read(manifest: DataFrame, options: WarcOptions = WarcOptions(), with_payload: bool = True) -> DataFrame:
-    """One row per record of the files in ``(path, bytes)``.
+    """One row per record of the files in ``(path, bytes)``; plain ``.warc`` files too.
+
+    Damage after a valid start of a record stops the job, and so does a range with another number of
+    records than a manifest of :func:`write` counts. ``offset`` is that of the record's gzip member.
 
     Digest and length of a response are taken from its payload, and a digest that disagrees with the
     record's header stops the job; a revisit has them from its headers. ``with_payload=False`` leaves the
     payload column null. Other kinds of records (warcinfo, request, ...) keep their type and whole block.
     """
+    counted = "split_records" in manifest.columns
+    split, counts = (F.col("split_bytes"), F.col("split_records")) if counted else (F.lit(options.split_bytes).cast("long"), F.lit(None).cast("array<long>"))
     last = F.greatest(F.col("bytes") - 1, F.lit(0))
-    ranges = manifest.select("path", F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(options.split_bytes).cast("long"))).alias("start"))
+    ranges = manifest.select("path", F.explode(F.sequence(F.lit(0).cast("long"), last, split)).alias("start"), split.alias("split"), counts.alias("counts"))
+    expected = F.coalesce(F.get("counts", (F.col("start") / F.col("split")).cast("int")), F.when(F.col("counts").isNotNull(), 0)).cast("long")
+    ranges = ranges.select("path", "start", "split", expected.alias("expected"))
     ranges = ranges.repartition(F.col("path"), F.col("start"))
 
-    def rows_of(path: str, start: int) -> Iterator[tuple]:
+    def rows_of(path: str, start: int, split: int, expected: int | None) -> Iterator[tuple]:
         store, name = fs.FileSystem.from_uri(path)
+        n = 0
         with store.open_input_file(name) as source:
-            for offset, member in _Members(source, start, start + options.split_bytes, options.chunk_bytes):
+            for offset, member in _archive(source, start, split, options.chunk_bytes):
+                n += 1
                 fields, block = parse_record(member)
                 kind, payload = fields.get("warc-type", ""), block
                 stated = fields.get("warc-payload-digest", "").removeprefix("sha1:") or None
@@ -220,6 +293,8 @@ def read(manifest: DataFrame, options: WarcOptions = WarcOptions(), with_payload
                     if kind == "response" and stated and digest != stated:
                         raise ValueError(f"payload of {fields.get('warc-record-id')} in {path} at {offset} has digest {digest}, not {stated}")
                 yield path, offset, _page(fields.get("warc-record-id")), fields.get("warc-target-uri"), kind, _page(fields.get("warc-refers-to")), size, digest, payload if with_payload else None
+        if expected is not None and n != expected:
+            raise ValueError(f"{path} has {n} records from {start} on, not {expected}")
 
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
     names = [x.split()[0] for x in _READ.split(", ")]
@@ -228,8 +303,8 @@ def read(manifest: DataFrame, options: WarcOptions = WarcOptions(), with_payload
         held, size = [], 0
         flush = lambda: pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
         for batch in batches:
-            for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for row in rows_of(path, start):
+            for one in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                for row in rows_of(*one):
                     held.append(row)
                     size += len(row[-1] or b"")
                     if len(held) >= 2000 or size >= 16 << 20:

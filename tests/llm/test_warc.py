@@ -4,6 +4,7 @@ import hashlib
 import io
 import random
 
+import pytest
 from mnemora.llm import warc
 from mnemora.llm.warc import WarcOptions
 
@@ -68,3 +69,38 @@ def test_reader_survives_false_magic():
 
 def test_empty(spark, tmp_path):
     assert warc.round_trip(spark.createDataFrame([], PAGES), f"file://{tmp_path}/w").count() == 0
+
+
+def test_one_stream_and_plain_archives(spark, tmp_path):
+    options = WarcOptions(split_bytes=700, chunk_bytes=64)
+    body = lambda i: bytes([65 + i % 20]) * (40 * i)
+    plain = b"".join(gzip.decompress(warc.record(i, "u", body(i), None, options)) for i in range(60))
+    for name, data in (("one.warc.gz", gzip.compress(plain)), ("plain.warc", plain), ("empty.warc", b"")):
+        (tmp_path / name).write_bytes(data)
+        got = warc.read(warc.files(spark, [f"file://{tmp_path}/{name}"]), options).collect()
+        assert sorted((r.page_id, bytes(r.payload)) for r in got) == ([] if name == "empty.warc" else [(i, body(i)) for i in range(60)])
+
+
+def test_damage_is_an_error(spark, tmp_path):
+    rng = random.Random(3)
+    options = WarcOptions()
+    members = [warc.record(i, "u", rng.randbytes(3000), None, options) for i in range(3)]
+    flipped = bytearray(members[2])
+    flipped[-6] ^= 255  # its checksum
+    plain = gzip.decompress(members[0])
+    for k, data in enumerate((members[0] + members[1][:2000], members[0] + bytes(flipped), plain + plain[:-500], b"something else" + members[0])):
+        name = f"{k}.warc" + ("" if k == 2 else ".gz")
+        (tmp_path / name).write_bytes(data)
+        with pytest.raises(Exception, match="cut short|damaged|neither"):
+            warc.read(warc.files(spark, [f"file://{tmp_path}/{name}"])).collect()
+
+
+def test_records_are_counted(spark, tmp_path):
+    options = WarcOptions(split_bytes=900)
+    manifest = warc.write(spark.createDataFrame(rows()[:20], PAGES).coalesce(1), f"file://{tmp_path}/w", options)
+    assert warc.read(manifest).count() == 20
+    path = max((tmp_path / "w").iterdir(), key=lambda p: p.stat().st_size)
+    data = path.read_bytes()
+    path.write_bytes(data[: data.rindex(warc.MAGIC)])  # the last record is gone, cleanly
+    with pytest.raises(Exception, match="records from"):
+        warc.read(manifest).collect()
