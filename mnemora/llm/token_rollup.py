@@ -86,13 +86,13 @@ class TokenRollup:
         newest = every.groupBy("key").agg(F.max_by(F.struct("doc_id", "source", "lang", "n_tokens", "live"), "ordinal").alias("s"))
         return newest.select("key", "s.*")
 
-    def apply(self, batch_id: str, changes: DataFrame) -> bool:
+    def apply(self, batch_id: str, changes: DataFrame, nulls_apart: bool = False) -> bool:
         """Commits ``changes`` (op, doc_id, text, source, lang; optionally version); False if it was committed before.
 
         ``op`` is ``upsert`` (or ``insert``, ``revise``) or ``delete``. Inserting a known document
         revises it, deleting an unknown one changes nothing. Of several changes to a document in one
         batch the one with the largest ``version`` counts, ties by op and text. A null doc_id is an
-        id like any other; null sources and languages are groups of their own; an empty batch commits
+        id like any other, or, with ``nulls_apart``, each row without one a document of its own that no later change meets; null sources and languages are groups of their own; an empty batch commits
         nothing but its marker. An unknown or null op stops the batch before it is committed.
         """
         names = self._committed()
@@ -103,8 +103,9 @@ class TokenRollup:
         folder = f"{ordinal:09d}-{name}"
         version = F.col("version").cast("long") if "version" in changes.columns else F.lit(0).cast("long")
         op = F.when(F.col("op").isin("insert", "upsert", "revise", "delete"), F.col("op")).otherwise(F.raise_error(F.concat(F.lit("unknown op: "), F.coalesce(F.col("op").cast("string"), F.lit("null")))))
+        no_id = F.concat(F.lit(f"null-{ordinal}-"), F.monotonically_increasing_id().cast("string")) if nulls_apart else F.lit("null")
         rows = changes.select(
-            F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
+            F.coalesce(F.col("doc_id").cast("string"), no_id).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
             F.col("lang").cast("string").alias("lang"), (op != "delete").alias("live"), version.alias("version"), F.xxhash64("text").alias("text_hash"),
             F.when(op != "delete", F.col("text").cast("string")).alias("text"),
         )
@@ -138,5 +139,5 @@ def count_documents(docs: DataFrame, root: str | None = None, version: tuple[str
     rollup = TokenRollup(docs.sparkSession, root or f"{shared_dir(docs.sparkSession)}/token-rollup-{uuid.uuid4().hex}", version)
     load = docs.select(F.lit("insert").alias("op"), "doc_id", "text", "source", "lang")
     for _ in range(2):
-        rollup.apply("load", load)
+        rollup.apply("load", load, nulls_apart=True)
     return rollup.totals()

@@ -83,3 +83,9 @@ def test_long_texts_and_documents(spark):
     got = {(r.source, r.lang): (r.n_docs, r.n_tokens) for r in token_rollup.count_documents(docs).collect()}
     assert got[None, None] == (1, tokens("x <|endoftext|> y")) and got["s", "en"][0] == 1
     assert token_rollup.count_documents(docs.limit(0)).count() == 0
+
+
+def test_documents_without_ids_count_each(spark):
+    docs = spark.createDataFrame([(None, "one text", "s", "en"), (None, "one text", "s", "en"), (None, "another", "s", "en"), (1, "a", "s", "en")], "doc_id long, text string, source string, lang string")
+    got = token_rollup.count_documents(docs.repartition(3)).first()
+    assert (got.n_docs, got.n_tokens) == (4, sum(map(tokens, ["one text", "one text", "another", "a"])))
