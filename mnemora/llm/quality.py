@@ -31,29 +31,42 @@ class Band:
 
 @dataclass(frozen=True)
 class QualityRules:
-    """The limits. ``bands`` ascend by ``min_bytes``; the last one that a piece reaches holds for it.
+    """The limits. ``bands`` ascend by ``min_bytes``; the last one that a text reaches holds for it.
 
-    Short pieces compress badly whatever they say (a frame header and no history), so pieces under the
-    first band aren't judged, and the bands tighten with length. The limits come from the clean texts of
-    a bounded sample (see the README): low is their 0.5th percentile less 0.005, high the 99.5th and
-    0.03; for chunks, of which a long text has many, the 0.1th and 99.9th.
+    Short texts compress badly whatever they say (a frame header and no history), so the bands tighten
+    with length. The limits come from :func:`fit_bands` over the clean texts of a bounded sample (see the
+    README): low is their 0.5th percentile less 0.005, high the 99.5th and 0.03.
+
+    ``chunks`` are bands of one size each: the whole text is cut into chunks of exactly ``min_bytes``, the
+    last of them ending with the text (it overlaps the one before), so every byte of a text is judged in
+    each size that the text reaches. A text that one chunk would hold is judged as a whole.
     """
 
     min_words: int = 50
     max_repeat_percent: int = 50
     level: int = 3
-    chunk_bytes: int = 4096
     bands: tuple[Band, ...] = (
-        Band(128, 0.25, 1.00), Band(256, 0.520, 0.754), Band(512, 0.521, 0.703), Band(724, 0.497, 0.659), Band(1024, 0.488, 0.616), Band(1448, 0.473, 0.583), Band(2048, 0.460, 0.558), Band(2896, 0.444, 0.537),
-        Band(4096, 0.434, 0.522), Band(5793, 0.425, 0.498), Band(8192, 0.414, 0.492), Band(11585, 0.412, 0.479), Band(16384, 0.404, 0.463), Band(23170, 0.397, 0.464), Band(32768, 0.355, 0.461),
+        Band(128, 0.25, 1.00), Band(256, 0.520, 0.754), Band(512, 0.521, 0.703), Band(724, 0.497, 0.659),
+        Band(1024, 0.488, 0.616), Band(1448, 0.473, 0.583), Band(2048, 0.460, 0.558), Band(2896, 0.444, 0.537),
+        Band(4096, 0.434, 0.522), Band(5793, 0.425, 0.498), Band(8192, 0.414, 0.492), Band(11585, 0.412, 0.479),
+        Band(16384, 0.404, 0.463), Band(23170, 0.397, 0.464), Band(32768, 0.355, 0.461),
     )
-    chunk_bands: tuple[Band, ...] = (Band(2048, 0.400, 0.564), Band(2896, 0.385, 0.540), Band(4096, 0.385, 0.528))
+    chunks: tuple[Band, ...] = (Band(1024, 0.430, 0.650), Band(4096, 0.385, 0.528))
 
-    def inside(self, size: int, packed: int, bands: tuple[Band, ...]) -> bool:
-        own = [b for b in bands if size >= b.min_bytes]
+    def inside(self, size: int, packed: int) -> bool:
+        own = [b for b in self.bands if size >= b.min_bytes]
         return not own or own[-1].low <= packed / size <= own[-1].high
 
 
+def pieces(raw: bytes, size: int) -> Iterator[bytes]:
+    """Chunks of exactly ``size`` bytes that cover ``raw``; none if it has no more bytes than that."""
+    last = len(raw) - size
+    if last > 0:
+        for i in range(0, last, size):
+            yield raw[i : i + size]
+        yield raw[last:]
+
+
 def repeated_words(words: list[bytes]) -> int:
     """Words that lie in a 3-word window that the text holds twice or more."""
     n = len(words)
@@ -87,29 +100,33 @@ class Judge:
         ratio, low, high, fine = None, None, None, True
         if raw:
             packed = len(self.pack.compress(raw))
-            ratio, fine = packed / len(raw), rules.inside(len(raw), packed, rules.bands)
-            step = rules.chunk_bytes
-            for i in range(0, len(raw), step):
-                piece = raw[i : i + step]
-                if len(piece) < rules.chunk_bands[0].min_bytes:
-                    continue
-                packed = len(self.pack.compress(piece))
-                part = packed / len(piece)
-                low, high = part if low is None else min(low, part), part if high is None else max(high, part)
-                fine = fine and rules.inside(len(piece), packed, rules.chunk_bands)
+            ratio = low = high = packed / len(raw)
+            fine = rules.inside(len(raw), packed)
+            for band in rules.chunks:
+                parts = [len(self.pack.compress(x)) / band.min_bytes for x in pieces(raw, band.min_bytes)]
+                if parts:
+                    fine = fine and band.low <= min(parts) and max(parts) <= band.high
+                    if band is rules.chunks[0]:
+                        low, high = min(parts), max(parts)
         failed = len(words) < rules.min_words or 100 * repeats > rules.max_repeat_percent * len(words)
-        return len(words), chars, len(_SYMBOLS.findall(text)), len(lines) - len(set(lines)), repeats, failed, fine and not failed, ratio, low, high
+        base = len(words), chars, len(_SYMBOLS.findall(text)), len(lines) - len(set(lines)), repeats
+        return *base, failed, fine and not failed, len(raw), ratio, low, high
 
 
-_FIELDS = {"n_words": pa.int64(), "word_chars": pa.int64(), "n_symbols": pa.int64(), "n_dup_lines": pa.int64(), "n_repeat_words": pa.int64(), "base_failed": pa.bool_(), "kept": pa.bool_(), "ratio": pa.float64(), "min_chunk_ratio": pa.float64(), "max_chunk_ratio": pa.float64()}
-_MEASURED = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, min_chunk_ratio double, max_chunk_ratio double"
+_FIELDS = {x: pa.int64() for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
+_FIELDS |= {"base_failed": pa.bool_(), "kept": pa.bool_(), "n_bytes": pa.int64()}
+_FIELDS |= {x: pa.float64() for x in ("ratio", "min_chunk_ratio", "max_chunk_ratio")}
+_MEASURED = (
+    "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
+    "kept boolean, n_bytes long, ratio double, min_chunk_ratio double, max_chunk_ratio double"
+)
 
 
 def measure(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """One row per document: its counts, ratios and verdict.
 
     A null text counts as empty: no words, so the base rule rejects it. Ratios are null where there
-    is nothing to compress. Rows stay one to one, repeated and null ids included; an empty table gives
+    is nothing to compress; those of chunks are of the smallest size, or the text's where it has none. Rows stay one to one, repeated and null ids included; an empty table gives
     an empty one. A narrow pass over each whole text, without a shuffle.
     """
 
@@ -118,9 +135,25 @@ def measure(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
         for batch in batches:
             rows = [judge.measure(x.as_py()) for x in batch.column(1)]
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(_FIELDS)
-            yield pa.record_batch([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, _FIELDS.values(), strict=True))], names=["doc_id", *_FIELDS])
+            arrays = (pa.array(c, t) for c, t in zip(columns, _FIELDS.values(), strict=True))
+            yield pa.record_batch([batch.column(0), *arrays], names=["doc_id", *_FIELDS])
+
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return picked.mapInArrow(run, _MEASURED)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _MEASURED)
+
+def fit_bands(docs: DataFrame, max_rows: int = 20_000, least: int = 50, rules: QualityRules = QualityRules()) -> tuple[Band, ...]:
+    """Bands for whole texts from clean documents: per half octave of bytes, percentiles of the ratio with a margin.
+
+    Of ``docs`` that pass the base rule, the ``max_rows`` with the smallest hash of their id are used (a fixed
+    sample, whatever the order of rows); a half octave with fewer than ``least`` of them gets no band, and an
+    empty table gives none. What comes to the driver is one row per half octave.
+    """
+    sample = measure(docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows), rules).where("not base_failed and n_bytes > 0")
+    step = F.floor(2 * F.log2(F.col("n_bytes"))).alias("step")
+    limits = sample.groupBy(step).agg(F.count("*").alias("n"), F.percentile("ratio", [0.005, 0.995]).alias("q"))
+    rows = limits.where(F.col("n") >= least).orderBy("step").collect()
+    return tuple(Band(round(2 ** (r.step / 2)), round(r.q[0] - 0.005, 3), round(r.q[1] + 0.03, 3)) for r in rows)
 
 
 def keep_good(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
