@@ -32,7 +32,10 @@ _HEADER_BYTES = 1 << 16
 
 @dataclass(frozen=True)
 class WarcOptions:
-    """``min_revisit_bytes``: smaller payloads are always stored. ``salts`` spread a payload that many pages share."""
+    """``min_revisit_bytes``: smaller payloads are always stored. ``salts`` spread a payload that many pages share.
+
+    ``max_tasks``: an archive is read by as many tasks as it has ranges of ``split_bytes``, up to this many.
+    """
 
     min_revisit_bytes: int = 0
     gzip_level: int = 6
@@ -41,6 +44,7 @@ class WarcOptions:
     chunk_bytes: int = 1 << 20
     date: str = "2020-01-01T00:00:00Z"
     salts: int = 16
+    max_tasks: int = 50_000
 
 
 def payload_digest(payload: bytes) -> str:
@@ -271,7 +275,9 @@ def read(manifest: DataFrame, options: WarcOptions = WarcOptions(), with_payload
     ranges = manifest.select("path", F.explode(F.sequence(F.lit(0).cast("long"), last, split)).alias("start"), split.alias("split"), counts.alias("counts"))
     expected = F.coalesce(F.get("counts", (F.col("start") / F.col("split")).cast("int")), F.when(F.col("counts").isNotNull(), 0)).cast("long")
     ranges = ranges.select("path", "start", "split", expected.alias("expected"))
-    ranges = ranges.repartition(F.col("path"), F.col("start"))
+    # a stated number of tasks, as adaptive execution would put these small rows into one; whole rows are dealt in turn
+    tasks = ranges.agg(F.count("*")).first()[0]
+    ranges = ranges.repartition(max(1, min(tasks, options.max_tasks)))
 
     def rows_of(path: str, start: int, split: int, expected: int | None) -> Iterator[tuple]:
         store, name = fs.FileSystem.from_uri(path)

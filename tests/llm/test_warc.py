@@ -104,3 +104,15 @@ def test_records_are_counted(spark, tmp_path):
     path.write_bytes(data[: data.rindex(warc.MAGIC)])  # the last record is gone, cleanly
     with pytest.raises(Exception, match="records from"):
         warc.read(manifest).collect()
+
+
+def test_ranges_are_read_by_many_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    options = WarcOptions(split_bytes=8000)
+    manifest = warc.write(spark.createDataFrame(rows(), PAGES).coalesce(1), f"file://{tmp_path}/w", options)
+    n = manifest.select(F.ceil(F.col("bytes") / 8000).alias("n")).groupBy().sum("n").first()[0]
+    back = warc.read(manifest, options)
+    assert n >= 8 and back.rdd.getNumPartitions() == n
+    assert back.select(F.spark_partition_id().alias("p")).distinct().count() > n // 4
+    assert warc.read(manifest, WarcOptions(split_bytes=8000, max_tasks=3)).rdd.getNumPartitions() == 3
