@@ -1,14 +1,15 @@
 """Licence scans: a trained paragraph classifier whose predictions templates must confirm.
 
 Sparse multinomial logistic regression over word 1-, 2- and 3-grams tells licence families from an
-explicit class "unknown". Only n-grams with a licence term in them are features, so a paragraph without
-one has no evidence and is unknown by construction: such paragraphs are passed over after one search of
-the text, and this changes no result. Probabilities are calibrated on held-out sentences (temperature,
-and a threshold above every held-out unknown). A predicted paragraph counts only if it contains enough
-of the word pairs of one of the family's templates.
-
-Training takes the paragraphs in ``license_texts`` (a fixed set, well under a thousand rows), runs on the
-driver in about a second, and looks at no document. The scan itself is one narrow pass of DataFrame
+explicit class "unknown", which is trained on prose about rights, on licences of other families and on
+sentences that deny, cite or compare a licence. Features are taken near a licence term only, so a paragraph
+without one has no evidence and is unknown by construction: such paragraphs are passed over after one
+search of the text, and this changes no result. Probabilities are calibrated on wordings not trained on
+(temperature, and the threshold that loses the fewest of them). A predicted paragraph counts only if it
+holds enough of the word pairs of one of the family's templates.
+
+Training takes the paragraphs in ``license_texts`` (a fixed set of some thousand rows), runs on the
+driver in some seconds, and takes no row of any table. The scan itself is one narrow pass of DataFrame
 functions: the model is three constants of the plan.
 """
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 import json
 import math
 import re
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
@@ -25,10 +27,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .license_texts import HEADINGS, HELD_OUT_FRAMES, KEYS, NAMES, SHORT_FORMS, SPDX, TEMPLATES, TRAIN_FRAMES, UNKNOWN, UNKNOWN_SHORT
+from .license_texts import (
+    CALIBRATION_DENIALS, CALIBRATION_NOTICES, DENIALS, HEADINGS, HELD_OUT_FRAMES, KEYS, NAMES, SHORT_FORMS, SPDX, TEMPLATES, TRAIN_FRAMES, UNKNOWN, UNKNOWN_SHORT,
+)
 
 UNKNOWN_CLASS = "unknown"
-#: Licence terms, as patterns for the start of a word: an n-gram without one is no feature.
+#: Licence terms, as patterns for the start of a word: words further than ``near`` from one are no features.
 TERMS = ("licen[cs]", "unlicen[cs]", "copyright", "spdx", "gnu", "gpl", "lgpl", "agpl", "bsd", "mpl", "apache", "mozilla", "cc0?(?![a-z0-9])", "rights", "redistribut", "public", "creative", "permission")
 #: A version loses its word and its "v", and stands apart from a name: GPLv3, GPL-3.0 and GPL version 3 are alike.
 _VERSION = r"(?:(?<=gpl)|(?<=mpl)|(?<=asl)|(?<=apache)|(?<![a-z0-9]))[\s(,]*(?:version|v)\.?\s*(?=[0-9])|(?<=gpl)(?=[0-9])"
@@ -39,12 +43,16 @@ _TERM_START = "|".join(TERMS)
 
 @dataclass(frozen=True)
 class LicenseRules:
-    """``l1``: weight of the sparsity penalty; ``similarity``: share of a template's word pairs that confirms; ``run_lines``: lines joined to find wrapped notices."""
+    """``l1``: weight of the sparsity penalty; ``near``: words around a licence term that are features;
+    ``similarity``: share of a template's word pairs that confirms; ``false_weight``: how much more than a
+    missed notice a passed denial weighs when the threshold is chosen; ``run_lines``: lines joined to find wrapped notices.
+    """
 
-    l1: float = 0.0004
-    rounds: int = 600
+    l1: float = 0.0002
+    rounds: int = 160
+    near: int = 5
     similarity: float = 0.6
-    least_threshold: float = 0.5
+    false_weight: float = 3.0
     run_lines: tuple[int, ...] = (4, 8, 16)
 
 
@@ -56,8 +64,20 @@ def grams(words: list[str], sizes: tuple[int, ...] = (1, 2, 3)) -> set[str]:
     return {" ".join(words[i : i + n]) for n in sizes for i in range(len(words) - n + 1)}
 
 
+_TERM = re.compile(rf"(?:{_TERM_START})")
+
+
+def features(text: str, near: int) -> set[str]:
+    """N-grams of adjacent words that all lie within ``near`` words of a licence term."""
+    words = tokens(text)
+    at = [i for i, w in enumerate(words) if _TERM.match(w)]
+    close = {j for i in at for j in range(max(0, i - near), min(len(words), i + near + 1))}
+    return {g for g in grams([w if i in close else "" for i, w in enumerate(words)]) if not ("  " in f" {g} " or g == "")}
+
+
 @dataclass(frozen=True)
 class LicenseModel:
+    near: int
     classes: tuple[str, ...]
     weights: dict[str, tuple[float, ...]]
     bias: tuple[float, ...]
@@ -66,7 +86,7 @@ class LicenseModel:
 
     def probabilities(self, text: str) -> np.ndarray:
         z = np.array(self.bias)
-        for g in sorted(grams(tokens(text)) & self.weights.keys()):
+        for g in sorted(features(text, self.near) & self.weights.keys()):
             z = z + np.array(self.weights[g])
         e = np.exp((z - z.max()) / self.temperature)
         return e / e.sum()
@@ -82,24 +102,33 @@ def _labelled(frames: tuple[str, ...]) -> list[tuple[str, str]]:
     return known + [(UNKNOWN_CLASS, frame.format(t)) for t in UNKNOWN for frame in frames]
 
 
-def _short(forms: tuple[str, ...]) -> dict[str, list[str]]:
-    """Each form with each name and identifier of a family."""
-    return {f: sorted({form.replace("{}", n) for n in (*NAMES[f], *SPDX[f]) for form in forms}) for f in NAMES}
+def filled(forms: tuple[str, ...], spdx: bool = True) -> list[tuple[str, str]]:
+    """``(family, sentence)``: each form with each name, and identifier, of each family."""
+    every = {f: (*NAMES[f], *SPDX[f]) if spdx else NAMES[f] for f in NAMES}
+    return sorted({(f, form.replace("{}", n)) for f, names in every.items() for n in names for form in forms})
 
 
 @lru_cache(maxsize=1)
 def _short_rows() -> list[tuple[str, str]]:
-    """Short notices to train on, one of each token sequence."""
-    rows = [(f, t) for f, ts in _short(SHORT_FORMS).items() for t in ts] + [(f, f"SPDX-License-Identifier: {x}") for f, xs in SPDX.items() for x in xs] + [(f, t) for f, ts in HEADINGS.items() for t in ts]
-    rows += [(UNKNOWN_CLASS, t) for t in UNKNOWN_SHORT for _ in range(4)]
-    return list({(f, *tokens(t), i if f == UNKNOWN_CLASS else 0): (f, t) for i, (f, t) in enumerate(rows)}.values())
+    """Short notices and denials to train on, one of each token sequence."""
+    rows = filled(SHORT_FORMS, spdx=False) + filled(KEYS[:2])
+    stated = [(f, f"SPDX-License-Identifier: {x}") for f, xs in SPDX.items() for x in xs]
+    rows += [(f, t) for f, ts in HEADINGS.items() for t in ts]
+    rows += [(UNKNOWN_CLASS, t) for _, t in filled(DENIALS, spdx=False)]
+    rows = list({(f, *tokens(t)): (f, t) for f, t in rows}.values()) + 4 * stated
+    return rows + [(UNKNOWN_CLASS, t) for t in UNKNOWN_SHORT for _ in range(4)]
+
+
+def _calibration_rows() -> list[tuple[str, str]]:
+    """Wordings that training doesn't see, known and unknown in equal number or nearly so."""
+    return _labelled(HELD_OUT_FRAMES) + filled(CALIBRATION_NOTICES, spdx=False) + [(UNKNOWN_CLASS, t) for _, t in filled(CALIBRATION_DENIALS, spdx=False)]
 
 
 @lru_cache(maxsize=1)
 def _template_pairs() -> dict[str, list[list[str]]]:
     """Word pairs of each family's templates and headings, and of its keys, which are so short that nearly all must be held."""
-    keys = _short((*KEYS, "identifier {}"))
-    every = {f: [*ts, *keys.get(f, ()), *HEADINGS.get(f, ())] for f, ts in TEMPLATES.items()}
+    keys = filled((*KEYS, "identifier {}"))
+    every = {f: [*ts, *(t for g, t in keys if g == f), *HEADINGS.get(f, ())] for f, ts in TEMPLATES.items()}
     return {f: sorted({tuple(sorted(grams(tokens(t), (2,)))) for t in ts if len(tokens(t)) > 1}) for f, ts in every.items()}
 
 
@@ -107,32 +136,37 @@ def _template_pairs() -> dict[str, list[list[str]]]:
 def train(rules: LicenseRules = LicenseRules()) -> LicenseModel:
     rows = _labelled(TRAIN_FRAMES) + _short_rows()
     classes = (UNKNOWN_CLASS, *TEMPLATES)
-    term = re.compile(rf"(?:^| )(?:{_TERM_START})")
-    found = [{g for g in grams(tokens(text)) if term.search(g)} for _, text in rows]
-    vocabulary = sorted(set().union(*found))
+    found = [features(text, rules.near) for _, text in rows]
+    held_by = Counter(g for gs in found for g in gs)
+    vocabulary = sorted(g for g, n in held_by.items() if n > 1)
     at = {g: j for j, g in enumerate(vocabulary)}
-    x = np.zeros((len(rows), len(vocabulary)))
+    x = np.zeros((len(rows), len(vocabulary)), dtype=np.float32)
     for i, gs in enumerate(found):
-        x[i, [at[g] for g in gs]] = 1.0
-    y = np.eye(len(classes))[[classes.index(f) for f, _ in rows]]
-    share = y.mean(axis=0)
-    importance = (y / share).sum(axis=1, keepdims=True) / len(classes)  # every class weighs the same
-    w, b = np.zeros((len(vocabulary), len(classes))), np.zeros(len(classes))
+        x[i, [at[g] for g in gs if g in at]] = 1.0
+    y = np.eye(len(classes), dtype=np.float32)[[classes.index(f) for f, _ in rows]]
+    importance = (y / y.mean(axis=0)).sum(axis=1, keepdims=True) / len(classes)  # every class weighs the same
+    importance[y[:, 0] > 0] *= 2  # and "unknown" as much as two, for its many kinds
+    importance = (importance / importance.mean()).astype(np.float32)
+    w, b = np.zeros((len(vocabulary), len(classes)), dtype=np.float32), np.zeros(len(classes), dtype=np.float32)
     b[0] = 2.0  # without evidence a paragraph is unknown; the bias stays fixed
-    step = 8.0 / np.linalg.norm(x * np.sqrt(importance), 2) ** 2 * len(rows) / 2
+    v = np.ones(len(vocabulary), dtype=np.float32)
+    for _ in range(20):  # largest eigenvalue by the power method
+        v = x.T @ (importance[:, 0] * (x @ v))
+        v /= (size := np.linalg.norm(v))
+    step = np.float32(2 * len(rows) / (1.05 * size))
     previous, t = w, 1.0
     for _ in range(rules.rounds):  # accelerated proximal gradient
         t_next = (1 + math.sqrt(1 + 4 * t * t)) / 2
-        ahead = w + (t - 1) / t_next * (w - previous)
+        ahead = w + np.float32((t - 1) / t_next) * (w - previous)
         z = x @ ahead + b
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        moved = ahead - step * (x.T @ (importance * (p - y)) / len(rows))
-        previous, w, t = w, np.sign(moved) * np.maximum(np.abs(moved) - step * rules.l1, 0.0), t_next
-    used = np.flatnonzero(np.abs(w).sum(axis=1) > 0)
-    weights = {vocabulary[j]: tuple(round(float(v), 6) for v in w[j]) for j in used}
-    plain = LicenseModel(classes, weights, tuple(map(float, b)), 1.0, 0.0)
-    held = [(classes.index(f), np.log(np.maximum(plain.probabilities(text), 1e-300))) for f, text in _labelled(HELD_OUT_FRAMES)]
+        moved = ahead - step * (x.T @ (importance * (p - y)) / np.float32(len(rows)))
+        previous, w, t = w, np.sign(moved) * np.maximum(np.abs(moved) - step * np.float32(rules.l1), 0), t_next
+    used = np.flatnonzero(np.abs(w).sum(axis=1) > 1e-3)
+    weights = {vocabulary[j]: tuple(round(float(a), 4) for a in w[j]) for j in used}
+    plain = LicenseModel(rules.near, classes, weights, tuple(map(float, b)), 1.0, 0.0)
+    held = [(classes.index(f), np.log(np.maximum(plain.probabilities(text), 1e-300))) for f, text in _calibration_rows()]
 
     def loss(temperature: float) -> float:
         total = 0.0
@@ -142,9 +176,21 @@ def train(rules: LicenseRules = LicenseRules()) -> LicenseModel:
         return total
 
     temperature = min((0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0, 1.2, 1.5, 2.0), key=loss)
-    sure = LicenseModel(classes, weights, plain.bias, temperature, 0.0)
-    others = [sure.probabilities(text)[1:].max() for f, text in _labelled(HELD_OUT_FRAMES) if f == UNKNOWN_CLASS]
-    return LicenseModel(classes, weights, plain.bias, temperature, round(max(rules.least_threshold, min(0.95, max(others) + 0.02)), 6))
+    sure = LicenseModel(rules.near, classes, weights, plain.bias, temperature, 0.0)
+    seen = [(f, *_best(sure.probabilities(text), classes)) for f, text in _calibration_rows()]
+
+    def cost(threshold: float) -> float:
+        """What calibration rows lose at a threshold: notices missed and, weighing as stated, others that pass."""
+        missed = [p < threshold or g != f for f, g, p in seen if f != UNKNOWN_CLASS]
+        passed = [g != UNKNOWN_CLASS and p >= threshold for f, g, p in seen if f == UNKNOWN_CLASS]
+        return sum(missed) / len(missed) + rules.false_weight * sum(passed) / len(passed)
+
+    return LicenseModel(rules.near, classes, weights, plain.bias, temperature, min((x / 100 for x in range(50, 96)), key=cost))
+
+
+def _best(p: np.ndarray, classes: tuple[str, ...]) -> tuple[str, float]:
+    k = int(p.argmax())
+    return classes[k], float(p[k])
 
 
 def _constant(value: object, kind: str) -> Column:
@@ -162,6 +208,13 @@ def _tokens(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.regexp_replace(F.lower(text), _VERSION, " "), F.lit(_TOKEN), 0), lambda w: F.when(w.rlike(_NUMBER), "#").otherwise(w))
 
 
+def _near_terms(words: Column, near: int) -> Column:
+    """The words with "" in place of those further than ``near`` from a licence term: no n-gram with a gap is in the vocabulary."""
+    start = lambda i: F.greatest(i - near, F.lit(0)) + 1
+    around = lambda i: F.slice(words, start(i), i + near + 2 - start(i))
+    return F.transform(words, lambda w, i: F.when(F.exists(around(i), lambda x: x.rlike(f"^(?:{_TERM_START})")), w).otherwise(""))
+
+
 def _confirmed(candidates: Column, model: LicenseModel, rules: LicenseRules) -> Callable[[DataFrame], DataFrame]:
     """Replaces ``candidates`` (structs of paragraph, lines, text) in column ``p`` by those the model and a template of its family accept."""
     weights = _constant({g: list(v) for g, v in model.weights.items()}, "map<string,array<double>>")
@@ -169,7 +222,7 @@ def _confirmed(candidates: Column, model: LicenseModel, rules: LicenseRules) ->
     pairs = _constant({f: list(map(list, ts)) for f, ts in _template_pairs().items()}, "map<string,array<array<string>>>")
     classes = F.array(*map(F.lit, model.classes))
     own = lambda p: (p["paragraph"].alias("paragraph"), p["lines"].alias("lines"), p["text"].alias("text"))
-    features = lambda p: F.array_intersect(F.concat(_grams(p["words"], 1), _grams(p["words"], 2), _grams(p["words"], 3)), vocabulary)
+    evidence = lambda p: F.array_intersect(F.concat(_grams(p["close"], 1), _grams(p["close"], 2), _grams(p["close"], 3)), vocabulary)
     logits = lambda p: F.aggregate(p["f"], F.array(*map(F.lit, model.bias)), lambda z, g: F.zip_with(z, F.element_at(weights, g), lambda a, b: a + b))
     best = lambda p: F.element_at(classes, F.array_position(p["z"], F.array_max(p["z"])).cast("int"))
     sure = lambda p: 1 / F.aggregate(p["z"], F.lit(0.0), lambda s, z: s + F.exp((z - F.array_max(p["z"])) / model.temperature))
@@ -177,7 +230,8 @@ def _confirmed(candidates: Column, model: LicenseModel, rules: LicenseRules) ->
 
     def run(step: DataFrame) -> DataFrame:
         step = step.withColumn("p", F.transform(candidates, lambda p: F.struct(*own(p), _tokens(p["text"]).alias("words"))))
-        step = step.withColumn("p", F.transform("p", lambda p: F.struct(*own(p), p["words"].alias("words"), features(p).alias("f"))))
+        step = step.withColumn("p", F.transform("p", lambda p: F.struct(*own(p), p["words"].alias("words"), _near_terms(p["words"], rules.near).alias("close"))))
+        step = step.withColumn("p", F.transform("p", lambda p: F.struct(*own(p), p["words"].alias("words"), evidence(p).alias("f"))))
         step = step.withColumn("p", F.transform("p", lambda p: F.struct(*own(p), p["words"].alias("words"), logits(p).alias("z"))))
         step = step.withColumn("p", F.transform("p", lambda p: F.struct(*own(p), F.array_distinct(_grams(p["words"], 2)).alias("pairs"), best(p).alias("family"), sure(p).alias("probability"))))
         step = step.withColumn("p", F.filter("p", lambda p: (p["family"] != UNKNOWN_CLASS) & (p["probability"] >= model.threshold)))

@@ -1,7 +1,8 @@
 import textwrap
 
+import pytest
 from mnemora.llm import licenses
-from mnemora.llm.license_texts import HELD_OUT_FRAMES, HELD_OUT_NOTICES, NAMES, SPDX
+from mnemora.llm.license_texts import HELD_OUT_DENIALS, HELD_OUT_FRAMES, HELD_OUT_NOTICES, NAMES, SPDX
 
 DOCS = "doc_id long, text string, paragraphs string, probability int"
 
@@ -21,7 +22,7 @@ def test_families(spark):
     assert len(got) == len(rows)
     by = {r.doc_id: r.license_family for r in got}
     want = {1: "mit", 2: "cc-by-nc", 3: "apache", 4: "gpl", 13: "proprietary", 14: "bsd", None: "mit"}
-    assert by == {i: want.get(i, "mit" if i == 10 else "unknown") for i in [*texts(), None]}
+    assert by == {i: want.get(i, "unknown") for i in [*texts(), None]}
     three = next(r for r in got if r.doc_id == 3)
     assert three.families == ["apache", "mit"] and three.n_notices == 2
 
@@ -115,3 +116,50 @@ def test_recall_on_held_out_notices(spark):
 def test_a_grant_outweighs_reserved_rights(spark):
     text = "Copyright (c) 2001, The Authors\nAll rights reserved.\n\n" + "\n".join(textwrap.wrap(WRAPPED["bsd"], 60))
     assert families(spark, [text, "Copyright (c) 2001. All rights reserved."]) == ["bsd", "proprietary"]
+
+
+DENIED = [
+    "This article is not licensed under the MIT License.", "He wrote about the GPL version 3 license in his thesis.", "All rights reserved by the king in the treaty of 1815.",
+    "We compared the MIT license with the Apache 2.0 license and chose neither.", "The license of the MIT License test was a license",
+    "The rain was heavy.\nHe wrote about the GPL version 3 license in his thesis.\nThe people stayed in.",
+]
+
+
+def confirmed_by_hand(text, model, rules, use_model=True):
+    """One line: the model's family and its best share of a template's word pairs, restated without Spark."""
+    words = licenses.tokens(text)
+    pairs = {" ".join(words[i : i + 2]) for i in range(len(words) - 1)}
+    alike = {f: max(len(pairs & set(t)) / len(t) for t in ts) for f, ts in licenses._template_pairs().items()}
+    family = model.predict(text)[0] if use_model else max(alike, key=alike.get)
+    return family if family != "unknown" and alike[family] >= rules.similarity else "unknown"
+
+
+def test_denials_and_citations_are_unknown(spark):
+    assert families(spark, DENIED) == ["unknown"] * len(DENIED)
+    cases = [t for _, t in licenses.filled(HELD_OUT_DENIALS)]
+    got = families(spark, cases)
+    assert sum(g == "unknown" for g in got) >= 0.97 * len(cases)
+    model, rules = licenses.train(), licenses.LicenseRules()
+    # templates alone take nearly all of them for notices: it is the classifier that decides
+    assert sum(confirmed_by_hand(t, model, rules, use_model=False) == "unknown" for t in cases) < 0.1 * len(cases)
+
+
+def test_lines_equal_their_restatement(spark):
+    rules, model = licenses.LicenseRules(), licenses.train()
+    cases = [t for _, t in licenses._labelled(HELD_OUT_FRAMES)] + [t for _, t in licenses.filled(HELD_OUT_NOTICES)[::3]] + [t for _, t in licenses.filled(HELD_OUT_DENIALS)[::5]]
+    want = [confirmed_by_hand(t, model, rules) for t in cases]
+    assert families(spark, cases) == want and len(set(want)) == 13
+
+
+@pytest.mark.parametrize("sf", ["sf0.01"])
+def test_every_planted_line_is_found(spark, sf):
+    """The documents' own notices, none of which is a template for its family in these words."""
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    got = {r.doc_id: r.license_family for r in licenses.summarise(licenses.scan(docs)).collect()}
+    lines = {"MIT License.": "mit", "Apache License, Version 2.0.": "apache", "General Public License, version": "gpl", "CC BY-NC": "cc-by-nc", "All rights reserved.": "proprietary"}
+    seen = 0
+    for r in docs.collect():
+        held = {f for words, f in lines.items() if any(words in x for x in (r.text or "").split("\n"))}
+        assert got[r.doc_id] in (held or {"unknown"})
+        seen += bool(held)
+    assert seen >= 20
