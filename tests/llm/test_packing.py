@@ -10,7 +10,7 @@ DOCS = "doc_id long, text string, lang string, length long, bin_id string"
 
 def brute_best_fit(lengths, plan, opening):
     """The same rules over a plain list of bins; of bins with equal room, the one filled last."""
-    bins, at, touched, volume = [], [], {}, sum(lengths)
+    bins, at, touched = [], [], {}
     for k, n in enumerate(lengths):
         fitting = [(c - u, i) for i, (c, u) in enumerate(bins) if c - u >= n]
         if fitting:
@@ -18,12 +18,19 @@ def brute_best_fit(lengths, plan, opening):
             b = max((i for x, i in fitting if x == least), key=touched.get)
         else:
             allowed = [c for c in sorted(plan.capacities) if c >= n]
-            c = {"longest": allowed[-1], "shortest": allowed[0]}.get(opening) or min(allowed, key=lambda c: plan.cost(c) / max(1, min(c, volume)))
+
+            def hoped(c):
+                """Words a bin of ``c`` would hold if all that comes were put into it where it fits."""
+                words = n
+                for m in lengths[k + 1 :]:
+                    words += m if words + m <= c else 0
+                return max(1, words)
+
+            c = {"longest": allowed[-1], "shortest": allowed[0]}.get(opening) or min(allowed, key=lambda c: plan.cost(c) / hoped(c))
             b = len(bins)
             bins.append((c, 0))
         bins[b] = (bins[b][0], bins[b][1] + n)
         touched[b] = k
-        volume -= n
         at.append(b)
     used = [u for _, u in bins]
     return used, sum(plan.cost(min(c for c in plan.capacities if c >= u)) for u in used)
@@ -36,6 +43,7 @@ def test_best_fit_equals_a_plain_search():
         for opening in ("least", "longest", "shortest"):
             at, used, cost = packing.best_fit(lengths, SMALL, opening)
             want, want_cost = brute_best_fit(lengths, SMALL, opening)
+            assert packing.best_fit(lengths, SMALL, "least", 2)[:2] == packing.best_fit(lengths, SMALL, "longest")[:2]
             assert sorted(used) == sorted(want) and abs(cost - want_cost) < 1e-9
             assert [sum(n for n, b in zip(lengths, at, strict=True) if b == i) for i in range(len(used))] == used
 
@@ -76,3 +84,24 @@ def test_every_word_is_packed_once(spark):
 
 def test_empty(spark):
     assert packing.pack_documents(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_opening_by_what_is_left_is_cheaper():
+    """On lengths like the documents', neither always the shortest nor always the longest bin is as cheap."""
+    rng, plan = random.Random(5), PackingPlan()
+    cheaper = 0
+    for _ in range(10):
+        lengths = sorted((min(8192, int(rng.lognormvariate(6, 1.1))) for _ in range(1500)), reverse=True)
+        cost = {o: packing.best_fit(lengths, plan, o)[2] for o in ("least", "longest", "shortest")}
+        cheaper += cost["least"] < min(cost["longest"], cost["shortest"])
+        used = packing.pack_shard(lengths, plan)[1]
+        assert sum(plan.cost(min(c for c in plan.capacities if c >= u)) for u in used) <= min(cost.values())
+    assert cheaper >= 8
+
+
+def test_shards_are_spread_over_tasks(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 60).alias("length"))
+    got = packing.pack(df, SMALL).withColumn("task", F.spark_partition_id())
+    assert got.select("task").distinct().count() >= 8
