@@ -42,6 +42,24 @@ def _contracted(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(_contract, "u long, v long")
 
 
+#: A node with more than this share of the links is a hub: there can be twice as many as its inverse at most.
+_HUB_SHARE = 1 / 1000
+_HUB_LEAST = 1000
+
+
+def _with_least(links: DataFrame, around: DataFrame, total: int) -> DataFrame:
+    """``links (u, v)`` with the smallest node ``m`` around u, for which ``around`` has ``(u, m)``.
+
+    Rows of a hub would all meet in one task, so they get its ``m`` from a broadcast where they lie. It holds
+    the nodes with over a thousandth of the ``total`` links, of which there can't be more than two thousand.
+    """
+    degree = links.groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") > max(_HUB_LEAST, int(total * _HUB_SHARE))).select("u")
+    hubs = F.broadcast(around.join(F.broadcast(degree), "u").select("u", F.col("m").alias("hub_m")))
+    marked = links.join(hubs, "u", "left")
+    rest = marked.where("hub_m is null").select("u", "v").join(around, "u")
+    return rest.select("u", "v", "m").union(marked.where("hub_m is not null").select("u", "v", "hub_m"))
+
+
 def connected_components(links: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every node that has a link to another node.
 
@@ -54,14 +72,15 @@ def connected_components(links: DataFrame, a: str, b: str, max_rounds: int = 60)
     edges = cut(_contracted(edges))
     before = None
     for _ in range(max_rounds):
+        total = before[0] if before else edges.count()
         # large star: every larger neighbour of u moves to the smallest node around u
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        edges = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        edges = _with_least(both.where("v > u"), least, total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         # small star: smaller neighbours of u, and u itself, move to the smallest of them
         edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        moved = _with_least(edges, least, total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         edges = cut(_contracted(moved.union(least.select("u", F.col("m").alias("v")))).distinct())
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state == before:

@@ -7,7 +7,7 @@ confidence bound reaches the threshold are computed again, in double precision.
 in 4-bit steps with random rounding, so an estimate is five population counts inside the join.
 
 Candidates are pairs that share a bucket in one of several tables of random hyperplane signs. The
-number of bits follows the number of vectors and the number of tables the miss probability: a pair
+number of bits follows the number of vectors of the largest label and the number of tables the miss probability: a pair
 exactly at the threshold is missed with a probability of ``miss`` at most, closer pairs far less often.
 No group is compared all against all.
 """
@@ -39,8 +39,8 @@ class NearVectors:
     seed: int = 42
 
     def shape(self, n: int) -> tuple[int, int]:
-        """Bits per bucket and number of tables for ``n`` vectors."""
-        bits = min(30, max(4, math.ceil(math.log2(max(n, 1) / self.bucket_rows))) if n > self.bucket_rows else 4)
+        """Bits per bucket and number of tables where ``n`` vectors may link (those of the largest label)."""
+        bits = min(30, max(4, math.ceil(math.log2(max(n, 1) / self.bucket_rows))))
         agree = (1 - math.acos(self.threshold) / math.pi) ** bits
         return bits, math.ceil(math.log(self.miss) / math.log1p(-agree))
 
@@ -154,8 +154,9 @@ def near_vectors(vectors: DataFrame, near: NearVectors = NearVectors()) -> DataF
     rows = rows.withColumn("usable", usable)
     classes = rows.where("usable").groupBy("label", "vector").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("n"))
     nodes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
-    n, longest = nodes.agg(F.count("*"), F.max(F.size("vector"))).first()
-    bits, tables = near.shape(n)
+    groups = nodes.groupBy("label", F.size("vector").alias("dim")).agg(F.count("*").alias("n"))
+    largest, longest = groups.agg(F.max("n"), F.max("dim")).first()
+    bits, tables = near.shape(largest or 0)
     sketches = cut(_sketched(nodes, near, bits, tables))
     pairs = candidate_pairs(sketches, near, max(1, -(-(longest or 1) // 64)))
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("vector").alias(f"{x}_vector"))
@@ -163,7 +164,9 @@ def near_vectors(vectors: DataFrame, near: NearVectors = NearVectors()) -> DataF
     links = cut(exact.where(F.col("cosine") >= near.threshold).select("a", "b"))
     linked = connected_components(links, "a", "b")
     both = links.union(links.select("b", "a")).toDF("node", "other")
-    counts = both.join(nodes.select(F.col("node").alias("other"), "n"), "other").groupBy("node").agg(F.sum("n").alias("others"))
+    copied = nodes.where("n > 1").select(F.col("node").alias("other"), (F.col("n") - 1).alias("more"))
+    more = both.join(copied, "other").select("node", "more")
+    counts = both.select("node", F.lit(1).cast("long").alias("more")).union(more).groupBy("node").agg(F.sum("more").alias("others"))
     placed = nodes.join(linked, "node", "left").withColumn("root", F.coalesce("component", "node")).join(counts, "node", "left")
     named = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     ends = placed.join(named, "root").select("label", "vector", "component_id", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"))
