@@ -48,7 +48,9 @@ def parse(formatted: Column) -> Column:
     def turn(piece: Column) -> Column:
         at, body_end = F.instr(piece, MID), F.length(piece) - len(END)
         head, body = F.substring(piece, 1, at - 1), F.substring(piece, at + len(MID), body_end - at - len(MID) + 1)
-        sound = (at > 0) & piece.endswith(END) & (at + len(MID) - 1 <= body_end) & ~F.contains(body, F.lit("</turn>")) & ~F.contains(head, F.lit("</turn>"))
+        sound = (at > 0) & piece.endswith(END) & (
+            at + len(MID) - 1 <= body_end
+        ) & ~F.contains(body, F.lit("</turn>")) & ~F.contains(head, F.lit("</turn>"))
         return F.when(sound, F.struct(unescape(head).alias("role"), unescape(body).alias("text")))
 
     pieces = F.split(formatted, r"(?<!\\)### ", -1)
@@ -88,7 +90,9 @@ def format_conversations(rows: DataFrame, loss_role: str = "assistant") -> DataF
         loss = t["role"] == loss_role
         opening = F.concat(F.lit(HEAD), t["head"], F.lit(MID))
         parts = lambda text, on: F.struct(text.alias("text"), F.lit(on).alias("loss"))
-        return F.when(loss, F.array(parts(opening, False), parts(t["body"], True), parts(F.lit(END), False))).otherwise(F.array(parts(F.concat(opening, t["body"], F.lit(END)), False)))
+        return F.when(
+            loss, F.array(parts(opening, False), parts(t["body"], True), parts(F.lit(END), False))
+        ).otherwise(F.array(parts(F.concat(opening, t["body"], F.lit(END)), False)))
 
     shaped = grouped.select(
         "conv_id",
@@ -97,7 +101,9 @@ def format_conversations(rows: DataFrame, loss_role: str = "assistant") -> DataF
         F.array_join(F.transform("t", lambda t: _render(t["head"], t["body"])), "").alias("formatted"),
     )
     same = F.coalesce(parse(F.col("formatted")) == F.col("turns"), F.lit(False))
-    checked = F.when(same, F.col("formatted")).otherwise(F.raise_error(F.concat(F.lit("conversation doesn't parse back: "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null")))))
+    checked = F.when(same, F.col("formatted")).otherwise(
+        F.raise_error(F.concat(F.lit("conversation doesn't parse back: "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))))
+    )
     return shaped.withColumn("formatted", checked)
 
 
@@ -106,9 +112,15 @@ def digests(formatted: DataFrame) -> DataFrame:
     turns = parse(F.col("formatted"))
     read = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join(F.transform(F.filter("pieces", lambda p: p["loss"]), lambda p: unescape(p["text"])), "")
-    found = formatted.select("conv_id", F.size(turns).cast("long").alias("n_turns"), read.alias("read"), loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
+    found = formatted.select(
+        "conv_id", F.size(turns).cast("long").alias("n_turns"), read.alias("read"), loss.alias("loss"),
+        F.length("formatted").cast("long").alias("formatted_chars")
+    )
     hexed = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
-    return found.select("conv_id", "n_turns", hexed("read").alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), hexed("loss").alias("loss_sha256"), "formatted_chars")
+    return found.select(
+        "conv_id", "n_turns", hexed("read").alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
+        hexed("loss").alias("loss_sha256"), "formatted_chars"
+    )
 
 
 #: The digests, worked out from the source rows; lengths follow from the escaping rules alone.

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,19 +17,39 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (single-machine tests) a temporary folder of this
-    machine takes its place.
+    Only where that setting is absent on a single machine (tests) a temporary folder takes its place; on a
+    cluster its absence is an error, as other machines don't see such a folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     known = spark.sparkContext.getCheckpointDir()
     if known is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
         known = spark.sparkContext.getCheckpointDir()
     return known.rstrip("/")
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of intermediate data, wherever Spark reaches it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new folder below the shared one for data that results are read from; removed when the driver's Python ends."""
+    folder = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+    def forget() -> None:
+        with contextlib.suppress(Exception):  # the JVM may be gone already; the folder then stays
+            remove(spark, folder)
+
+    atexit.register(forget)
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and forget its lineage.
 

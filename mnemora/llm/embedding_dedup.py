@@ -34,8 +34,8 @@ class NearVectors:
 
     threshold: float = 0.93
     miss: float = 1e-6
-    sigmas: float = 5.5
-    bucket_rows: int = 256
+    sigmas: float = 4.5
+    bucket_rows: int = 32
     seed: int = 42
 
     def shape(self, n: int) -> tuple[int, int]:
@@ -82,7 +82,9 @@ def sketch(vectors: np.ndarray, bits: int, tables: int, seed: int) -> dict[str,
     signs = (unit @ _planes(unit.shape[1], bits, tables, seed) > 0).reshape(len(unit), tables, bits)
     keys = (signs @ (1 << np.arange(bits, dtype=np.int64))) + (np.arange(tables, dtype=np.int64) << 32)
     return {
-        "code": _words(sign), "factor": np.abs(turned).sum(axis=1) / math.sqrt(dim), "low": low[:, 0], "step": step[:, 0], "total": level.sum(axis=1) * step[:, 0] + low[:, 0] * dim,
+        "code": _words(sign), "factor": np.abs(
+            turned
+        ).sum(axis=1) / math.sqrt(dim), "low": low[:, 0], "step": step[:, 0], "total": level.sum(axis=1) * step[:, 0] + low[:, 0] * dim,
         "planes": np.stack([_words(level >> j & 1) for j in range(4)], axis=1).reshape(len(unit), -1), "keys": keys,
     }
 
@@ -101,7 +103,13 @@ def _sketched(nodes: DataFrame, near: NearVectors, bits: int, tables: int) -> Da
                 made = sketch(part.column(2).flatten().to_numpy().reshape(len(rows), int(size)), bits, tables, near.seed)
                 listed = lambda a: pa.FixedSizeListArray.from_arrays(pa.array(a.ravel(), pa.int64()), a.shape[1]).cast(pa.list_(pa.int64()))
                 flat = {k: listed(v) if v.ndim == 2 else pa.array(v, pa.float64()) for k, v in made.items()}
-                yield pa.record_batch([part.column(0), part.column(1), pa.array([size] * len(rows), pa.int32()), *(flat[k] for k in ("code", "factor", "low", "step", "total", "planes", "keys"))], names=[x.split()[0] for x in _SKETCH.split(", ")])
+                yield pa.record_batch(
+                    [
+                        part.column(0), part.column(1), pa.array([size] * len(rows), pa.int32()),
+                        *(flat[k] for k in ("code", "factor", "low", "step", "total", "planes", "keys"))
+                    ],
+                    names=[x.split()[0] for x in _SKETCH.split(", ")]
+                )
 
     return nodes.select("node", "label", "vector").mapInArrow(run, _SKETCH)
 
@@ -121,7 +129,9 @@ def candidate_pairs(sketches: DataFrame, near: NearVectors, words: int) -> DataF
             product = product + F.coalesce(F.bit_count(bits.bitwiseAND(plane)), F.lit(0)) * (1 << j)
     width = F.floor((F.col("dim") + 63) / 64) * 64.0
     estimate = (2 * (F.col("step") * product + F.col("low") * ones) - F.col("total")) / F.sqrt(width) / F.col("factor")
-    spread = (1 - F.col("factor") * F.col("factor")) / (F.col("factor") * F.col("factor")) / (width - 1) + F.pow(F.col("step") / (2 * F.col("factor")), 2)
+    spread = (1 - F.col("factor") * F.col("factor")) / (F.col("factor") * F.col("factor")) / (width - 1) + F.pow(
+        F.col("step") / (2 * F.col("factor")), 2
+    )
     hopeful = estimate + near.sigmas * F.sqrt(F.greatest(spread, F.lit(0.0))) >= near.threshold
     return left.join(right, place).where((F.col("a") < F.col("b")) & hopeful).select("a", "b").distinct()
 
@@ -150,7 +160,10 @@ def near_vectors(vectors: DataFrame, near: NearVectors = NearVectors()) -> DataF
     whole = F.col("embedding").cast("array<double>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), whole.alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    usable = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("vector") > 0) & finite & F.exists("vector", lambda x: x != 0), F.lit(False))
+    usable = F.coalesce(
+        F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("vector") > 0) & finite & F.exists("vector", lambda x: x != 0),
+        F.lit(False)
+    )
     rows = rows.withColumn("usable", usable)
     classes = rows.where("usable").groupBy("label", "vector").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("n"))
     nodes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
@@ -160,7 +173,9 @@ def near_vectors(vectors: DataFrame, near: NearVectors = NearVectors()) -> DataF
     sketches = cut(_sketched(nodes, near, bits, tables))
     pairs = candidate_pairs(sketches, near, max(1, -(-(longest or 1) // 64)))
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("vector").alias(f"{x}_vector"))
-    exact = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_vector", "b_vector").mapInArrow(_cosines, "a long, b long, cosine double")
+    exact = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_vector", "b_vector").mapInArrow(
+        _cosines, "a long, b long, cosine double"
+    )
     links = cut(exact.where(F.col("cosine") >= near.threshold).select("a", "b"))
     linked = connected_components(links, "a", "b")
     both = links.union(links.select("b", "a")).toDF("node", "other")

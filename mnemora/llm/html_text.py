@@ -237,7 +237,11 @@ class _Parser:
             stack.append(new._replace(out=True) if hard else new)
 
     def is_post(self, attrs: str) -> bool:
-        return any(m[1].lower() == "class" and not _POSTS.isdisjoint(x.lower() for x in _PIECES.findall(m[2] or m[3] or m[4] or "")) for m in _ATTR.finditer(attrs))
+        return any(
+            m[1].lower() == "class" and not _POSTS.isdisjoint(
+                x.lower() for x in _PIECES.findall(m[2] or m[3] or m[4] or "")
+            ) for m in _ATTR.finditer(attrs)
+        )
 
     def feed(self, page: str) -> list[Block]:
         at, unclosed = 0, set()

@@ -132,7 +132,10 @@ NAMES: dict[str, tuple[str, ...]] = {
     "mpl": ("MPL", "MPL 2.0", "Mozilla Public License", "Mozilla Public License 2.0"),
     "cc-by": ("CC BY", "CC BY 4.0", "Creative Commons Attribution", "Creative Commons Attribution 4.0 International"),
     "cc-by-sa": ("CC BY-SA", "CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike", "Creative Commons Attribution-ShareAlike 4.0 International"),
-    "cc-by-nc": ("CC BY-NC", "CC BY-NC 4.0", "CC BY-NC-SA 4.0", "CC BY-NC-ND 4.0", "Creative Commons Attribution-NonCommercial", "Creative Commons Attribution-NonCommercial 4.0 International"),
+    "cc-by-nc": (
+        "CC BY-NC", "CC BY-NC 4.0", "CC BY-NC-SA 4.0", "CC BY-NC-ND 4.0", "Creative Commons Attribution-NonCommercial",
+        "Creative Commons Attribution-NonCommercial 4.0 International"
+    ),
     "public-domain": ("CC0", "CC0 1.0", "Unlicense", "CC0 1.0 Universal"),
 }
 _GNU = ("{}", "{}+", "{}-only", "{}-or-later")
@@ -144,7 +147,10 @@ SPDX: dict[str, tuple[str, ...]] = {
     "gpl": _gnu(("GPL-1.0", "GPL-2.0", "GPL-3.0")),
     "lgpl": _gnu(("LGPL-2.0", "LGPL-2.1", "LGPL-3.0")),
     "agpl": _gnu(("AGPL-1.0", "AGPL-3.0")),
-    "bsd": ("BSD-1-Clause", "BSD-2-Clause", "BSD-2-Clause-Patent", "BSD-2-Clause-Views", "BSD-3-Clause", "BSD-3-Clause-Attribution", "BSD-3-Clause-Clear", "BSD-3-Clause-LBNL", "BSD-4-Clause", "BSD-4-Clause-UC"),
+    "bsd": (
+        "BSD-1-Clause", "BSD-2-Clause", "BSD-2-Clause-Patent", "BSD-2-Clause-Views", "BSD-3-Clause", "BSD-3-Clause-Attribution", "BSD-3-Clause-Clear",
+        "BSD-3-Clause-LBNL", "BSD-4-Clause", "BSD-4-Clause-UC"
+    ),
     "mpl": ("MPL-1.0", "MPL-1.1", "MPL-2.0", "MPL-2.0-no-copyleft-exception"),
     "cc-by": _cc("BY"),
     "cc-by-sa": _cc("BY-SA"),
@@ -179,7 +185,9 @@ SHORT_FORMS = (
     "the rain in the town was heavy licensed under {} and the people stayed in",
 )
 #: Further notices, to calibrate probabilities on; never trained on and no templates.
-CALIBRATION_NOTICES = ("Published under the {} license.", "The sources are covered by the {} license.", "(C) 2022 the team, {} license.", "Terms of use: {} license")
+CALIBRATION_NOTICES = (
+    "Published under the {} license.", "The sources are covered by the {} license.", "(C) 2022 the team, {} license.", "Terms of use: {} license"
+)
 #: Sentences about a licence that grant nothing: denials, citations, comparisons, questions. Those trained on, those to calibrate on, those to measure on.
 DENIALS = (
     "This article is not licensed under the {} license.", "The text was never released under the {} license.", "It can no longer be used under the {} license.",
@@ -201,7 +209,10 @@ HELD_OUT_DENIALS = (
     "The {} license appears in many school books.", "What does the {} license say about patents?", "This was never under the {} license.",
 )
 #: Notices in words that no form above has, to measure recall on; never trained on and no templates.
-HELD_OUT_NOTICES = ("The code is made available under a {} license.", "Project license: {}", "You can use this under the {} license or ask us.", "Everything here is licensed under {} unless noted.", "Code license - {}")
+HELD_OUT_NOTICES = (
+    "The code is made available under a {} license.", "Project license: {}", "You can use this under the {} license or ask us.",
+    "Everything here is licensed under {} unless noted.", "Code license - {}"
+)
 
 UNKNOWN_SHORT: tuple[str, ...] = (
     "All rights were reserved to the crown.", "All rights reserved to the lords by custom were lost.", "The rights reserved by the treaty of 1763 were few.",

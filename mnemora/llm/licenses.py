@@ -33,7 +33,10 @@ from .license_texts import (
 
 UNKNOWN_CLASS = "unknown"
 #: Licence terms, as patterns for the start of a word: words further than ``near`` from one are no features.
-TERMS = ("licen[cs]", "unlicen[cs]", "copyright", "spdx", "gnu", "gpl", "lgpl", "agpl", "bsd", "mpl", "apache", "mozilla", "cc0?(?![a-z0-9])", "rights", "redistribut", "public", "creative", "permission")
+TERMS = (
+    "licen[cs]", "unlicen[cs]", "copyright", "spdx", "gnu", "gpl", "lgpl", "agpl", "bsd", "mpl", "apache", "mozilla", "cc0?(?![a-z0-9])", "rights",
+    "redistribut", "public", "creative", "permission"
+)
 #: A version loses its word and its "v", and stands apart from a name: GPLv3, GPL-3.0 and GPL version 3 are alike.
 _VERSION = r"(?:(?<=gpl)|(?<=mpl)|(?<=asl)|(?<=apache)|(?<![a-z0-9]))[\s(,]*(?:version|v)\.?\s*(?=[0-9])|(?<=gpl)(?=[0-9])"
 _TOKEN = r"attribution(?:-[a-z]+)+|[a-z0-9]+(?:\.[a-z0-9]+)*"
@@ -121,7 +124,9 @@ def _short_rows() -> list[tuple[str, str]]:
 
 def _calibration_rows() -> list[tuple[str, str]]:
     """Wordings that training doesn't see, known and unknown in equal number or nearly so."""
-    return _labelled(HELD_OUT_FRAMES) + filled(CALIBRATION_NOTICES, spdx=False) + [(UNKNOWN_CLASS, t) for _, t in filled(CALIBRATION_DENIALS, spdx=False)]
+    return _labelled(HELD_OUT_FRAMES) + filled(CALIBRATION_NOTICES, spdx=False) + [
+        (UNKNOWN_CLASS, t) for _, t in filled(CALIBRATION_DENIALS, spdx=False)
+    ]
 
 
 @lru_cache(maxsize=1)
@@ -200,12 +205,16 @@ def _constant(value: object, kind: str) -> Column:
 
 def _grams(words: Column, n: int) -> Column:
     starts = F.sequence(F.lit(1), F.size(words) - n + 1)
-    return F.when(F.size(words) >= n, F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    return F.when(
+        F.size(words) >= n, F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+    ).otherwise(F.array().cast("array<string>"))
 
 
 def _tokens(text: Column) -> Column:
     """:func:`tokens` as an expression."""
-    return F.transform(F.regexp_extract_all(F.regexp_replace(F.lower(text), _VERSION, " "), F.lit(_TOKEN), 0), lambda w: F.when(w.rlike(_NUMBER), "#").otherwise(w))
+    return F.transform(
+        F.regexp_extract_all(F.regexp_replace(F.lower(text), _VERSION, " "), F.lit(_TOKEN), 0), lambda w: F.when(w.rlike(_NUMBER), "#").otherwise(w)
+    )
 
 
 def _near_terms(words: Column, near: int) -> Column:
@@ -230,12 +239,31 @@ def _confirmed(candidates: Column, model: LicenseModel, rules: LicenseRules) ->
 
     def run(step: DataFrame) -> DataFrame:
         step = step.withColumn("p", F.transform(candidates, lambda p: F.struct(*own(p), _tokens(p["text"]).alias("words"))))
-        step = step.withColumn("p", F.transform("p", lambda p: F.struct(*own(p), p["words"].alias("words"), _near_terms(p["words"], rules.near).alias("close"))))
+        step = step.withColumn(
+            "p", F.transform("p", lambda p: F.struct(*own(p), p["words"].alias("words"), _near_terms(p["words"], rules.near).alias("close")))
+        )
         step = step.withColumn("p", F.transform("p", lambda p: F.struct(*own(p), p["words"].alias("words"), evidence(p).alias("f"))))
         step = step.withColumn("p", F.transform("p", lambda p: F.struct(*own(p), p["words"].alias("words"), logits(p).alias("z"))))
-        step = step.withColumn("p", F.transform("p", lambda p: F.struct(*own(p), F.array_distinct(_grams(p["words"], 2)).alias("pairs"), best(p).alias("family"), sure(p).alias("probability"))))
+        step = step.withColumn(
+            "p",
+            F.transform(
+                "p",
+                lambda p: F.struct(
+                    *own(p), F.array_distinct(_grams(p["words"], 2)).alias("pairs"), best(p).alias("family"), sure(p).alias("probability")
+                )
+            )
+        )
         step = step.withColumn("p", F.filter("p", lambda p: (p["family"] != UNKNOWN_CLASS) & (p["probability"] >= model.threshold)))
-        step = step.withColumn("p", F.transform("p", lambda p: F.struct(p["paragraph"].alias("paragraph"), p["lines"].alias("lines"), p["family"].alias("family"), p["probability"].alias("probability"), alike(p).alias("similarity"), p["text"].alias("text"))))
+        step = step.withColumn(
+            "p",
+            F.transform(
+                "p",
+                lambda p: F.struct(
+                    p["paragraph"].alias("paragraph"), p["lines"].alias("lines"), p["family"].alias("family"), p["probability"].alias("probability"),
+                    alike(p).alias("similarity"), p["text"].alias("text")
+                )
+            )
+        )
         return step.withColumn("p", F.filter("p", lambda p: p["similarity"] >= rules.similarity))
 
     return run
@@ -264,19 +292,32 @@ def _pieces(window: Column, open_: Callable[[Column], Column]) -> Column:
 
     def add(s: Column, x: Column) -> Column:
         last = F.element_at(s["done"], -1)
-        longer = F.struct(last["paragraph"].alias("paragraph"), (last["lines"] + 1).alias("lines"), F.concat(last["text"], F.lit("\n"), x["text"]).alias("text"))
+        longer = F.struct(
+            last["paragraph"].alias("paragraph"), (last["lines"] + 1).alias("lines"), F.concat(last["text"], F.lit("\n"), x["text"]).alias("text")
+        )
         fresh = F.struct(x["paragraph"].alias("paragraph"), F.lit(1).alias("lines"), x["text"].alias("text"))
-        grown = F.when(s["going"], F.concat(F.slice(s["done"], 1, F.size(s["done"]) - 1), F.array(longer))).otherwise(F.concat(s["done"], F.array(fresh)))
-        return F.when(open_(x), F.struct(grown.cast(kind).alias("done"), F.lit(True).alias("going"))).otherwise(F.struct(s["done"].alias("done"), F.lit(False).alias("going")))
+        grown = F.when(
+            s["going"], F.concat(F.slice(s["done"], 1, F.size(s["done"]) - 1), F.array(longer))
+        ).otherwise(F.concat(s["done"], F.array(fresh)))
+        return F.when(
+            open_(x), F.struct(grown.cast(kind).alias("done"), F.lit(True).alias("going"))
+        ).otherwise(F.struct(s["done"].alias("done"), F.lit(False).alias("going")))
 
     return F.aggregate(window, state, add, lambda s: s["done"])
 
 
 def _apart(found: Column) -> Column:
     """Of overlapping runs of one family the most alike, then the shortest, then the first."""
-    ranked = F.array_sort(F.transform(found, lambda p: F.struct((-p["similarity"]).alias("s"), p["lines"].alias("l"), p["paragraph"].alias("n"), p.alias("p"))))
-    meets = lambda a, b: (a["family"] == b["family"]) & (a["paragraph"] < b["paragraph"] + b["lines"]) & (b["paragraph"] < a["paragraph"] + a["lines"])
-    return F.aggregate(F.transform(ranked, lambda r: r["p"]), F.slice(found, 1, 0), lambda kept, p: F.when(F.exists(kept, lambda k: meets(k, p)), kept).otherwise(F.concat(kept, F.array(p))))
+    ranked = F.array_sort(
+        F.transform(found, lambda p: F.struct((-p["similarity"]).alias("s"), p["lines"].alias("l"), p["paragraph"].alias("n"), p.alias("p")))
+    )
+    meets = lambda a, b: (a["family"] == b["family"]) & (
+        a["paragraph"] < b["paragraph"] + b["lines"]
+    ) & (b["paragraph"] < a["paragraph"] + a["lines"])
+    return F.aggregate(
+        F.transform(ranked, lambda r: r["p"]), F.slice(found, 1, 0),
+        lambda kept, p: F.when(F.exists(kept, lambda k: meets(k, p)), kept).otherwise(F.concat(kept, F.array(p)))
+    )
 
 
 def scan(docs: DataFrame, rules: LicenseRules = LicenseRules()) -> DataFrame:
@@ -292,7 +333,9 @@ def scan(docs: DataFrame, rules: LicenseRules = LicenseRules()) -> DataFrame:
     text = F.col("text").cast("string")
     kind = "array<struct<paragraph:int,lines:int,text:string>>"
     numbered = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("paragraph"), F.lit(1).alias("lines"), x.alias("text")))
-    step = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.when(text.rlike(term), numbered), F.array().cast(kind)).alias("every"))
+    step = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.when(text.rlike(term), numbered), F.array().cast(kind)).alias("every")
+    )
     step = _confirmed(F.filter("every", lambda p: p["text"].rlike(term)), model, rules)(step).withColumnRenamed("p", "alone")
     runs = _runs(F.col("every"), F.transform("alone", lambda p: p["paragraph"]), term, rules.run_lines)
     step = _confirmed(F.when(F.size("every") > 1, runs).otherwise(F.array().cast(kind)), model, rules)(step)
@@ -305,9 +348,21 @@ def summarise(scanned: DataFrame) -> DataFrame:
     ``license_family`` is that of the best confirmed notice (similarity, then probability, then the first),
     reserved rights last, as licence texts open with them; documents without one have the family ``unknown`` and nulls.
     """
-    ranked = F.array_sort(F.transform("paragraphs", lambda p: F.struct((p["family"] == "proprietary").alias("r"), (-p["similarity"]).alias("s"), (-p["probability"]).alias("q"), p["paragraph"].alias("n"), p["family"].alias("f"))))
+    ranked = F.array_sort(
+        F.transform(
+            "paragraphs",
+            lambda p: F.struct(
+                (p["family"] == "proprietary").alias("r"), (-p["similarity"]).alias("s"), (-p["probability"]).alias("q"), p["paragraph"].alias("n"),
+                p["family"].alias("f")
+            )
+        )
+    )
     best = F.get(ranked, F.lit(0))
     return scanned.select(
-        "doc_id", F.size("paragraphs").cast("long").alias("n_notices"), F.array_sort(F.array_distinct(F.transform("paragraphs", lambda p: p["family"]))).alias("families"),
-        F.coalesce(best["f"], F.lit(UNKNOWN_CLASS)).alias("license_family"), F.round(-best["q"], 6).alias("probability"), F.round(-best["s"], 6).alias("similarity"),
+        "doc_id", F.size("paragraphs").cast("long").alias("n_notices"), F.array_sort(
+            F.array_distinct(F.transform("paragraphs", lambda p: p["family"]))
+        ).alias("families"),
+        F.coalesce(
+            best["f"], F.lit(UNKNOWN_CLASS)
+        ).alias("license_family"), F.round(-best["q"], 6).alias("probability"), F.round(-best["s"], 6).alias("similarity"),
     )

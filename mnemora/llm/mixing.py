@@ -40,7 +40,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rep
     """
     per = sizes.groupBy("src").agg(F.sum("size").alias("source_size"))
     ordinal = F.row_number().over(Window.orderBy("src")) - 1
-    per = per.select("src", "source_size", F.element_at(F.array(*map(F.lit, weights)), (ordinal % len(weights) + 1).cast("int")).cast("double").alias("w"))
+    per = per.select(
+        "src", "source_size", F.element_at(F.array(*map(F.lit, weights)), (ordinal % len(weights) + 1).cast("int")).cast("double").alias("w")
+    )
     per = per.withColumn("cap", F.col("source_size").cast("double") * max_repeats)
     whole, earlier = Window.partitionBy(), Window.orderBy(F.col("cap") / F.col("w"), "src").rowsBetween(Window.unboundedPreceding, -1)
     gone = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0.0))
@@ -52,10 +54,17 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rep
 
 def with_sizes(docs: DataFrame) -> DataFrame:
     """Adds what mixing goes by: ``__m_src``, ``__m_size`` (words) and ``__m_salt``."""
-    return docs.withColumns({"__m_src": _source_key(F.col("source").cast("string")), "__m_size": word_count(F.col("text").cast("string")), "__m_salt": _salt(F.col("doc_id"))})
+    return docs.withColumns(
+        {
+            "__m_src": _source_key(F.col("source").cast("string")), "__m_size": word_count(F.col("text").cast("string")),
+            "__m_salt": _salt(F.col("doc_id"))
+        }
+    )
 
 
-def copies(sized: DataFrame, counted: DataFrame | None = None, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
+def copies(
+    sized: DataFrame, counted: DataFrame | None = None, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = SEED
+) -> DataFrame:
     """Adds ``__m_source_size``, ``__m_target`` and ``__m_copies`` to rows from :func:`with_sizes`.
 
     ``counted`` may hold the same rows' three columns ready made, to spare a second look at the texts.
@@ -67,15 +76,22 @@ def copies(sized: DataFrame, counted: DataFrame | None = None, weights: tuple[in
     counts = (sized if counted is None else counted).groupBy(*key).agg(F.count("*").alias("n"))
     per_size = counts.groupBy("__m_src", "__m_size").agg(F.sum("n").alias("n"))
     below = Window.partitionBy("__m_src").orderBy("__m_size").rowsBetween(Window.unboundedPreceding, -1)
-    per_size = per_size.select("__m_src", "__m_size", (F.col("__m_size") * F.col("n")).alias("words"), F.coalesce(F.sum("n").over(below), F.lit(0)).alias("below"))
-    targets = source_targets(per_size.select(F.col("__m_src").alias("src"), F.col("words").alias("size")), weights, max_repeats).withColumnRenamed("src", "__m_src")
+    per_size = per_size.select(
+        "__m_src", "__m_size", (F.col("__m_size") * F.col("n")).alias("words"), F.coalesce(F.sum("n").over(below), F.lit(0)).alias("below")
+    )
+    targets = source_targets(
+        per_size.select(F.col("__m_src").alias("src"), F.col("words").alias("size")), weights, max_repeats
+    ).withColumnRenamed("src", "__m_src")
     digits = F.substring(F.sha2(F.concat(F.lit(f"{seed}|"), F.col("__m_src")), 256), 1, 5)
     targets = targets.withColumn("offset", (F.conv(digits, 16, 10).cast("double") + 0.5) / 1048576)  # 21 bits: sums with it stay exact
     targets = targets.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     earlier = Window.partitionBy("__m_src", "__m_size").orderBy("__m_salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*key, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("within"))
     starts = starts.join(per_size.drop("words"), ["__m_src", "__m_size"]).join(targets, "__m_src")
-    starts = starts.select(*key, (F.col("within") + F.col("below")).alias("__m_before"), F.col("source_size").alias("__m_source_size"), F.col("target").alias("__m_target"), F.col("offset").alias("__m_offset"), F.col("rate").alias("__m_rate"))
+    starts = starts.select(
+        *key, (F.col("within") + F.col("below")).alias("__m_before"), F.col("source_size").alias("__m_source_size"),
+        F.col("target").alias("__m_target"), F.col("offset").alias("__m_offset"), F.col("rate").alias("__m_rate")
+    )
     ranked = sized.withColumn("__m_rank", F.row_number().over(Window.partitionBy(*key).orderBy("doc_id"))).join(starts, key)
     upto = lambda k: F.floor((F.col("__m_before") + F.col("__m_rank") - k) * F.col("__m_rate") + F.col("__m_offset"))
     ranked = ranked.withColumn("__m_copies", F.least(upto(0) - upto(1), F.lit(max_repeats)).cast("long"))
@@ -86,7 +102,10 @@ def shares(docs: DataFrame) -> DataFrame:
     """``doc_id, size, source_size, target, taken``: the words that the mix takes of each document."""
     sized = cut(with_sizes(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "__m_src", "__m_size", "__m_salt"))
     found = copies(sized)
-    return found.select("doc_id", F.col("__m_size").alias("size"), F.col("__m_source_size").alias("source_size"), F.col("__m_target").alias("target"), (F.col("__m_copies") * F.col("__m_size")).alias("taken"))
+    return found.select(
+        "doc_id", F.col("__m_size").alias("size"), F.col("__m_source_size").alias("source_size"), F.col("__m_target").alias("target"),
+        (F.col("__m_copies") * F.col("__m_size")).alias("taken")
+    )
 
 
 def mix(docs: DataFrame) -> DataFrame:

@@ -139,7 +139,9 @@ def pack(items: DataFrame, plan: PackingPlan = PackingPlan()) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         every = []
-        for doc, length, first, last, piece, shard in zip(*(table.column(c).to_pylist() for c in ("doc_id", "length", "first", "last", "piece", "shard")), strict=True):
+        for doc, length, first, last, piece, shard in zip(
+            *(table.column(c).to_pylist() for c in ("doc_id", "length", "first", "last", "piece", "shard")), strict=True
+        ):
             start = piece * longest
             size = min(longest, length - start)
             every += [(-size, doc is None, doc or 0, length, copy, piece, start) for copy in range(first, last + 1)]

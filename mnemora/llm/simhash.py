@@ -112,4 +112,6 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     key = lambda i, h: F.concat_ws(" ", F.coalesce(i.cast("string"), F.lit("null")), h.cast("string"))
     own = docs.withColumn("__m_key", key(F.col("doc_id").cast("long"), whole))
     # one key for both steps, null ids included: texts are shuffled once
-    return own.join(kept.select(key(F.col("k.i"), F.col("k.h")).alias("__m_key")), "__m_key", "left_semi").dropDuplicates(["__m_key"]).select(*docs.columns)
+    return own.join(
+        kept.select(key(F.col("k.i"), F.col("k.h")).alias("__m_key")), "__m_key", "left_semi"
+    ).dropDuplicates(["__m_key"]).select(*docs.columns)

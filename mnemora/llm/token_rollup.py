@@ -15,7 +15,6 @@ time; any number of readers. Files go through Spark alone, so the folder can be
 from __future__ import annotations
 
 import base64
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache, reduce
 
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import scratch
 
 #: How the public byte-level vocabularies cut a text into pieces before merging (fixed value of these vocabularies).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -125,20 +124,31 @@ class TokenRollup:
         unknown = F.raise_error(F.concat(F.lit("unknown op: "), F.coalesce(F.col("op").cast("string"), F.lit("null"))))
         op = F.when(F.col("op").isin("insert", "upsert", "revise", "delete"), F.col("op")).otherwise(unknown)
         rows = changes.select(
-            F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("key"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"),
-            (op != "delete").alias("live"), version.alias("version"), F.xxhash64("text").alias("text_hash"), F.when(op != "delete", F.col("text").cast("string")).alias("text"),
+            F.coalesce(
+                F.col("doc_id").cast("string"), F.lit("null")
+            ).alias("key"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"),
+            (op != "delete").alias("live"), version.alias("version"), F.xxhash64("text").alias("text_hash"), F.when(
+                op != "delete", F.col("text").cast("string")
+            ).alias("text"),
         )
         counted = count_tokens(rows, self.version)
         if all_rows:
-            sums = counted.groupBy("key", "source", "lang").agg(F.count_if("live").alias("docs"), F.sum(F.when(F.col("live"), F.col("n_tokens")).otherwise(0)).alias("tokens"))
+            sums = counted.groupBy("key", "source", "lang").agg(
+                F.count_if("live").alias("docs"), F.sum(F.when(F.col("live"), F.col("n_tokens")).otherwise(0)).alias("tokens")
+            )
         else:
             order = F.struct("version", ~F.col("live"), "text_hash", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
             last = counted.groupBy("key").agg(F.max_by(F.struct("source", "lang", "n_tokens", "live"), order).alias("s")).select("key", "s.*")
-            sums = last.select("key", "source", "lang", F.col("live").cast("long").alias("docs"), F.when(F.col("live"), F.col("n_tokens")).otherwise(0).alias("tokens"))
+            sums = last.select(
+                "key", "source", "lang", F.col("live").cast("long").alias("docs"),
+                F.when(F.col("live"), F.col("n_tokens")).otherwise(0).alias("tokens")
+            )
         state = sums.groupBy("key").agg(F.collect_list(F.when(F.col("docs") > 0, F.struct("source", "lang", "docs", "tokens"))).alias("rows"))
         state.withColumn("ordinal", F.lit(ordinal)).write.mode("overwrite").parquet(f"{self.root}/state/{folder}")
         state = self.spark.read.parquet(f"{self.root}/state/{folder}")
-        flat = lambda df, sign: df.select(F.inline("rows")).select("source", "lang", (sign * F.col("docs")).alias("d_docs"), (sign * F.col("tokens")).alias("d_tokens"))
+        flat = lambda df, sign: df.select(F.inline("rows")).select(
+            "source", "lang", (sign * F.col("docs")).alias("d_docs"), (sign * F.col("tokens")).alias("d_tokens")
+        )
         signed = flat(state, 1)
         if (before := self._current(names, state.select("key"))) is not None:
             signed = signed.union(flat(before, -1))
@@ -183,11 +193,13 @@ def count_documents(docs: DataFrame, root: str | None = None, version: tuple[str
     mirrors; each is committed and tried again, which changes nothing. All rows of a repeated id count, and all
     rows without one. An empty table has no totals.
     """
-    rollup = TokenRollup(docs.sparkSession, root or f"{shared_dir(docs.sparkSession)}/token-rollup-{uuid.uuid4().hex}", version)
+    rollup = TokenRollup(docs.sparkSession, root or scratch(docs.sparkSession, "token-rollup"), version)
     own = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"), "source", "lang")
     several = F.coalesce(F.instr("text", "\n") > 0, F.lit(False))
     drafts = own.withColumn("text", F.when(several, F.substring_index("text", "\n", 1)).otherwise(F.col("text")))
-    mirrors = own.where(~several & (F.length(F.coalesce("text", F.lit(""))) < 400)).withColumn("doc_id", F.concat(F.lit("mirror-"), F.coalesce("doc_id", F.lit("null"))))
+    mirrors = own.where(~several & (F.length(F.coalesce("text", F.lit(""))) < 400)).withColumn(
+        "doc_id", F.concat(F.lit("mirror-"), F.coalesce("doc_id", F.lit("null")))
+    )
     ids_of_several = own.where(several).select("doc_id").distinct()
     revised = own.join(ids_of_several, own["doc_id"].eqNullSafe(ids_of_several["doc_id"]), "left_semi")
     batches = {"load": ("insert", drafts.union(mirrors)), "revise": ("revise", revised), "withdraw": ("delete", mirrors)}

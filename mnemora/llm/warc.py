@@ -23,7 +23,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir
+from .common import cut, scratch
 
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
@@ -57,7 +57,9 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode("ascii")
     block = http + (payload if refers_to is None else b"")
     name = "null" if page_id is None else str(page_id)
-    head = ["WARC/1.0", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{name}>", f"WARC-Date: {options.date}"]
+    head = [
+        "WARC/1.0", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{name}>", f"WARC-Date: {options.date}"
+    ]
     if url is not None:
         head.append(f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%~' + chr(39))}")
     head.append(f"WARC-Payload-Digest: sha1:{payload_digest(payload)}")
@@ -73,7 +75,10 @@ def _marked(pages: DataFrame, options: WarcOptions) -> DataFrame:
 
     Only digests cross the aggregation; payloads cross the shuffle once, next to their salted digest.
     """
-    picked = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
+    picked = pages.select(
+        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
+        F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload")
+    )
     picked = picked.withColumns({"digest": F.unhex(F.sha1("payload")), "salt": F.pmod(F.xxhash64("page_id"), F.lit(options.salts)).cast("int")})
     large = picked.where(F.length("payload") >= options.min_revisit_bytes)
     first = large.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
@@ -117,7 +122,10 @@ def write(pages: DataFrame, folder: str, options: WarcOptions = WarcOptions()) -
             done.append((name, size, counts))
         if done:
             names, sizes, split = zip(*done, strict=True)
-            columns = [pa.array([f"{folder}/{n}" for n in names]), pa.array(sizes, pa.int64()), pa.array(map(sum, split), pa.int64()), pa.array([options.split_bytes] * len(done), pa.int64()), pa.array(split, pa.list_(pa.int64()))]
+            columns = [
+                pa.array([f"{folder}/{n}" for n in names]), pa.array(sizes, pa.int64()), pa.array(map(sum, split), pa.int64()),
+                pa.array([options.split_bytes] * len(done), pa.int64()), pa.array(split, pa.list_(pa.int64()))
+            ]
             yield pa.record_batch(columns, names=["path", "bytes", "records", "split_bytes", "split_records"])
 
     store, base = fs.FileSystem.from_uri(folder)
@@ -270,9 +278,13 @@ def read(manifest: DataFrame, options: WarcOptions = WarcOptions(), with_payload
     payload column null. Other kinds of records (warcinfo, request, ...) keep their type and whole block.
     """
     counted = "split_records" in manifest.columns
-    split, counts = (F.col("split_bytes"), F.col("split_records")) if counted else (F.lit(options.split_bytes).cast("long"), F.lit(None).cast("array<long>"))
+    split, counts = (F.col("split_bytes"), F.col("split_records")) if counted else (
+        F.lit(options.split_bytes).cast("long"), F.lit(None).cast("array<long>")
+    )
     last = F.greatest(F.col("bytes") - 1, F.lit(0))
-    ranges = manifest.select("path", F.explode(F.sequence(F.lit(0).cast("long"), last, split)).alias("start"), split.alias("split"), counts.alias("counts"))
+    ranges = manifest.select(
+        "path", F.explode(F.sequence(F.lit(0).cast("long"), last, split)).alias("start"), split.alias("split"), counts.alias("counts")
+    )
     expected = F.coalesce(F.get("counts", (F.col("start") / F.col("split")).cast("int")), F.when(F.col("counts").isNotNull(), 0)).cast("long")
     ranges = ranges.select("path", "start", "split", expected.alias("expected"))
     # a stated number of tasks, as adaptive execution would put these small rows into one; whole rows are dealt in turn
@@ -298,7 +310,9 @@ def read(manifest: DataFrame, options: WarcOptions = WarcOptions(), with_payload
                     size, digest = len(payload), payload_digest(payload)
                     if kind == "response" and stated and digest != stated:
                         raise ValueError(f"payload of {fields.get('warc-record-id')} in {path} at {offset} has digest {digest}, not {stated}")
-                yield path, offset, _page(fields.get("warc-record-id")), fields.get("warc-target-uri"), kind, _page(fields.get("warc-refers-to")), size, digest, payload if with_payload else None
+                yield path, offset, _page(
+                    fields.get("warc-record-id")
+                ), fields.get("warc-target-uri"), kind, _page(fields.get("warc-refers-to")), size, digest, payload if with_payload else None
         if expected is not None and n != expected:
             raise ValueError(f"{path} has {n} records from {start} on, not {expected}")
 
@@ -336,7 +350,7 @@ def files(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def round_trip(pages: DataFrame, folder: str | None = None, options: WarcOptions = WarcOptions()) -> DataFrame:
     """Writes ``pages`` and reads the archives back: one row per page, payloads left out."""
-    folder = folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    folder = folder or scratch(pages.sparkSession, "warc")
     folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
     back = read(write(pages, folder, options), options, with_payload=False)
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
