@@ -88,7 +88,9 @@ def composite(word: Column, tag: Column, concept: Column) -> Column:
 
 def similarity(content_a: Column, concept_a: Column, tags_a: Column, content_b: Column, concept_b: Column, tags_b: Column) -> Column:
     """Weighted similarity of content words, tags and concept words."""
-    return composite(jaccard(tokens(content_a), tokens(content_b)), jaccard(tag_set(tags_a), tag_set(tags_b)), jaccard(tokens(concept_a), tokens(concept_b)))
+    return composite(
+        jaccard(tokens(content_a), tokens(content_b)), jaccard(tag_set(tags_a), tag_set(tags_b)), jaccard(tokens(concept_a), tokens(concept_b))
+    )
 
 
 def numbers(text: Column) -> Column:
@@ -138,7 +140,9 @@ def memory_category(content: Column, concept: Column) -> Column:
     """procedural, prospective, episodic or semantic, by the first list with a word in the text."""
     text = F.lower(F.concat_ws(" ", F.coalesce(content, F.lit("")), F.coalesce(concept, F.lit(""))))
     named = lambda ws: F.exists(_strings(ws), lambda w: F.contains(text, w))
-    return F.when(named(vocab.PROCEDURAL_WORDS), "procedural").when(named(vocab.PROSPECTIVE_WORDS), "prospective").when(named(vocab.EPISODIC_WORDS), "episodic").otherwise("semantic")
+    return F.when(named(vocab.PROCEDURAL_WORDS), "procedural").when(
+        named(vocab.PROSPECTIVE_WORDS), "prospective"
+    ).when(named(vocab.EPISODIC_WORDS), "episodic").otherwise("semantic")
 
 
 def content_hash(concept: Column, content: Column) -> Column:
@@ -147,14 +151,19 @@ def content_hash(concept: Column, content: Column) -> Column:
 
 def node_hash(node_type: Column, properties: Column) -> Column:
     """Sixteen hex digits over a node's type and its properties in order of their names."""
-    pairs = F.transform(F.array_sort(F.map_entries(F.coalesce(properties, F.create_map().cast("map<string,string>")))), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit(""))))
+    pairs = F.transform(
+        F.array_sort(F.map_entries(F.coalesce(properties, F.create_map().cast("map<string,string>")))),
+        lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("")))
+    )
     return F.substring(F.sha2(F.concat_ws("|", node_type, pairs), 256), 1, 16)
 
 
 def experience_id(context: Column, outcome: Column, timestamp: Column) -> Column:
     """``exp_<date>_<time>_<16 hex digits>`` over both texts and the UTC time."""
     stamp = F.date_format(timestamp, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    return F.concat(F.lit("exp_"), F.date_format(timestamp, "yyyyMMdd_HHmmss"), F.lit("_"), F.substring(F.sha2(F.concat(context, outcome, stamp), 256), 1, 16))
+    return F.concat(
+        F.lit("exp_"), F.date_format(timestamp, "yyyyMMdd_HHmmss"), F.lit("_"), F.substring(F.sha2(F.concat(context, outcome, stamp), 256), 1, 16)
+    )
 
 
 def _word_count(text: Column) -> Column:
@@ -204,7 +213,9 @@ def pattern_key(kind: Column, link_type: Column, file: Column) -> Column:
     """What discoveries are grouped by: type and link type, or prefix of a Markdown file and type."""
     kind = F.coalesce(kind, F.lit("unknown"))
     prefix = F.when(F.contains(file, F.lit("_")), F.split_part(file, F.lit("_"), F.lit(1))).otherwise(F.regexp_replace(file, r"\.md$", ""))
-    return F.when(link_type.isNotNull(), F.concat(kind, F.lit("_"), link_type)).when(file.endswith(".md"), F.concat(prefix, F.lit("_"), kind)).otherwise(kind)
+    return F.when(
+        link_type.isNotNull(), F.concat(kind, F.lit("_"), link_type)
+    ).when(file.endswith(".md"), F.concat(prefix, F.lit("_"), kind)).otherwise(kind)
 
 
 def scrub(text: Column) -> Column:
@@ -226,7 +237,9 @@ def query_cost(sql: Column) -> Column:
     hit = lambda pattern, points: F.when(sql.rlike(pattern), points).otherwise(0)
     joins = F.regexp_count(sql, F.lit(r"(?i)\bJOIN\b")) * vocab.COST_JOIN
     unlimited = F.when(sql.rlike(r"(?i)SELECT") & ~sql.rlike(r"(?i)\bLIMIT\b"), vocab.COST_NO_LIMIT).otherwise(0)
-    return vocab.COST_BASE + hit(r"(?i)SELECT\s+\*\s+FROM\s+\w+", vocab.COST_SCAN) + joins + hit(r"(?is)SELECT.*\(.*SELECT", vocab.COST_SUBQUERY) + hit(r"(?i)\bORDER BY\b", vocab.COST_SORT) + unlimited
+    return vocab.COST_BASE + hit(
+        r"(?i)SELECT\s+\*\s+FROM\s+\w+", vocab.COST_SCAN
+    ) + joins + hit(r"(?is)SELECT.*\(.*SELECT", vocab.COST_SUBQUERY) + hit(r"(?i)\bORDER BY\b", vocab.COST_SORT) + unlimited
 
 
 def safe_query(sql: Column) -> Column:

@@ -28,4 +28,9 @@ def judged(moves: DataFrame) -> DataFrame:
     """``moves`` (from_status, to_status, ...) with ``allowed`` and ``terminal``; unknown names are not allowed."""
     legal = F.create_map(*(x for a, bs in vocab.TRANSITIONS.items() for x in (F.lit(a), F.array(*map(F.lit, bs)).cast("array<string>"))))
     ends = [k for k, v in vocab.TRANSITIONS.items() if not v]
-    return moves.withColumns({"allowed": F.coalesce(F.array_contains(legal[F.col("from_status")], F.col("to_status")), F.lit(False)), "terminal": F.coalesce(F.col("to_status").isin(*ends), F.lit(False))})
+    return moves.withColumns(
+        {
+            "allowed": F.coalesce(F.array_contains(legal[F.col("from_status")], F.col("to_status")), F.lit(False)),
+            "terminal": F.coalesce(F.col("to_status").isin(*ends), F.lit(False))
+        }
+    )

@@ -16,8 +16,12 @@ def validation_error(context: Column, outcome: Column, confidence: Column, kind:
     """The first rule that an experience breaks; null if it is valid. Lengths are in characters."""
     blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
     return (
-        F.when(blank(context), "blank context").when(blank(outcome), "blank outcome").when(F.length(context) > 500, "context too long").when(F.length(outcome) > 1000, "outcome too long")
-        .when(confidence.isNull() | F.isnan(confidence) | ~confidence.between(0.0, 1.0), "confidence out of range").when(kind.isNull() | ~kind.isin(*vocab.EXPERIENCE_TYPES), "unknown type")
+        F.when(blank(context), "blank context").when(blank(outcome), "blank outcome").when(F.length(context) > 500, "context too long").when(
+            F.length(outcome) > 1000, "outcome too long"
+        )
+        .when(
+            confidence.isNull() | F.isnan(confidence) | ~confidence.between(0.0, 1.0), "confidence out of range"
+        ).when(kind.isNull() | ~kind.isin(*vocab.EXPERIENCE_TYPES), "unknown type")
     )
 
 
@@ -62,7 +66,9 @@ def search_stemmed(df: DataFrame, query: str, kind: str | None = None, min_confi
 
 def statistics(df: DataFrame) -> DataFrame:
     """One row per type and ``total``: ``experience_type, n, n_compressed``."""
-    return df.rollup("experience_type").agg(F.grouping_id().alias("g"), F.count("*").alias("n"), F.count_if("compressed").alias("n_compressed")).select(F.when(F.col("g") == 1, "total").otherwise(F.col("experience_type")).alias("experience_type"), "n", "n_compressed")
+    return df.rollup("experience_type").agg(F.grouping_id().alias("g"), F.count("*").alias("n"), F.count_if("compressed").alias("n_compressed")).select(
+        F.when(F.col("g") == 1, "total").otherwise(F.col("experience_type")).alias("experience_type"), "n", "n_compressed"
+    )
 
 
 def compress_and_expire(df: DataFrame, now: Column, compress_days: int = 30, max_age_days: int | None = None) -> DataFrame:
@@ -89,7 +95,9 @@ def relevance(context: Column, kind: Column, confidence: Column, timestamp: Colu
     return F.least(T.jaccard(T.tokens(context), T.query_tokens(query)) * weight * (0.5 + confidence * 0.5) * fresh, F.lit(1.0))
 
 
-def retrieve_relevant(df: DataFrame, query: str, now: Column, top_k: int = 10, min_similarity: float = 0.0, order: Sequence[str] = ("experience_id",)) -> DataFrame:
+def retrieve_relevant(
+    df: DataFrame, query: str, now: Column, top_k: int = 10, min_similarity: float = 0.0, order: Sequence[str] = ("experience_id",)
+) -> DataFrame:
     """The most relevant experiences, ties in ``order``."""
     score = relevance(F.col("context"), F.col("experience_type"), F.col("confidence"), F.col("timestamp"), query, now)
     return df.withColumn("relevance", score).where(F.col("relevance") >= min_similarity).orderBy(F.desc("relevance"), *order).limit(top_k)

@@ -28,11 +28,16 @@ def merge(stores: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     return first.drop("n", "place")
 
 
-def federated_query(stores: Sequence[tuple[str, DataFrame]], node_type: str, fields: Sequence[str], query: str, confirmations: DataFrame, limit: int = 10) -> DataFrame:
+def federated_query(
+    stores: Sequence[tuple[str, DataFrame]], node_type: str, fields: Sequence[str], query: str, confirmations: DataFrame, limit: int = 10
+) -> DataFrame:
     """Annotated hits over all stores: ``node_id, source, confidence, confirmation_count``; the limit comes after deduplication."""
     found = merge([(n, graphstore.search_nodes(df, node_type, fields, query, limit=2147483632)) for n, df in stores])
     local = stores[0][0]
-    annotated = found.join(confirmations, "node_id", "left").select("node_id", "source", F.when(F.col("source") == local, LOCAL_CONFIDENCE).otherwise(REMOTE_CONFIDENCE).alias("confidence"), F.coalesce("confirmation_count", F.lit(0)).alias("confirmation_count"))
+    annotated = found.join(confirmations, "node_id", "left").select(
+        "node_id", "source", F.when(F.col("source") == local, LOCAL_CONFIDENCE).otherwise(REMOTE_CONFIDENCE).alias("confidence"),
+        F.coalesce("confirmation_count", F.lit(0)).alias("confirmation_count")
+    )
     return annotated.orderBy(F.desc("confidence"), F.desc("confirmation_count"), "node_id").limit(limit)
 
 
@@ -40,7 +45,9 @@ def federated_neighbors(stores: Sequence[tuple[str, DataFrame, DataFrame]], star
     """``(start_id, node_id, edge_type, source)``: neighbours in all stores, one per edge type and content."""
     every = None
     for place, (name, nodes, edges) in enumerate(stores):
-        near = graphstore.query_neighbors(nodes, edges, starts, direction=direction, limit=2147483632).join(nodes.select("node_id", T.node_hash(F.col("node_type"), F.col("properties")).alias("h")), "node_id")
+        near = graphstore.query_neighbors(nodes, edges, starts, direction=direction, limit=2147483632).join(
+            nodes.select("node_id", T.node_hash(F.col("node_type"), F.col("properties")).alias("h")), "node_id"
+        )
         near = near.select("start_id", "node_id", "edge_type", "h", F.lit(name).alias("source"), F.lit(place).alias("place"))
         every = near if every is None else every.unionAll(near)
     order = Window.partitionBy("start_id", "edge_type", "h").orderBy("place", "node_id")
@@ -58,25 +65,34 @@ def crosses_boundary(reached: DataFrame) -> DataFrame:
 def register_agents(agents: DataFrame, new: DataFrame) -> DataFrame:
     """The registry afterwards; an agent registered again keeps its row. Trust lies in [0, 1], 0 if missing."""
     checked = new.withColumn("trust", F.coalesce("trust", F.lit(0.0)))
-    checked = checked.withColumn("trust", F.when(F.col("trust").between(0.0, 1.0), F.col("trust")).otherwise(F.raise_error(F.concat(F.lit("trust out of range: "), "agent_id"))))
+    checked = checked.withColumn(
+        "trust",
+        F.when(F.col("trust").between(0.0, 1.0), F.col("trust")).otherwise(F.raise_error(F.concat(F.lit("trust out of range: "), "agent_id")))
+    )
     return agents.unionByName(checked.dropDuplicates(["agent_id"]).join(agents.select("agent_id"), "agent_id", "left_anti"), allowMissingColumns=True)
 
 
 def update_trust(agents: DataFrame, changes: DataFrame) -> DataFrame:
     last = changes.groupBy("agent_id").agg(F.max_by("trust", F.col("at")).alias("new_trust"))
     joined = agents.join(last, "agent_id", "left")
-    sound = F.when(F.col("new_trust").isNull() | F.col("new_trust").between(0.0, 1.0), F.coalesce("new_trust", "trust")).otherwise(F.raise_error(F.concat(F.lit("trust out of range: "), "agent_id")))
+    sound = F.when(
+        F.col("new_trust").isNull() | F.col("new_trust").between(0.0, 1.0), F.coalesce("new_trust", "trust")
+    ).otherwise(F.raise_error(F.concat(F.lit("trust out of range: "), "agent_id")))
     return joined.withColumn("trust", sound).drop("new_trust")
 
 
 def agent_trust(agents: DataFrame, wanted: DataFrame) -> DataFrame:
     """``(agent_id, trust)`` of each wanted agent, 0 for strangers."""
-    return wanted.select("agent_id").join(agents.select("agent_id", "trust"), "agent_id", "left").select("agent_id", F.coalesce("trust", F.lit(0.0)).alias("trust"))
+    return wanted.select("agent_id").join(agents.select("agent_id", "trust"), "agent_id", "left").select(
+        "agent_id", F.coalesce("trust", F.lit(0.0)).alias("trust")
+    )
 
 
 def increment_fact_counts(agents: DataFrame, stored: DataFrame) -> DataFrame:
     added = stored.groupBy("agent_id").agg(F.count("*").alias("added"))
-    return agents.join(added, "agent_id", "left").withColumn("fact_count", F.coalesce("fact_count", F.lit(0)) + F.coalesce("added", F.lit(0))).drop("added")
+    return agents.join(added, "agent_id", "left").withColumn(
+        "fact_count", F.coalesce("fact_count", F.lit(0)) + F.coalesce("added", F.lit(0))
+    ).drop("added")
 
 
 def assertions(rows: DataFrame, edge_type: str, properties: Mapping[str, Column] | None = None) -> DataFrame:

@@ -35,7 +35,10 @@ def query_nodes(nodes: DataFrame, node_type: str, filters: Mapping[str, str] | N
     return _matching(nodes, node_type, filters).orderBy("node_id").limit(limit)
 
 
-def query_nodes_ordered(nodes: DataFrame, node_type: str, filters: Mapping[str, str] | None, order_by: str, numeric: bool = False, descending: bool = False, limit: int = 50) -> DataFrame:
+def query_nodes_ordered(
+    nodes: DataFrame, node_type: str, filters: Mapping[str, str] | None, order_by: str, numeric: bool = False, descending: bool = False,
+    limit: int = 50
+) -> DataFrame:
     """Sorts by a property, then cuts. Numeric order takes what is missing or no number as the least number."""
     value: Column = F.coalesce(F.col("properties")[identifier(order_by)], F.lit(""))
     if numeric:
@@ -56,12 +59,19 @@ def bulk_edges(nodes: DataFrame, edges: DataFrame, edge_type: str) -> DataFrame:
     """``(source_id, target_id)`` of all edges of a type between live nodes; an unknown type has none."""
     ids = live(nodes).select("node_id")
     found = edges.where(F.col("edge_type") == edge_type).select("source_id", "target_id")
-    return found.join(ids.withColumnRenamed("node_id", "source_id"), "source_id", "left_semi").join(ids.withColumnRenamed("node_id", "target_id"), "target_id", "left_semi")
+    return found.join(
+        ids.withColumnRenamed("node_id", "source_id"), "source_id", "left_semi"
+    ).join(ids.withColumnRenamed("node_id", "target_id"), "target_id", "left_semi")
 
 
-def search_nodes(nodes: DataFrame, node_type: str, fields: Sequence[str], query: str, filters: Mapping[str, str] | None = None, limit: int = 10) -> DataFrame:
+def search_nodes(
+    nodes: DataFrame, node_type: str, fields: Sequence[str], query: str, filters: Mapping[str, str] | None = None, limit: int = 10
+) -> DataFrame:
     """Nodes one of whose ``fields`` contains the whole query, in any case."""
-    hit = reduce(lambda a, b: a | b, (F.coalesce(F.contains(F.lower(F.col("properties")[identifier(f)]), F.lit(query.lower())), F.lit(False)) for f in fields), F.lit(False))
+    hit = reduce(
+        lambda a, b: a | b, (F.coalesce(F.contains(F.lower(F.col("properties")[identifier(f)]), F.lit(query.lower())), F.lit(False)) for f in fields),
+        F.lit(False)
+    )
     return _matching(nodes, node_type, filters).where(hit).orderBy("node_id").limit(limit)
 
 
@@ -80,15 +90,22 @@ def upsert_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
 
 def update_nodes(nodes: DataFrame, changes: DataFrame) -> DataFrame:
     """Overlays ``changes`` (node_id, set_properties) on the properties of known nodes."""
-    merged = F.map_concat(F.map_filter("properties", lambda k, _: ~F.coalesce(F.array_contains(F.map_keys("set_properties"), k), F.lit(False))), F.coalesce("set_properties", F.create_map().cast("map<string,string>")))
+    merged = F.map_concat(
+        F.map_filter("properties", lambda k, _: ~F.coalesce(F.array_contains(F.map_keys("set_properties"), k), F.lit(False))),
+        F.coalesce("set_properties", F.create_map().cast("map<string,string>"))
+    )
     joined = nodes.join(changes.select("node_id", "set_properties"), "node_id", "left")
-    return joined.select("node_id", "node_type", F.when(F.col("set_properties").isNull(), F.col("properties")).otherwise(merged).alias("properties"), "graph_origin")
+    return joined.select(
+        "node_id", "node_type", F.when(F.col("set_properties").isNull(), F.col("properties")).otherwise(merged).alias("properties"), "graph_origin"
+    )
 
 
 def delete_nodes(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Without the nodes in ``ids`` (node_id) and their edges."""
     gone = ids.select("node_id").distinct()
-    kept = edges.join(gone.withColumnRenamed("node_id", "source_id"), "source_id", "left_anti").join(gone.withColumnRenamed("node_id", "target_id"), "target_id", "left_anti")
+    kept = edges.join(
+        gone.withColumnRenamed("node_id", "source_id"), "source_id", "left_anti"
+    ).join(gone.withColumnRenamed("node_id", "target_id"), "target_id", "left_anti")
     return nodes.join(gone, "node_id", "left_anti"), kept
 
 
@@ -96,7 +113,9 @@ def add_edges(nodes: DataFrame, edges: DataFrame, new: DataFrame) -> tuple[DataF
     """``(edges with the new ones, rejected)``: an edge needs both its ends; a missing edge_id is derived."""
     ids = nodes.select("node_id").distinct()
     named = new.withColumn("edge_id", F.coalesce("edge_id", F.concat_ws("->", "source_id", "edge_type", "target_id")))
-    ends = named.join(ids.select(F.col("node_id").alias("source_id"), F.lit(True).alias("has_source")), "source_id", "left").join(ids.select(F.col("node_id").alias("target_id"), F.lit(True).alias("has_target")), "target_id", "left")
+    ends = named.join(
+        ids.select(F.col("node_id").alias("source_id"), F.lit(True).alias("has_source")), "source_id", "left"
+    ).join(ids.select(F.col("node_id").alias("target_id"), F.lit(True).alias("has_target")), "target_id", "left")
     sound = F.coalesce(F.col("has_source") & F.col("has_target"), F.lit(False))
     return edges.unionByName(ends.where(sound).select(*edges.columns)), ends.where(~sound).select(*edges.columns)
 
@@ -119,19 +138,26 @@ def steps(edges: DataFrame, edge_types: Sequence[str] | None = None, direction:
     return out if direction == "outgoing" else back if direction == "incoming" else out.unionAll(back)
 
 
-def query_neighbors(nodes: DataFrame, edges: DataFrame, starts: DataFrame, edge_type: str | None = None, direction: str = "outgoing", limit: int = 50) -> DataFrame:
+def query_neighbors(
+    nodes: DataFrame, edges: DataFrame, starts: DataFrame, edge_type: str | None = None, direction: str = "outgoing", limit: int = 50
+) -> DataFrame:
     """``(start_id, node_id, edge_id, edge_type, side)`` around each row of ``starts`` (node_id).
 
     Outgoing edges come first; a self loop shows twice under ``both``. ``limit`` holds per start.
     """
     walk = steps(edges, None if edge_type is None else [edge_type], direction)
-    found = starts.select(F.col("node_id").alias("start_id")).join(walk, F.col("start_id") == F.col("here")).join(live(nodes).select("node_id"), F.col("there") == F.col("node_id"), "left_semi")
+    found = starts.select(F.col("node_id").alias("start_id")).join(walk, F.col("start_id") == F.col("here")).join(
+        live(nodes).select("node_id"), F.col("there") == F.col("node_id"), "left_semi"
+    )
     order = Window.partitionBy("start_id").orderBy("side", "edge_type", "there", "edge_id")
     ranked = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= limit)
     return ranked.select("start_id", F.col("there").alias("node_id"), "edge_id", "edge_type", "side")
 
 
-def traverse(nodes: DataFrame, edges: DataFrame, starts: DataFrame, edge_types: Sequence[str] | None = None, max_hops: int = 3, direction: str = "outgoing", expand: Column | None = None) -> DataFrame:
+def traverse(
+    nodes: DataFrame, edges: DataFrame, starts: DataFrame, edge_types: Sequence[str] | None = None, max_hops: int = 3, direction: str = "outgoing",
+    expand: Column | None = None
+) -> DataFrame:
     """``(start_id, from_id, to_id, edge_id, edge_type, hops, crossed)``: every edge crossed within ``max_hops``.
 
     An edge is crossed to a visited node too, but only first visits are walked on; ``expand`` over the
@@ -141,12 +167,18 @@ def traverse(nodes: DataFrame, edges: DataFrame, starts: DataFrame, edge_types:
     allowed = live(nodes) if expand is None else live(nodes).where(expand)
     origin = live(nodes).select(F.col("node_id").alias("id"), F.col("graph_origin").alias("o"))
     walk = steps(edges, edge_types, direction)
-    walk = walk.join(origin.select(F.col("id").alias("here"), F.col("o").alias("here_o")), "here").join(origin.select(F.col("id").alias("there"), F.col("o").alias("there_o")), "there")
-    walk = walk.join(allowed.select(F.col("node_id").alias("there")), "there", "left_semi").withColumn("crossed", ~F.col("here_o").eqNullSafe(F.col("there_o")))
+    walk = walk.join(origin.select(F.col("id").alias("here"), F.col("o").alias("here_o")), "here").join(
+        origin.select(F.col("id").alias("there"), F.col("o").alias("there_o")), "there"
+    )
+    walk = walk.join(
+        allowed.select(F.col("node_id").alias("there")), "there", "left_semi"
+    ).withColumn("crossed", ~F.col("here_o").eqNullSafe(F.col("there_o")))
     frontier = starts.select(F.col("node_id").alias("start_id"), F.col("node_id").alias("here")).distinct()
     visited, out = frontier, None
     for hop in range(1, max_hops + 1):
-        paths = frontier.join(walk, "here").select("start_id", F.col("here").alias("from_id"), F.col("there").alias("to_id"), "edge_id", "edge_type", F.lit(hop).alias("hops"), "crossed")
+        paths = frontier.join(walk, "here").select(
+            "start_id", F.col("here").alias("from_id"), F.col("there").alias("to_id"), "edge_id", "edge_type", F.lit(hop).alias("hops"), "crossed"
+        )
         out = paths if out is None else out.unionAll(paths)
         if hop < max_hops:
             frontier = paths.select("start_id", F.col("to_id").alias("here")).distinct().join(visited, ["start_id", "here"], "left_anti")
@@ -159,25 +191,33 @@ def distances(reached: DataFrame) -> DataFrame:
     return reached.groupBy("start_id", F.col("to_id").alias("node_id")).agg(F.min("hops").alias("hops"))
 
 
-def chains(edges: DataFrame, edge_type: str = "SUPERSEDES", max_length: int = 64) -> DataFrame:
+def chains(edges: DataFrame, edge_type: str = "SUPERSEDES") -> DataFrame:
     """``(head_id, position, node_id, reason)``: from every node that nothing supersedes, newest to oldest.
 
-    Positions count from 0; the reason is that of the edge taken. Pointer doubling reaches a chain of
-    ``max_length`` in log2 steps; where a node supersedes several, the smallest target is followed.
+    Positions count from 0; the reason is that of the edge taken; where a node supersedes several, the smallest
+    target is followed. Pointer doubling reaches a chain of any length in the logarithm of it many rounds. A chain that
+    runs into a circle ends before the first node it would visit again; a circle without a head has none.
     """
-    links = edges.where(F.col("edge_type") == edge_type).groupBy("source_id").agg(F.min(F.struct("target_id", F.col("properties")["reason"].alias("reason"))).alias("e")).select("source_id", "e.*")
+    first = F.min(F.struct("target_id", F.col("properties")["reason"].alias("reason")))
+    links = edges.where(F.col("edge_type") == edge_type).groupBy("source_id").agg(first.alias("e")).select("source_id", "e.*")
     heads = links.join(links.select(F.col("target_id").alias("source_id")), "source_id", "left_anti").select(F.col("source_id").alias("head_id"))
     reached = heads.select("head_id", F.lit(0).alias("position"), F.col("head_id").alias("node_id"), F.lit(None).cast("string").alias("reason"))
     jumps, length = materialise(links.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"), "reason")), 1
-    while length < max_length:
-        further = materialise(reached.join(jumps, reached["node_id"] == jumps["a"]).select("head_id", (F.col("position") + length).alias("position"), F.col("b").alias("node_id"), jumps["reason"]))
-        if further.isEmpty():
-            break
-        reached = reached.unionAll(further)
+    while True:
+        met = reached.join(jumps, reached["node_id"] == jumps["a"])
+        further = met.select("head_id", (F.col("position") + length).alias("position"), F.col("b").alias("node_id"), jumps["reason"])
+        every = reached.unionAll(further)  # of a circle's nodes the first visit stays
+        once = every.groupBy("head_id", "node_id").agg(
+            F.min(F.struct("position", "reason")).alias("f")
+        ).select("head_id", "f.position", "node_id", "f.reason")
+        before, reached = reached, materialise(once)
+        if reached.join(before, ["head_id", "node_id"], "left_anti").isEmpty():
+            return reached
         left, right = jumps.alias("l"), jumps.alias("r")
-        jumps = materialise(left.join(right, F.col("l.b") == F.col("r.a")).select(F.col("l.a").alias("a"), F.col("r.b").alias("b"), F.col("r.reason").alias("reason")))
+        jumps = materialise(
+            left.join(right, F.col("l.b") == F.col("r.a")).select(F.col("l.a").alias("a"), F.col("r.b").alias("b"), F.col("r.reason").alias("reason"))
+        )
         length *= 2
-    return reached
 
 
 def provenance(edges: DataFrame, edge_type: str = "DERIVES_FROM") -> DataFrame:

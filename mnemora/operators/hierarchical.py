@@ -41,49 +41,86 @@ def store_knowledge(existing: DataFrame, new: DataFrame, episodes: DataFrame, th
     similar ones, new or old.
     """
     rows = knowledge(new)
-    derives = rows.join(episodes.select(F.col("node_id").alias("source_id")), "source_id", "left_semi").select(F.col("node_id").alias("source_id"), F.col("source_id").alias("target_id"), F.lit("DERIVES_FROM").alias("edge_type"), F.col("confidence").alias("weight"), F.lit("episode").alias("reason"))
-    shared = ["node_id", "agent_id", "concept", "content", "tags", "metadata"]
-    every = existing.select(*shared).unionByName(rows.select(*shared))
-    superseded = detect_supersedes(every).join(rows.select("node_id"), F.col("new_id") == F.col("node_id"), "left_semi").select(F.col("new_id").alias("source_id"), F.col("old_id").alias("target_id"), F.lit("SUPERSEDES").alias("edge_type"), F.lit(1.0).alias("weight"), "reason")
-    fresh = rows.select(F.col("node_id").alias("fresh"))
-    pairs = similarity.similar_pairs(every, threshold)
-    near = pairs.join(fresh, F.col("a") == F.col("fresh"), "left_semi").union(pairs.join(fresh, F.col("b") == F.col("fresh"), "left_semi")).distinct()
-    similar = near.select(F.col("a").alias("source_id"), F.col("b").alias("target_id"), F.lit("SIMILAR_TO").alias("edge_type"), F.round("score", 4).alias("weight"), F.lit("similarity").alias("reason"))
+    derives = rows.join(episodes.select(F.col("node_id").alias("source_id")), "source_id", "left_semi")
+    edge = lambda source, target, kind, weight, reason: (
+        F.col(source).alias(
+            "source_id"
+        ), F.col(target).alias("target_id"), F.lit(kind).alias("edge_type"), weight.alias("weight"), reason.alias("reason"),
+    )
+    derives = derives.select(*edge("node_id", "source_id", "DERIVES_FROM", F.col("confidence"), F.lit("episode")))
+    superseded = detect_supersedes(existing, new=rows).select(*edge("new_id", "old_id", "SUPERSEDES", F.lit(1.0), F.col("reason")))
+    near = similarity.similar_pairs(existing, threshold, new=rows)
+    similar = near.select(*edge("a", "b", "SIMILAR_TO", F.round("score", 4), F.lit("similarity")))
     return rows, derives.unionAll(superseded).unionAll(similar)
 
 
-def detect_supersedes(facts: DataFrame, candidates: int = vocab.SUPERSEDE_CANDIDATES) -> DataFrame:
+#: Positions on a key's time line are counted in blocks of so many temporal indices.
+_BLOCK = 4096
+
+
+def detect_supersedes(facts: DataFrame, candidates: int = vocab.SUPERSEDE_CANDIDATES, new: DataFrame | None = None) -> DataFrame:
     """``(new_id, old_id, reason, temporal_delta)``: facts that contradict an older one on the same subject.
 
     Old and new share an agent; the first word of the new concept stands in the old concept; the old temporal
     index is positive and lower; numbers conflict. A new fact looks at its ``candidates`` closest
     predecessors in time. The join is on agent and first word, through the old concept's word pieces, so no
-    fact meets all others.
+    fact meets all others. With ``new`` (rows that aren't in ``facts``) only those look back, at facts old and new: the
+    others are met through the keys of new ones alone.
     """
     index = F.coalesce(_json("metadata", "temporal_index").try_cast("bigint"), F.lit(0))
     # of a text only its numbers matter: they are taken once, and no text is shuffled
-    ready = materialise(facts.select("node_id", "agent_id", "concept", T.numbers(F.col("content")).alias("numbers"), index.alias("idx")).where("idx > 0"))
-    new = ready.select(F.col("node_id").alias("new_id"), "agent_id", F.col("concept").alias("new_concept"), F.col("numbers").alias("new_numbers"), F.col("idx").alias("new_idx"), F.get(T.words(F.col("concept")), F.lit(0)).alias("key"))
-    # which old concepts contain which keys: every piece of a concept that is as long as a key may be, joined on equality
-    keys = new.select("agent_id", "key").where("key is not null").distinct()
-    sizes = keys.agg(F.min(F.length("key")).alias("lo"), F.max(F.length("key")).alias("hi"))  # one row
-    concepts = ready.select("agent_id", "concept", F.lower("concept").alias("low")).distinct().crossJoin(F.broadcast(sizes)).where(F.length("low") >= F.col("lo"))
-    cuts = concepts.select("agent_id", "concept", "low", F.explode(F.sequence("lo", F.least("hi", F.length("low")))).alias("size"))
-    pieces = cuts.select("agent_id", "concept", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("low") - F.col("size") + 1), lambda i: F.substring(F.col("low"), i, F.col("size"))))).alias("key"))
-    inside = pieces.join(keys, ["agent_id", "key"]).distinct()
-    old = ready.join(inside, ["agent_id", "concept"]).select(F.col("node_id").alias("old_id"), "agent_id", F.col("concept").alias("old_concept"), F.col("numbers").alias("old_numbers"), F.col("idx").alias("old_idx"), "key")
-    # a new fact's closest predecessors: the list of the last few old facts, carried along in time order
-    item = F.struct(F.col("old_id"), F.col("old_concept"), F.col("old_numbers"), F.col("old_idx"))
-    line = old.select("agent_id", "key", F.col("old_idx").alias("at"), F.lit(1).alias("kind"), item.alias("item"), F.lit(None).cast("struct<new_id:string,new_concept:string,new_numbers:array<string>,new_idx:bigint>").alias("asks"), F.col("old_id").alias("tie"))
-    asks = new.where("key is not null").select("agent_id", "key", F.col("new_idx").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast(line.schema["item"].dataType).alias("item"), F.struct("new_id", "new_concept", "new_numbers", "new_idx").alias("asks"), F.col("new_id").alias("tie"))
-    order = Window.partitionBy("agent_id", "key").orderBy("at", "kind", "tie")
-    counted = line.unionByName(asks).withColumn("pos", F.count("item").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    asked = counted.where("asks is not null and pos > 0").select("agent_id", "key", "asks", F.explode(F.sequence(F.greatest(F.col("pos") - candidates + 1, F.lit(1)), "pos")).alias("pos"))
-    found = asked.join(counted.where("item is not null").select("agent_id", "key", "pos", "item"), ["agent_id", "key", "pos"])
+    slim = lambda df, asks: df.select(
+        "node_id", "agent_id", "concept", T.numbers(F.col("content")).alias("numbers"), index.alias("idx"), F.lit(asks).alias("asks")
+    )
+    every = slim(facts, True) if new is None else slim(facts, False).unionAll(slim(new, True))
+    ready = materialise(every.where("idx > 0"))
+    own = {"new_id": "node_id", "new_concept": "concept", "new_numbers": "numbers", "new_idx": "idx"}
+    asking = ready.where("asks").select(
+        "agent_id", F.get(T.words(F.col("concept")), F.lit(0)).alias("key"), *(F.col(v).alias(k) for k, v in own.items())
+    ).where("key is not null")
+    # which old concepts contain which keys: every piece of a concept that is as long as a key is, joined on equality
+    keys = asking.select("agent_id", "key", F.length("key").alias("size")).distinct()
+    sizes = keys.select("agent_id", "size").distinct()
+    concepts = ready.select(
+        "agent_id", "concept", F.lower("concept").alias("low")
+    ).distinct().join(sizes, "agent_id").where(F.length("low") >= F.col("size"))
+    places = F.sequence(F.lit(1), F.length("low") - F.col("size") + 1)
+    pieces = concepts.select(
+        "agent_id", "concept", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring(F.col("low"), i, F.col("size"))))).alias("key")
+    )
+    inside = pieces.join(keys.select("agent_id", "key"), ["agent_id", "key"]).distinct()
+    item = F.struct(
+        F.col("node_id").alias("old_id"), F.col("concept").alias("old_concept"), F.col("numbers").alias("old_numbers"), F.col("idx").alias("old_idx")
+    )
+    old = ready.join(inside, ["agent_id", "concept"])
+    # where a new fact stands among the old ones of its key: counted by block of time, and within the block
+    asked = F.struct(*own)
+    kind = ready.select(item.alias("i")).schema["i"].dataType
+    line = old.select(
+        "agent_id", "key", F.col("idx").alias("at"), F.lit(1).alias("kind"), item.alias("item"),
+        F.lit(None).cast(asking.select(asked.alias("a")).schema["a"].dataType).alias("asks"), F.col("node_id").alias("tie")
+    )
+    asks = asking.select(
+        "agent_id", "key", F.col("new_idx").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast(kind).alias("item"), asked.alias("asks"),
+        F.col("new_id").alias("tie")
+    )
+    block = ["agent_id", "key", "block"]
+    both = line.unionByName(asks).withColumn("block", F.floor(F.col("at") / _BLOCK))
+    sums = both.groupBy(*block).agg(F.count("item").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("agent_id", "key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    order = Window.partitionBy(*block).orderBy("at", "kind", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    counted = both.join(sums.select(*block, before.alias("before")), block).withColumn("pos", F.col("before") + F.count("item").over(order))
+    wanted = F.sequence(F.greatest(F.col("pos") - candidates + 1, F.lit(1)), "pos")
+    looking = counted.where("asks is not null and pos > 0").select("agent_id", "key", "asks", F.explode(wanted).alias("pos"))
+    found = looking.join(counted.where("item is not null").select("agent_id", "key", "pos", "item"), ["agent_id", "key", "pos"])
     conflict = T.conflicting_numbers(F.col("asks.new_numbers"), F.col("item.old_numbers"), F.col("asks.new_concept"), F.col("item.old_concept"))
     delta = F.concat(F.lit("index "), F.col("item.old_idx").cast("string"), F.lit(" -> "), F.col("asks.new_idx").cast("string"))
-    named = found.select(F.col("asks.new_id").alias("new_id"), F.col("item.old_id").alias("old_id"), conflict.alias("conflict"), delta.alias("temporal_delta"))
-    return named.where("conflict is not null").select("new_id", "old_id", F.concat(F.lit("Updated values: "), "conflict").alias("reason"), "temporal_delta").distinct()
+    named = found.select(
+        F.col("asks.new_id").alias("new_id"), F.col("item.old_id").alias("old_id"), conflict.alias("conflict"), delta.alias("temporal_delta")
+    )
+    return named.where("conflict is not null").select(
+        "new_id", "old_id", F.concat(F.lit("Updated values: "), "conflict").alias("reason"), "temporal_delta"
+    ).distinct()
 
 
 def all_knowledge(facts: DataFrame, limit: int = 50, category: str | None = None) -> DataFrame:
@@ -96,7 +133,10 @@ def search_by_concept(facts: DataFrame, words: list[str], limit: int = 10) -> Da
     kept = [(i, w.lower()) for i, w in enumerate(words) if len(w) > 2]
     if not kept:
         return facts.limit(0).select("node_id", F.lit(0).alias("keyword_pos"))
-    hits = F.filter(F.array(*(F.when(_lower_contains("concept", F.lit(w)) | _lower_contains("content", F.lit(w)), F.lit(i)) for i, w in kept)), lambda i: i.isNotNull())
+    hits = F.filter(
+        F.array(*(F.when(_lower_contains("concept", F.lit(w)) | _lower_contains("content", F.lit(w)), F.lit(i)) for i, w in kept)),
+        lambda i: i.isNotNull()
+    )
     per = facts.select("node_id", "confidence", F.explode(hits).alias("keyword_pos"))
     order = Window.partitionBy("keyword_pos").orderBy(F.desc("confidence"), "node_id")
     top = per.withColumn("n", F.row_number().over(order)).where(F.col("n") <= limit)
@@ -139,7 +179,9 @@ def aggregation(facts: DataFrame, kind: str, contains: str | None = None, limit:
 
 def statistics(semantic: DataFrame, episodic: DataFrame, edges: DataFrame) -> DataFrame:
     """``(what, n)``: rows of both tables and edges of each type."""
-    rows = semantic.agg(F.count("*").alias("n")).select(F.lit("semantic_nodes").alias("what"), "n").unionAll(episodic.agg(F.count("*").alias("n")).select(F.lit("episodic_nodes").alias("what"), "n"))
+    rows = semantic.agg(F.count("*").alias("n")).select(F.lit("semantic_nodes").alias("what"), "n").unionAll(
+        episodic.agg(F.count("*").alias("n")).select(F.lit("episodic_nodes").alias("what"), "n")
+    )
     return rows.unionAll(edges.groupBy(F.concat(F.lower("edge_type"), F.lit("_edges")).alias("what")).agg(F.count("*").alias("n")))
 
 
@@ -152,7 +194,9 @@ def mark_superseded(facts: DataFrame, edges: DataFrame) -> DataFrame:
     """Adds ``superseded_by`` (the smallest successor); confidence of superseded facts halves, to 0.1 at least."""
     newer = edges.where("edge_type = 'SUPERSEDES'").groupBy(F.col("target_id").alias("node_id")).agg(F.min("source_id").alias("superseded_by"))
     marked = facts.drop("superseded_by").join(newer, "node_id", "left")
-    return marked.withColumn("confidence", F.when(F.col("superseded_by").isNotNull(), F.greatest(F.lit(0.1), F.col("confidence") * 0.5)).otherwise(F.col("confidence")))
+    return marked.withColumn(
+        "confidence", F.when(F.col("superseded_by").isNotNull(), F.greatest(F.lit(0.1), F.col("confidence") * 0.5)).otherwise(F.col("confidence"))
+    )
 
 
 def subgraph_rank(query: str) -> Column:
@@ -165,38 +209,54 @@ def subgraph_rank(query: str) -> Column:
     return F.col("confidence") * (0.5 + 0.5 * hits / len(words))
 
 
-def retrieve_subgraph(facts: DataFrame, edges: DataFrame, episodes: DataFrame, query: str, max_depth: int = 2, max_nodes: int = 20) -> tuple[DataFrame, DataFrame]:
+def retrieve_subgraph(
+    facts: DataFrame, edges: DataFrame, episodes: DataFrame, query: str, max_depth: int = 2, max_nodes: int = 20
+) -> tuple[DataFrame, DataFrame]:
     """``(nodes, edges)`` around a query: seeds by entity and keyword, expanded over SIMILAR_TO, ranked.
 
     Seeds come in order of their first keyword; up to ``max_nodes`` nodes are seen, neighbours in order of
     seed, hop, weight and id; the ``max_nodes`` best remain, with provenance and supersession attached. Edges
-    keep their true ends. Everything after the seeds is bounded by ``max(3 * max_nodes, 60)`` rows.
+    keep their true ends. Of a seed's neighbours in a hop only the first ``max_nodes`` beyond the number of seeds
+    are followed, as later ones can't be among those seen: all that is held is bounded by ``max(3 * max_nodes, 60)`` seeds
+    and so many neighbours of each, however many a hub has.
     """
     bound = max(3 * max_nodes, 60)
     entity = query.lower().strip()
-    by_entity = facts.where(_lower_contains("entity_name", F.lit(entity))).orderBy(F.desc("confidence"), "node_id").limit(bound).select("node_id", F.lit(-1).alias("keyword_pos"))
+    by_entity = facts.where(
+        _lower_contains("entity_name", F.lit(entity))
+    ).orderBy(F.desc("confidence"), "node_id").limit(bound).select("node_id", F.lit(-1).alias("keyword_pos"))
     by_word = search_by_concept(facts, keywords(query), bound)
     seeds = by_entity.unionAll(by_word).groupBy("node_id").agg(F.min("keyword_pos").alias("p")).orderBy("p", "node_id").limit(bound)
     seeds = seeds.withColumn("seed_pos", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("p", "node_id"))).select("node_id", "seed_pos")
     similar = edges.where("edge_type = 'SIMILAR_TO'").select("source_id", "target_id", "weight")
     seen = seeds.select("node_id", "seed_pos", F.lit(0).alias("hop"), F.lit(0.0).alias("w"))
-    crossed, frontier = None, seeds.select(F.col("node_id").alias("source_id"), "seed_pos")
+    frontier = seeds.select(F.col("node_id").alias("source_id"), "seed_pos")
+    nearest = Window.partitionBy("seed_pos").orderBy("v", "node_id")
     for hop in range(1, max_depth + 1):
-        step = similar.join(F.broadcast(frontier) if hop == 1 else frontier, "source_id")
-        crossed = step if crossed is None else crossed.unionAll(step)
-        reached = step.groupBy(F.col("target_id").alias("node_id")).agg(F.min(F.struct("seed_pos", (-F.col("weight")).alias("v"))).alias("s"))
+        step = similar.join(F.broadcast(frontier), "source_id")
+        reached = step.groupBy("seed_pos", F.col("target_id").alias("node_id")).agg(F.min(-F.col("weight")).alias("v"))
+        reached = reached.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= bound + max_nodes)
+        reached = reached.groupBy("node_id").agg(F.min(F.struct("seed_pos", "v")).alias("s"))
         seen = seen.unionAll(reached.select("node_id", "s.seed_pos", F.lit(hop).alias("hop"), (-F.col("s.v")).alias("w")))
-        frontier = reached.select(F.col("node_id").alias("source_id"), "s.seed_pos")
+        frontier = materialise(reached.select(F.col("node_id").alias("source_id"), "s.seed_pos"))
     first = seen.groupBy("node_id").agg(F.min(F.struct("hop", "seed_pos", (-F.col("w")).alias("v"))).alias("s"))
     budget = F.greatest(F.lit(max_nodes), F.sum(F.when(F.col("s.hop") == 0, 1).otherwise(0)).over(Window.partitionBy(F.lit(1))))
-    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.when(F.col("s.hop") == 0, 0).otherwise(1), F.col("s.seed_pos"), F.col("s.hop"), F.col("s.v"), F.col("node_id")))
+    place = F.row_number().over(
+        Window.partitionBy(F.lit(1)).orderBy(
+            F.when(F.col("s.hop") == 0, 0).otherwise(1), F.col("s.seed_pos"), F.col("s.hop"), F.col("s.v"), F.col("node_id")
+        )
+    )
     picked = first.orderBy(F.when(F.col("s.hop") == 0, 0).otherwise(1), "s.seed_pos", "s.hop", "s.v", "node_id").limit(bound + max_nodes)
     kept = picked.withColumns({"place": place, "budget": budget}).where("place <= budget").select("node_id")
-    ranked = facts.join(F.broadcast(kept), "node_id", "left_semi").withColumn("rank_score", subgraph_rank(query)).orderBy(F.desc("rank_score"), "node_id").limit(max_nodes)
+    ranked = facts.join(
+        F.broadcast(kept), "node_id", "left_semi"
+    ).withColumn("rank_score", subgraph_rank(query)).orderBy(F.desc("rank_score"), "node_id").limit(max_nodes)
     nodes = mark_superseded(attach_provenance(ranked, episodes), edges)
     ids = nodes.select("node_id")
-    inside = crossed.select("source_id", "target_id", "weight").distinct().join(ids.withColumnRenamed("node_id", "source_id"), "source_id", "left_semi").join(ids.withColumnRenamed("node_id", "target_id"), "target_id", "left_semi")
-    return nodes, inside
+    walked = ids.join(seen.where(F.col("hop") < max_depth).select("node_id").distinct(), "node_id", "left_semi")
+    inside = similar.join(F.broadcast(walked.withColumnRenamed("node_id", "source_id")), "source_id", "left_semi")
+    inside = inside.join(F.broadcast(ids.withColumnRenamed("node_id", "target_id")), "target_id", "left_semi")
+    return nodes, inside.select("source_id", "target_id", "weight").distinct()
 
 
 def to_llm_context(nodes: DataFrame, edges: DataFrame, query: str, chronological: bool = False) -> DataFrame:
@@ -205,14 +265,27 @@ def to_llm_context(nodes: DataFrame, edges: DataFrame, query: str, chronological
     ``nodes``: node_id, concept, content, confidence, source_label, metadata; ``edges``: source_id,
     target_id, edge_type, weight[, conflicting_values]. The text of a subgraph is one value, so its few rows meet.
     """
-    time = F.when(_json("metadata", "source_date").isNotNull(), F.concat(F.lit(" [Date: "), _json("metadata", "source_date"), F.lit("]"))).when(_json("metadata", "temporal_order").isNotNull(), F.concat(F.lit(" [Time: "), _json("metadata", "temporal_order"), F.lit("]"))).otherwise("")
+    time = F.when(_json("metadata", "source_date").isNotNull(), F.concat(F.lit(" [Date: "), _json("metadata", "source_date"), F.lit("]"))).when(
+        _json("metadata", "temporal_order").isNotNull(), F.concat(F.lit(" [Time: "), _json("metadata", "temporal_order"), F.lit("]"))
+    ).otherwise("")
     source = F.when(F.coalesce("source_label", F.lit("")) != "", F.concat(F.lit(" [Source: "), "source_label", F.lit("]"))).otherwise("")
-    key = F.struct(F.coalesce(_json("metadata", "temporal_index").try_cast("bigint"), F.lit(999999)).alias("t"), "node_id") if chronological else F.struct((-F.col("confidence")).alias("t"), "node_id")
-    line = F.concat(F.lit(". ["), F.coalesce("concept", F.lit("")), F.lit("]"), time if chronological else F.lit(""), source, F.lit(" "), F.coalesce("content", F.lit("")), F.lit(" (confidence: "), F.format_string("%.1f", F.col("confidence")), F.lit(")"))
+    key = F.struct(
+        F.coalesce(_json("metadata", "temporal_index").try_cast("bigint"), F.lit(999999)).alias("t"), "node_id"
+    ) if chronological else F.struct((-F.col("confidence")).alias("t"), "node_id")
+    line = F.concat(
+        F.lit(". ["), F.coalesce("concept", F.lit("")), F.lit("]"), time if chronological else F.lit(""), source, F.lit(" "),
+        F.coalesce("content", F.lit("")), F.lit(" (confidence: "), F.format_string("%.1f", F.col("confidence")), F.lit(")")
+    )
     facts = nodes.agg(F.sort_array(F.collect_list(F.struct(key.alias("k"), line.alias("l")))).alias("f"))
     conflicts = F.col("conflicting_values") if "conflicting_values" in edges.columns else F.lit(None).cast("string")
-    relation = F.concat(F.lit("  - "), F.substring("source_id", 1, 8), F.lit(".. "), "edge_type", F.lit(" "), F.substring("target_id", 1, 8), F.lit(".. (weight: "), F.format_string("%.2f", F.col("weight")), F.lit(")"))
-    links = edges.agg(F.sort_array(F.collect_list(relation)).alias("r"), F.sort_array(F.collect_list(F.concat(F.lit("  - WARNING: Conflicting information found: "), conflicts))).alias("c"))
+    relation = F.concat(
+        F.lit("  - "), F.substring("source_id", 1, 8), F.lit(".. "), "edge_type", F.lit(" "), F.substring("target_id", 1, 8), F.lit(".. (weight: "),
+        F.format_string("%.2f", F.col("weight")), F.lit(")")
+    )
+    links = edges.agg(
+        F.sort_array(F.collect_list(relation)).alias("r"),
+        F.sort_array(F.collect_list(F.concat(F.lit("  - WARNING: Conflicting information found: "), conflicts))).alias("c")
+    )
     numbered = F.transform("f", lambda x, i: F.concat(F.lit("  "), (i + 1).cast("string"), x["l"]))
     heading = F.array(F.lit(f"Knowledge graph context for: {query}\n"), F.lit("Facts (in chronological order):" if chronological else "Facts:"))
     section = lambda title, c: F.when(F.size(c) > 0, F.concat(F.array(F.lit(title)), c)).otherwise(F.array().cast("array<string>"))

@@ -13,7 +13,9 @@ def precision_at_k(ranked: DataFrame, query: str, k: int) -> DataFrame:
     asked = F.filter(T.query_tokens(query, "plain"), lambda w: w != "*")
     top = ranked.orderBy("pos").limit(max(k, 0))
     said = T.plain_tokens(F.concat_ws(" ", "concept", "content"))
-    return top.select(F.arrays_overlap(asked, said).cast("double").alias("hit"), asked.alias("q")).agg(F.avg(F.when(F.size("q") > 0, F.col("hit"))).alias("precision"))
+    return top.select(
+        F.arrays_overlap(asked, said).cast("double").alias("hit"), asked.alias("q")
+    ).agg(F.avg(F.when(F.size("q") > 0, F.col("hit"))).alias("precision"))
 
 
 def labelled_precision(ranked: DataFrame, labels: DataFrame, k: int) -> DataFrame:
@@ -21,7 +23,9 @@ def labelled_precision(ranked: DataFrame, labels: DataFrame, k: int) -> DataFram
     hits = ranked.where(F.col("pos") <= k).join(labels.distinct(), ["query", "item_id"], "left_semi").groupBy("query").agg(F.count("*").alias("n"))
     first = ranked.join(labels.distinct(), ["query", "item_id"], "left_semi").groupBy("query").agg(F.min("pos").alias("first"))
     every = labels.select("query").distinct()
-    return every.join(hits, "query", "left").join(first, "query", "left").select("query", (F.coalesce("n", F.lit(0)) / k).alias("precision_at_k"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("reciprocal_rank"))
+    return every.join(hits, "query", "left").join(first, "query", "left").select(
+        "query", (F.coalesce("n", F.lit(0)) / k).alias("precision_at_k"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("reciprocal_rank")
+    )
 
 
 def distil(episodes: DataFrame) -> DataFrame:

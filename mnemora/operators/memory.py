@@ -42,7 +42,10 @@ def record_sensory(existing: DataFrame, observed: DataFrame, now: Column, ttl_se
     last = existing.groupBy("agent_id").agg(F.max("observation_order").alias("last"))
     rank = F.row_number().over(Window.partitionBy("agent_id").orderBy("node_id"))
     new = observed.withColumn("rank", rank).join(last, "agent_id", "left")
-    return new.select("node_id", "agent_id", "modality", "raw_data", (F.coalesce("last", F.lit(0)) + F.col("rank")).cast("long").alias("observation_order"), (now + F.make_dt_interval(secs=F.lit(ttl_seconds))).alias("expires_at"), now.alias("created_at"))
+    return new.select(
+        "node_id", "agent_id", "modality", "raw_data", (F.coalesce("last", F.lit(0)) + F.col("rank")).cast("long").alias("observation_order"),
+        (now + F.make_dt_interval(secs=F.lit(ttl_seconds))).alias("expires_at"), now.alias("created_at")
+    )
 
 
 def recent_sensory(sensory: DataFrame, now: Column, limit: int = 10) -> DataFrame:
@@ -58,9 +61,20 @@ def prune_sensory(sensory: DataFrame, now: Column) -> tuple[DataFrame, DataFrame
 def attend_to_sensory(sensory: DataFrame, attended: DataFrame, now: Column, next_index: int = 1) -> tuple[DataFrame, DataFrame]:
     """``(episodes, ATTENDED_TO edges)`` of unexpired items; ``attended``: node_id, reason."""
     found = sensory.where(F.col("expires_at") > now).join(attended.select("node_id", "reason"), "node_id")
-    content = F.concat(F.lit("["), "modality", F.lit("] "), "raw_data", F.when(F.coalesce("reason", F.lit("")) != "", F.concat(F.lit(" -- attended: "), "reason")).otherwise(""))
-    episodes = found.select(F.concat(F.lit("epi_"), "node_id").alias("node_id"), "agent_id", content.alias("content"), F.lit("sensory").alias("source_label"), (F.lit(next_index) + F.row_number().over(Window.partitionBy("agent_id").orderBy("observation_order", "node_id")) - 1).cast("long").alias("temporal_index"))
-    edges = found.select(F.col("node_id").alias("source_id"), F.concat(F.lit("epi_"), "node_id").alias("target_id"), F.lit("ATTENDED_TO").alias("edge_type"), now.alias("attended_at"))
+    content = F.concat(
+        F.lit("["), "modality", F.lit("] "), "raw_data",
+        F.when(F.coalesce("reason", F.lit("")) != "", F.concat(F.lit(" -- attended: "), "reason")).otherwise("")
+    )
+    episodes = found.select(
+        F.concat(F.lit("epi_"), "node_id").alias("node_id"), "agent_id", content.alias("content"), F.lit("sensory").alias("source_label"),
+        (
+            F.lit(next_index) + F.row_number().over(Window.partitionBy("agent_id").orderBy("observation_order", "node_id")) - 1
+        ).cast("long").alias("temporal_index")
+    )
+    edges = found.select(
+        F.col("node_id").alias("source_id"), F.concat(F.lit("epi_"), "node_id").alias("target_id"), F.lit("ATTENDED_TO").alias("edge_type"),
+        now.alias("attended_at")
+    )
     return episodes, edges
 
 
@@ -93,7 +107,9 @@ def replay_working(pushes: DataFrame, capacity: int = vocab.WORKING_CAPACITY) ->
                     task, held[key] = key, []
                 slots = held[key]
                 if len(slots) >= capacity:
-                    slots.remove(min(slots, key=lambda s: (s[columns.index("relevance")], s[columns.index("created_at")], s[columns.index("node_id")])))
+                    slots.remove(
+                        min(slots, key=lambda s: (s[columns.index("relevance")], s[columns.index("created_at")], s[columns.index("node_id")]))
+                    )
                 slots.append(tuple(row))
         if task is not None:
             yield pd.DataFrame(held.pop(task), columns=columns)
@@ -125,8 +141,13 @@ def store_episodes(existing: DataFrame, new: DataFrame) -> DataFrame:
     rows = new.join(last, "agent_id", "left").withColumn("pos", F.row_number().over(Window.partitionBy("agent_id").orderBy("node_id")))
     base = F.coalesce(F.col("last"), F.lit(0))
     # a counter that steps by one and jumps to explicit indexes is pos + max(index - pos) so far
-    lead = F.max(F.greatest(F.coalesce(F.col("temporal_index") - F.col("pos"), base), base)).over(Window.partitionBy("agent_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.select("node_id", "agent_id", "content", "source_label", F.coalesce(F.col("temporal_index"), F.col("pos") + lead).cast("long").alias("temporal_index"))
+    lead = F.max(F.greatest(F.coalesce(F.col("temporal_index") - F.col("pos"), base), base)).over(
+        Window.partitionBy("agent_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, 0)
+    )
+    return rows.select(
+        "node_id", "agent_id", "content", "source_label",
+        F.coalesce(F.col("temporal_index"), F.col("pos") + lead).cast("long").alias("temporal_index")
+    )
 
 
 def recover_counters(table: DataFrame, column: str) -> DataFrame:
@@ -149,10 +170,14 @@ def undistilled_episodes(episodes: DataFrame, limit: int = 50) -> DataFrame:
 def mark_distilled(episodes: DataFrame, ids: DataFrame, agent: str) -> DataFrame:
     """Sets a one-way latch on the agent's own episodes among ``ids`` (node_id)."""
     named = episodes.join(ids.select("node_id", F.lit(True).alias("named")).distinct(), "node_id", "left")
-    return named.withColumn("distilled", F.coalesce("distilled", F.lit(False)) | (F.coalesce("named", F.lit(False)) & (F.col("agent_id") == agent))).drop("named")
+    return named.withColumn(
+        "distilled", F.coalesce("distilled", F.lit(False)) | (F.coalesce("named", F.lit(False)) & (F.col("agent_id") == agent))
+    ).drop("named")
 
 
-def consolidate_episodes(episodes: DataFrame, batch: int = 10, summarise: Callable[[Column], Column] | None = None, separator: str = " | ") -> DataFrame:
+def consolidate_episodes(
+    episodes: DataFrame, batch: int = 10, summarise: Callable[[Column], Column] | None = None, separator: str = " | "
+) -> DataFrame:
     """One summary per agent over its oldest ``batch`` uncompressed episodes: ``agent_id, summary, original_count, episode_ids``.
 
     Agents with fewer have none. ``summarise`` maps the array of contents to a text; by default they are joined.
@@ -162,13 +187,18 @@ def consolidate_episodes(episodes: DataFrame, batch: int = 10, summarise: Callab
     grouped = oldest.groupBy("agent_id").agg(F.sort_array(F.collect_list(F.struct("n", "node_id", "content"))).alias("e")).where(F.size("e") == batch)
     contents = F.transform("e", lambda e: F.coalesce(e["content"], F.lit("")))
     summary = F.array_join(contents, separator) if summarise is None else summarise(contents)
-    return grouped.select("agent_id", summary.alias("summary"), F.size("e").cast("long").alias("original_count"), F.transform("e", lambda e: e["node_id"]).alias("episode_ids"))
+    return grouped.select(
+        "agent_id", summary.alias("summary"), F.size("e").cast("long").alias("original_count"),
+        F.transform("e", lambda e: e["node_id"]).alias("episode_ids")
+    )
 
 
 def compress_consolidated(episodes: DataFrame, consolidated: DataFrame) -> DataFrame:
     """Episodes with those that went into a summary marked as compressed."""
     used = consolidated.select("agent_id", F.explode("episode_ids").alias("node_id")).withColumn("used", F.lit(True))
-    return episodes.join(used, ["agent_id", "node_id"], "left").withColumn("compressed", F.col("compressed") | F.coalesce("used", F.lit(False))).drop("used")
+    return episodes.join(used, ["agent_id", "node_id"], "left").withColumn(
+        "compressed", F.col("compressed") | F.coalesce("used", F.lit(False))
+    ).drop("used")
 
 
 # -- semantic --------------------------------------------------------------------------------------
@@ -181,17 +211,27 @@ def store_facts(new: DataFrame, episodes: DataFrame, sources: DataFrame, strict:
     confidence outside [0, 1] (NaN included) or a blank concept or content rejects a fact. Edges are made to
     episodes that exist; ``strict`` rejects facts that name any other.
     """
-    error = F.when(F.isnan("confidence") | F.col("confidence").isNull() | ~F.col("confidence").between(0.0, 1.0), "confidence out of range").when(F.trim(F.coalesce("concept", F.lit(""))) == "", "blank concept").when(F.trim(F.coalesce("content", F.lit(""))) == "", "blank content")
+    error = F.when(
+        F.isnan("confidence") | F.col("confidence").isNull() | ~F.col("confidence").between(0.0, 1.0), "confidence out of range"
+    ).when(F.trim(F.coalesce("concept", F.lit(""))) == "", "blank concept").when(F.trim(F.coalesce("content", F.lit(""))) == "", "blank content")
     checked = new.withColumn("error", error)
     known = sources.join(episodes.select(F.col("node_id").alias("episode_id")).distinct(), "episode_id", "left_semi")
     if strict:
-        lost = sources.join(episodes.select(F.col("node_id").alias("episode_id")), "episode_id", "left_anti").select("node_id").distinct().withColumn("lost", F.lit(True))
-        checked = checked.join(lost, "node_id", "left").withColumn("error", F.coalesce("error", F.when(F.col("lost"), "unknown episode"))).drop("lost")
+        lost = sources.join(
+            episodes.select(F.col("node_id").alias("episode_id")), "episode_id", "left_anti"
+        ).select("node_id").distinct().withColumn("lost", F.lit(True))
+        checked = checked.join(lost, "node_id", "left").withColumn(
+            "error", F.coalesce("error", F.when(F.col("lost"), "unknown episode"))
+        ).drop("lost")
     good = checked.where("error is null").drop("error")
     if "importance" in new.columns:
         good = good.withColumn("importance", F.coalesce("importance", "confidence"))
-    edges = known.join(good.select("node_id"), "node_id", "left_semi").select(F.col("node_id").alias("source_id"), F.col("episode_id").alias("target_id"), F.lit("DERIVES_FROM").alias("edge_type")).distinct()
-    return good.withColumn("content_hash", T.content_hash(F.col("concept"), F.col("content"))), edges, checked.where("error is not null").select("node_id", "error")
+    edges = known.join(good.select("node_id"), "node_id", "left_semi").select(
+        F.col("node_id").alias("source_id"), F.col("episode_id").alias("target_id"), F.lit("DERIVES_FROM").alias("edge_type")
+    ).distinct()
+    return good.withColumn(
+        "content_hash", T.content_hash(F.col("concept"), F.col("content"))
+    ), edges, checked.where("error is not null").select("node_id", "error")
 
 
 def all_facts(facts: DataFrame, limit: int = 50) -> DataFrame:
@@ -216,8 +256,28 @@ def record_access(facts: DataFrame, accesses: DataFrame, agent: str | None = Non
     joined = facts.join(used, "node_id", "left")
     if agent is not None:
         foreign = F.col("uses").isNotNull() & (F.col("agent_id") != agent)
-        joined = joined.withColumn("uses", F.when(foreign, F.raise_error(F.concat(F.lit("fact of another agent: "), "node_id"))).otherwise(F.col("uses")))
-    return joined.withColumns({"usage_count": F.coalesce("usage_count", F.lit(0)) + F.coalesce("uses", F.lit(0)), "last_accessed_at": F.greatest("last_accessed_at", "at")}).drop("uses", "at")
+        joined = joined.withColumn(
+            "uses", F.when(foreign, F.raise_error(F.concat(F.lit("fact of another agent: "), "node_id"))).otherwise(F.col("uses"))
+        )
+    return joined.withColumns(
+        {"usage_count": F.coalesce("usage_count", F.lit(0)) + F.coalesce("uses", F.lit(0)), "last_accessed_at": F.greatest("last_accessed_at", "at")}
+    ).drop("uses", "at")
+
+
+def fold_statuses(prospective: DataFrame, statuses: DataFrame) -> DataFrame:
+    """Intentions with the furthest status that was noted (node_id, status): pending, triggered, resolved."""
+    rank = F.when(F.col("status") == "resolved", 2).when(F.col("status") == "triggered", 1).otherwise(0)
+    furthest = statuses.groupBy("node_id").agg(F.max(F.struct(rank.alias("rank"), "status")).alias("noted"))
+    joined = prospective.join(furthest, "node_id", "left")
+    later = F.col("noted").isNotNull() & (F.col("noted.rank") > rank)
+    return joined.withColumn("status", F.when(later, F.col("noted.status")).otherwise(F.col("status"))).drop("noted").select(*prospective.columns)
+
+
+def fold_uses(procedures: DataFrame, accesses: DataFrame) -> DataFrame:
+    """Procedures with the uses that were noted (node_id) added to their count."""
+    used = accesses.groupBy("node_id").agg(F.count("*").alias("uses"))
+    joined = procedures.join(used, "node_id", "left")
+    return joined.withColumn("usage_count", F.coalesce("usage_count", F.lit(0)) + F.coalesce("uses", F.lit(0))).select(*procedures.columns)
 
 
 def link_once(edges: DataFrame, new: DataFrame) -> DataFrame:
@@ -234,14 +294,17 @@ def store_procedures(existing: DataFrame, new: DataFrame) -> DataFrame:
     key = ["agent_id", "name"]
     latest = new.groupBy(*key).agg(F.max_by(F.struct("node_id", "steps", "prerequisites"), "node_id").alias("n"))
     both = existing.join(latest, key, "full_outer")
-    return both.select(F.coalesce("node_id", "n.node_id").alias("node_id"), *key, F.coalesce("n.steps", "steps").alias("steps"), F.coalesce("n.prerequisites", "prerequisites").alias("prerequisites"), F.coalesce("usage_count", F.lit(0).cast("long")).alias("usage_count"))
+    return both.select(
+        F.coalesce("node_id", "n.node_id").alias("node_id"), *key, F.coalesce("n.steps", "steps").alias("steps"),
+        F.coalesce("n.prerequisites", "prerequisites").alias("prerequisites"), F.coalesce("usage_count", F.lit(0).cast("long")).alias("usage_count")
+    )
 
 
 def recall_procedures(procedures: DataFrame, query: str, limit: int = 5) -> tuple[DataFrame, DataFrame]:
     """``(procedures with their uses so far, updates (node_id, usage_count) to commit)``."""
-    stepped = procedures.withColumn("all_steps", F.array_join("steps", " "))
-    hit = _any_word(("name", "all_steps"), query) if keywords(query) else F.lit(True)
-    found = stepped.where(hit).drop("all_steps").orderBy(F.desc("usage_count"), "node_id").limit(limit)
+    steps = "__all_steps"
+    hit = _any_word(("name", steps), query) if keywords(query) else F.lit(True)
+    found = procedures.withColumn(steps, F.array_join("steps", " ")).where(hit).drop(steps).orderBy(F.desc("usage_count"), "node_id").limit(limit)
     return found, found.select("node_id", (F.col("usage_count") + 1).alias("usage_count"))
 
 
@@ -274,7 +337,9 @@ def check_triggers(prospective: DataFrame, contents: DataFrame, mode: str = "wor
     piece of a content word that is as long as a trigger word. Both are equi-joins. The caller marks the
     intentions as triggered.
     """
-    pending = prospective.where(F.col("status") == "pending").select("node_id", "priority", F.explode(T.plain_tokens(F.col("trigger_condition"))).alias("word"))
+    pending = prospective.where(F.col("status") == "pending").select(
+        "node_id", "priority", F.explode(T.plain_tokens(F.col("trigger_condition"))).alias("word")
+    )
     said = contents.select("content_id", F.explode(T.plain_tokens(F.col("content"))).alias("said"))
     if mode == "word":
         found = pending.join(said, F.col("word") == F.col("said"))
@@ -282,7 +347,12 @@ def check_triggers(prospective: DataFrame, contents: DataFrame, mode: str = "wor
         sizes = pending.agg(F.min(F.length("word")).alias("lo"), F.max(F.length("word")).alias("hi"))  # one row
         pieces = said.distinct().crossJoin(F.broadcast(sizes)).where(F.length("said") >= F.col("lo"))
         pieces = pieces.select("content_id", "said", F.explode(F.sequence("lo", F.least("hi", F.length("said")))).alias("size"))
-        pieces = pieces.select("content_id", F.explode(F.transform(F.sequence(F.lit(1), F.length("said") - F.col("size") + 1), lambda i: F.substring(F.col("said"), i, F.col("size")))).alias("word")).distinct()
+        pieces = pieces.select(
+            "content_id",
+            F.explode(
+                F.transform(F.sequence(F.lit(1), F.length("said") - F.col("size") + 1), lambda i: F.substring(F.col("said"), i, F.col("size")))
+            ).alias("word")
+        ).distinct()
         found = pending.join(pieces, "word")
     else:
         raise ValueError(f"unknown mode: {mode!r}")

@@ -50,12 +50,16 @@ def graph_scores(scored: DataFrame, links: DataFrame, max_hops: int) -> DataFram
     """
     hops = min(max_hops, vocab.MAX_GRAPH_HOPS)
     own = scored.select("node_id", "agent_id", "s")
-    walk = links.join(own.select(F.col("node_id").alias("here"), F.col("agent_id").alias("here_agent")), "here").join(own.select(F.col("node_id").alias("there"), F.col("agent_id").alias("there_agent"), "s"), "there")
+    walk = links.join(own.select(F.col("node_id").alias("here"), F.col("agent_id").alias("here_agent")), "here").join(
+        own.select(F.col("node_id").alias("there"), F.col("agent_id").alias("there_agent"), "s"), "there"
+    )
     walk = walk.where("here_agent = there_agent and here <> there").select("here", "there", "edge_type", "s")
     if hops == 1:
         reached = walk.where("s > 0").select(F.col("here").alias("start"), "there", "edge_type", "s", F.lit(1).alias("hop"))
     else:
-        frontier = walk.select(F.col("here").alias("start"), F.col("there").alias("at"), "edge_type", "s").groupBy("start", "at").agg(F.min_by(F.struct("edge_type", "s"), "edge_type").alias("e"))
+        frontier = walk.select(
+            F.col("here").alias("start"), F.col("there").alias("at"), "edge_type", "s"
+        ).groupBy("start", "at").agg(F.min_by(F.struct("edge_type", "s"), "edge_type").alias("e"))
         reached, seen = None, None
         for hop in range(1, hops + 1):
             now_here = frontier.select("start", F.col("at").alias("there"), "e.edge_type", "e.s", F.lit(hop).alias("hop"))
@@ -67,7 +71,12 @@ def graph_scores(scored: DataFrame, links: DataFrame, max_hops: int) -> DataFram
                 fresh = step.groupBy("start", F.col("there").alias("to")).agg(F.min_by(F.struct("edge_type", "s"), "edge_type").alias("e"))
                 frontier = fresh.withColumnRenamed("to", "at").join(seen, ["start", "at"], "left_anti")
     value = F.col("s") / F.col("hop")
-    best = reached.where("s > 0").groupBy(F.col("start").alias("node_id")).agg(F.max_by(F.struct(value.alias("best"), F.col("edge_type").alias("via"), F.col("hop")), F.struct(value.alias("v"), (-F.col("hop")).alias("h"), F.col("edge_type"))).alias("g"))
+    best = reached.where("s > 0").groupBy(F.col("start").alias("node_id")).agg(
+        F.max_by(
+            F.struct(value.alias("best"), F.col("edge_type").alias("via"), F.col("hop")),
+            F.struct(value.alias("v"), (-F.col("hop")).alias("h"), F.col("edge_type"))
+        ).alias("g")
+    )
     return best.select("node_id", "g.best", "g.via", "g.hop")
 
 
@@ -81,19 +90,27 @@ def _ranked(rows: DataFrame, now: Column, options: RecallOptions, proximity: Dat
     rows = rows.withColumn("age", _age(F.col("at"), now))
     terms = {
         "text": w["text"] * F.col("s"), "confidence": w["confidence"] * F.col("conf"), "importance": w["importance"] * F.col("imp"),
-        "recency": w["recency"] * exp_decay(F.col("age"), options.half_life_seconds), "usage": w["usage"] * usage_boost(F.col("uses")), "graph": w["graph"] * F.coalesce("best", F.lit(0.0)),
+        "recency": w["recency"] * exp_decay(
+            F.col("age"), options.half_life_seconds
+        ), "usage": w["usage"] * usage_boost(F.col("uses")), "graph": w["graph"] * F.coalesce("best", F.lit(0.0)),
     }
     rows = rows.withColumns({f"t_{k}": F.coalesce(v, F.lit(0.0)) for k, v in terms.items()})
     four = lambda c: F.format_string("%.4f", c)
     details = {
-        "text": F.concat(F.lit(" (jaccard="), four(F.col("s")), F.lit(")")), "confidence": F.lit(""), "importance": F.lit(""), "recency": F.concat(F.lit(" (age="), F.col("age").cast("long").cast("string"), F.lit("s)")),
-        "usage": F.concat(F.lit(" (n="), F.col("uses").cast("string"), F.lit(")")), "graph": F.concat(F.lit(" ("), "via", F.lit(" hop"), F.col("hop").cast("string"), F.lit(")")),
+        "text": F.concat(F.lit(" (jaccard="), four(F.col("s")), F.lit(")")), "confidence": F.lit(""), "importance": F.lit(""), "recency": F.concat(
+            F.lit(" (age="), F.col("age").cast("long").cast("string"), F.lit("s)")
+        ),
+        "usage": F.concat(F.lit(" (n="), F.col("uses").cast("string"), F.lit(")")), "graph": F.concat(
+            F.lit(" ("), "via", F.lit(" hop"), F.col("hop").cast("string"), F.lit(")")
+        ),
     }
     score = F.lit(0.0)
     for k in terms:
         score = score + F.col(f"t_{k}")
     top = rows.withColumn("score", score).orderBy(F.desc("score"), *ties).limit(options.limit)
-    reasons = F.filter(F.array(*(F.when(F.col(f"t_{k}") > 0, F.concat(F.lit(f"{k} "), four(F.col(f"t_{k}")), details[k])) for k in terms)), lambda r: r.isNotNull())
+    reasons = F.filter(
+        F.array(*(F.when(F.col(f"t_{k}") > 0, F.concat(F.lit(f"{k} "), four(F.col(f"t_{k}")), details[k])) for k in terms)), lambda r: r.isNotNull()
+    )
     return top.withColumn("reasons", F.when(F.size(reasons) > 0, reasons).otherwise(F.array(F.lit("baseline (no positive signals)"))))
 
 
@@ -107,15 +124,24 @@ def _fact_text() -> Column:
     return F.concat_ws(" ", "concept", "content")
 
 
-def recall_facts(facts: DataFrame, query: str, now: Column, options: RecallOptions = RecallOptions(), edges: DataFrame | None = None, episodes: DataFrame | None = None) -> DataFrame:
+def recall_facts(
+    facts: DataFrame, query: str, now: Column, options: RecallOptions = RecallOptions(), edges: DataFrame | None = None,
+    episodes: DataFrame | None = None
+) -> DataFrame:
     """Facts by score, then confidence, then id: ``node_id, concept, content, confidence, score, reasons``.
 
     Neighbours are similar facts (both ways) and the episodes that a fact derives from. With a graph term
     texts are compared once, into a narrow table of scores that all joins use.
     """
     narrow = facts.select(
-        "node_id", "agent_id", keyword_jaccard(_fact_text(), query).alias("s"), "confidence", F.col("confidence").alias("conf"), F.coalesce("importance", "confidence").alias("imp"),
-        F.coalesce("last_accessed_at", "created_at").alias("at"), F.coalesce("usage_count", F.lit(0)).alias("uses"), F.coalesce("archived", F.lit(False)).alias("archived"), F.col("superseded_by").isNotNull().alias("superseded"),
+        "node_id", "agent_id", keyword_jaccard(_fact_text(), query).alias("s"), "confidence", F.col("confidence").alias("conf"), F.coalesce(
+            "importance", "confidence"
+        ).alias("imp"),
+        F.coalesce(
+            "last_accessed_at", "created_at"
+        ).alias("at"), F.coalesce("usage_count", F.lit(0)).alias("uses"), F.coalesce(
+            "archived", F.lit(False)
+        ).alias("archived"), F.col("superseded_by").isNotNull().alias("superseded"),
     )
     proximity = None
     if edges is not None and options.max_graph_hops > 0:
@@ -124,19 +150,31 @@ def recall_facts(facts: DataFrame, query: str, now: Column, options: RecallOptio
         if episodes is not None:
             scored = scored.unionAll(episodes.select("node_id", "agent_id", keyword_jaccard(F.col("content"), query)))
         similar = edges.where("edge_type = 'SIMILAR_TO'")
-        links = similar.select(F.col("source_id").alias("here"), F.col("target_id").alias("there"), "edge_type").unionAll(similar.select(F.col("target_id").alias("here"), F.col("source_id").alias("there"), "edge_type"))
-        links = links.unionAll(edges.where("edge_type = 'DERIVES_FROM'").select(F.col("source_id").alias("here"), F.col("target_id").alias("there"), "edge_type"))
+        links = similar.select(F.col("source_id").alias("here"), F.col("target_id").alias("there"), "edge_type").unionAll(
+            similar.select(F.col("target_id").alias("here"), F.col("source_id").alias("there"), "edge_type")
+        )
+        links = links.unionAll(
+            edges.where("edge_type = 'DERIVES_FROM'").select(F.col("source_id").alias("here"), F.col("target_id").alias("there"), "edge_type")
+        )
         proximity = graph_scores(scored, links, options.max_graph_hops)
     kept = narrow.where(F.col("confidence") >= options.min_confidence)
     kept = kept if options.include_archived else kept.where(~F.col("archived"))
     kept = kept if options.include_superseded else kept.where(~F.col("superseded"))
     ties = [F.desc("confidence"), F.col("node_id")]
-    return _with_texts(_ranked(kept, now, options, proximity, ties), facts, ["concept", "content", "confidence"], ties).select("node_id", "concept", "content", "confidence", "score", "reasons")
+    return _with_texts(
+        _ranked(kept, now, options, proximity, ties), facts, ["concept", "content", "confidence"], ties
+    ).select("node_id", "concept", "content", "confidence", "score", "reasons")
 
 
-def recall_episodes(episodes: DataFrame, query: str, now: Column, options: RecallOptions = RecallOptions(), edges: DataFrame | None = None, facts: DataFrame | None = None) -> DataFrame:
+def recall_episodes(
+    episodes: DataFrame, query: str, now: Column, options: RecallOptions = RecallOptions(), edges: DataFrame | None = None,
+    facts: DataFrame | None = None
+) -> DataFrame:
     """Uncompressed episodes by score, then newest, then id; neighbours are the facts derived from them."""
-    narrow = episodes.select("node_id", "agent_id", "temporal_index", "compressed", keyword_jaccard(F.col("content"), query).alias("s"), F.lit(0.0).alias("conf"), F.lit(0.0).alias("imp"), F.col("created_at").alias("at"), F.lit(0).alias("uses"))
+    narrow = episodes.select(
+        "node_id", "agent_id", "temporal_index", "compressed", keyword_jaccard(F.col("content"), query).alias("s"), F.lit(0.0).alias("conf"),
+        F.lit(0.0).alias("imp"), F.col("created_at").alias("at"), F.lit(0).alias("uses")
+    )
     proximity = None
     if edges is not None and facts is not None and options.max_graph_hops > 0:
         narrow = materialise(narrow)
@@ -174,7 +212,9 @@ def expand(facts: DataFrame, seeds: DataFrame, edges: DataFrame, query: str, lim
     own = seeds.withColumn("n", n).join(facts, "node_id")
     scored = own.select("node_id", (((F.col("n") - F.col("rank")) / F.col("n") * 0.6 + kw(0.5) * 0.4) * F.col("confidence")).alias("score"))
     near = edges.where("edge_type = 'SIMILAR_TO'").join(seeds.select(F.col("node_id").alias("source_id"), "rank"), "source_id")
-    near = near.groupBy(F.col("target_id").alias("node_id")).agg(F.min_by("similarity_score", "rank").alias("sim")).join(seeds.select("node_id"), "node_id", "left_anti")
+    near = near.groupBy(F.col("target_id").alias("node_id")).agg(
+        F.min_by("similarity_score", "rank").alias("sim")
+    ).join(seeds.select("node_id"), "node_id", "left_anti")
     found = near.join(facts.where(F.col("confidence") >= min_confidence), "node_id")
     others = found.select("node_id", ((F.coalesce("sim", F.lit(0.5)) * 0.5 + kw(0.3) * 0.5) * F.col("confidence")).alias("score"))
     return scored.unionAll(others).orderBy(F.desc("score"), "node_id").limit(limit)

@@ -56,7 +56,10 @@ def scrub_experiences(df: DataFrame) -> DataFrame:
 
 def query_report(queries: DataFrame, max_cost: int) -> DataFrame:
     """``(sql, cost, within_cost, safe)`` of every query in ``queries`` (sql)."""
-    return queries.select("sql", T.query_cost(F.col("sql")).alias("cost"), (T.query_cost(F.col("sql")) <= max_cost).alias("within_cost"), T.safe_query(F.col("sql")).alias("safe"))
+    return queries.select(
+        "sql", T.query_cost(F.col("sql")).alias("cost"), (T.query_cost(F.col("sql")) <= max_cost).alias("within_cost"),
+        T.safe_query(F.col("sql")).alias("safe")
+    )
 
 
 class SecureExperiences:
@@ -71,7 +74,9 @@ class SecureExperiences:
             raise NotPermitted("this scope only reads")
         kinds = [k for k in vocab.EXPERIENCE_TYPES if self.capabilities.can_store(k)]
         allowed = new.where(F.col("experience_type").isin(*kinds))
-        refused = new.where(~F.coalesce(F.col("experience_type").isin(*kinds), F.lit(False))).select("experience_id", F.lit("type not permitted").alias("error"))
+        refused = new.where(
+            ~F.coalesce(F.col("experience_type").isin(*kinds), F.lit(False))
+        ).select("experience_id", F.lit("type not permitted").alias("error"))
         good, rejected = experiences.store(self.df, scrub_experiences(allowed))
         return good, rejected.unionByName(refused)
 

@@ -1,10 +1,11 @@
 """Similar pairs of facts without comparing all with all: an inverted index of rare tokens.
 
-A pair reaches the threshold only if its content words overlap enough given the best its tags and
-concept could add. Under a shared concept word that bound is low, without one it is high; each of the
-two cases joins on tokens of a prefix: a fact's tokens, rarest first, up to the length within which two
-facts of the needed Jaccard similarity must meet (Chaudhuri et al. 2006). Candidates are then scored
-exactly.
+A pair reaches the threshold only if its content words overlap enough given what its tags and concept add.
+Under a shared concept word the least overlap is low, without one it is high; each of the two cases joins on
+tokens of a prefix: a fact's tokens, rarest first, up to the length within which two facts of the needed Jaccard
+similarity must meet (Chaudhuri et al. 2006). Where they meet, the pair's own tags and concepts say what it
+needs, and the places of the token in both orders bound what it can still reach. Candidates are then scored exactly.
+Tokens are compared by 64-bit hash.
 """
 
 from __future__ import annotations
@@ -16,39 +17,57 @@ from ..functions import text as T
 from ..functions import vocab
 from ..plans.lineage import materialise
 
+#: So many of the most frequent tokens are put last; which ones they are changes speed, not results.
+FREQUENT = 4096
 
-def prepared(facts: DataFrame) -> DataFrame:
-    """``node_id, agent_id, concept, w, t, c``: token sets of content, tags and concept."""
-    return facts.select("node_id", "agent_id", "concept", T.tokens(F.col("content")).alias("w"), T.tag_set(F.col("tags")).alias("t"), T.tokens(F.col("concept")).alias("c"))
+
+def _hashed(words: Column) -> Column:
+    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+
+
+def prepared(facts: DataFrame, fresh: bool = True) -> DataFrame:
+    """``node_id, agent_id, concept, w, t, c, fresh``: token sets of content, tags and concept, as hashes."""
+    sets = {"w": T.tokens(F.col("content")), "t": T.tag_set(F.col("tags")), "c": T.tokens(F.col("concept"))}
+    return facts.select("node_id", "agent_id", "concept", *(_hashed(x).alias(k) for k, x in sets.items()), F.lit(fresh).alias("fresh"))
 
 
 def score(a: str = "a", b: str = "b") -> Column:
-    return T.composite(T.jaccard(F.col(f"{a}.w"), F.col(f"{b}.w")), T.jaccard(F.col(f"{a}.t"), F.col(f"{b}.t")), T.jaccard(F.col(f"{a}.c"), F.col(f"{b}.c")))
+    return T.composite(*(T.jaccard(F.col(f"{a}.{k}"), F.col(f"{b}.{k}")) for k in "wtc"))
 
 
 def _ordered(ready: DataFrame) -> DataFrame:
-    """``(agent_id, node_id, c, ws)``: content tokens of every fact, its agent's rarest first. Materialised: prefixes of several lengths are cut from it."""
-    tokens = ready.select("agent_id", "node_id", F.explode("w").alias("token"))
-    seen = tokens.groupBy("agent_id", "token").agg(F.count("*").alias("df"))
-    ranked = tokens.join(seen, ["agent_id", "token"]).groupBy("agent_id", "node_id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("r"))
-    return materialise(ranked.select("agent_id", "node_id", F.transform("r", lambda x: x["token"]).alias("ws")).join(ready.select("node_id", "c"), "node_id"))
+    """``ready`` with ``ws``: content tokens with the most frequent last. Materialised: prefixes of several lengths are cut from it."""
+    seen = ready.select(F.explode("w").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    frequent = seen.orderBy(F.desc("n"), "token").limit(FREQUENT).agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("f"))
+    frequent = frequent.select(F.transform("f", lambda x: x["token"]).alias("frequent"))  # one row
+    ws = F.concat(F.array_except("w", "frequent"), F.array_intersect("frequent", "w"))
+    return materialise(ready.crossJoin(F.broadcast(frequent)).select("node_id", "agent_id", "fresh", "c", "t", ws.alias("ws")))
 
 
 def _prefixes(ordered: DataFrame, least: float) -> DataFrame:
-    """``(agent_id, node_id, c, size, token)``: rarest tokens, as many as a partner with Jaccard ``least`` can't all lack."""
+    """Rarest tokens and their places, as many as a partner with Jaccard ``least`` can't all lack."""
     size = F.size("ws")
-    return ordered.select("agent_id", "node_id", "c", size.alias("size"), F.explode(F.slice("ws", 1, F.greatest(size - F.ceil(size * least - 1e-9) + 1, F.lit(0)).cast("int"))).alias("token"))
+    prefix = F.slice("ws", 1, F.greatest(size - F.ceil(size * least - 1e-9) + 1, F.lit(0)).cast("int"))
+    return ordered.select("agent_id", "node_id", "fresh", "c", "t", size.alias("size"), F.posexplode(prefix).alias("place", "token"))
 
 
-def _meeting(prefixes: DataFrame, key: list[str], least: float) -> DataFrame:
-    left = prefixes.select(*key, F.col("node_id").alias("a"), F.col("size").alias("na"))
-    right = prefixes.select(*key, F.col("node_id").alias("b"), F.col("size").alias("nb"))
-    near = (F.col("a") < F.col("b")) & (F.least("na", "nb") + 1e-9 >= F.greatest("na", "nb") * least)
-    return left.join(right, key).where(near).select("a", "b").distinct()
+def _meeting(prefixes: DataFrame, key: list[str], threshold: float, shared_concept: bool) -> DataFrame:
+    """Pairs with a fresh fact that meet in a token and can reach the threshold from there."""
+    w, t, c = vocab.SIMILARITY_WEIGHTS
+    side = lambda x: [F.col(k).alias(f"{k}_{x}") for k in ("node_id", "fresh", "size", "place", "t", "c")]
+    left, right = prefixes.where("fresh").select(*key, *side("l")), prefixes.select(*key, *side("r"))
+    met = left.join(right, key).where((F.col("node_id_l") < F.col("node_id_r")) | ((F.col("node_id_l") > F.col("node_id_r")) & ~F.col("fresh_r")))
+    concept = T.jaccard(F.col("c_l"), F.col("c_r")) if shared_concept else F.lit(0.0)
+    met = met.withColumn("need", (threshold - t * T.jaccard(F.col("t_l"), F.col("t_r")) - c * concept) / w)
+    # before the first token they share, they share none: after it, no more than the rest of the shorter rest
+    reach = F.least(F.col("size_l") - F.col("place_l"), F.col("size_r") - F.col("place_r"))
+    overlap = F.col("need") / (1 + F.col("need")) * (F.col("size_l") + F.col("size_r"))
+    fine = (F.least("size_l", "size_r") + 1e-9 >= F.greatest("size_l", "size_r") * F.col("need")) & (reach + 1e-6 >= overlap)
+    return met.where(fine).select(F.least("node_id_l", "node_id_r").alias("a"), F.greatest("node_id_l", "node_id_r").alias("b")).distinct()
 
 
 def candidates(ready: DataFrame, threshold: float) -> DataFrame:
-    """``(a, b)``, a < b by node_id, of one agent: every pair that can reach ``threshold``.
+    """``(a, b)``, a < b by node_id, of one agent, one of them fresh: every pair that can reach ``threshold``.
 
     Raises where the threshold is so low that pairs without a common content word could reach it.
     """
@@ -57,30 +76,41 @@ def candidates(ready: DataFrame, threshold: float) -> DataFrame:
     if near <= 0:
         raise ValueError(f"a threshold of {threshold} needs no common word; it must exceed {t + c}")
     ordered = _ordered(ready)
-    found = _meeting(_prefixes(ordered, near).withColumn("concept_token", F.explode("c")), ["agent_id", "concept_token", "token"], near)
+    found = _meeting(_prefixes(ordered, near).withColumn("concept_token", F.explode("c")), ["agent_id", "concept_token", "token"], threshold, True)
     if far <= 1:
-        found = found.union(_meeting(_prefixes(ordered, far), ["agent_id", "token"], far)).distinct()
+        found = found.union(_meeting(_prefixes(ordered, far), ["agent_id", "token"], threshold, False)).distinct()
     return found
 
 
-def similar_pairs(facts: DataFrame, threshold: float = vocab.LINK_THRESHOLD) -> DataFrame:
-    """``(a, b, score)``, a < b: all pairs of an agent's facts with composite similarity of ``threshold`` and more."""
-    ready = materialise(prepared(facts))  # read four times below; texts are tokenised once
+def similar_pairs(facts: DataFrame, threshold: float = vocab.LINK_THRESHOLD, new: DataFrame | None = None) -> DataFrame:
+    """``(a, b, score)``, a < b: all pairs of an agent's facts with composite similarity of ``threshold`` and more.
+
+    With ``new`` (rows of the same columns that aren't in ``facts``) only pairs that hold one of them: the old
+    facts are met through tokens of the new ones alone, never among themselves. Facts without content words,
+    tags or agent are similar to none; ids must be unique.
+    """
+    ready = prepared(facts) if new is None else prepared(facts, fresh=False).unionByName(prepared(new))
+    ready = materialise(ready)  # read several times below; texts are tokenised once
     side = lambda x: ready.select(F.col("node_id").alias(x), F.struct("w", "t", "c").alias(f"{x}_s"))
     both = candidates(ready, threshold).join(side("a"), "a").join(side("b"), "b")
-    scored = both.select("a", "b", T.composite(*(T.jaccard(F.col(f"a_s.{k}"), F.col(f"b_s.{k}")) for k in "wtc")).alias("score"))
+    scored = both.select("a", "b", score("a_s", "b_s").alias("score"))
     return scored.where(F.col("score") >= threshold - 1e-12)
 
 
 def unlinked(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """Pairs (a, b) without a SIMILAR_TO edge in either direction."""
-    known = edges.where(F.col("edge_type") == "SIMILAR_TO").select(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")).distinct()
+    known = edges.where(F.col("edge_type") == "SIMILAR_TO").select(
+        F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")
+    ).distinct()
     return pairs.join(known, ["a", "b"], "left_anti")
 
 
-def link_similar(facts: DataFrame, edges: DataFrame | None = None, threshold: float = vocab.LINK_THRESHOLD, bidirectional: bool = True) -> DataFrame:
-    """SIMILAR_TO edges to append: ``source_id, target_id, edge_type, similarity_score`` (four decimals)."""
-    pairs = similar_pairs(facts, threshold)
+def link_similar(
+    facts: DataFrame, edges: DataFrame | None = None, threshold: float = vocab.LINK_THRESHOLD, bidirectional: bool = True, new: DataFrame | None = None
+) -> DataFrame:
+    """SIMILAR_TO edges to append: ``source_id, target_id, edge_type, similarity_score`` (four decimals); ``new`` as in :func:`similar_pairs`."""
+    pairs = similar_pairs(facts, threshold, new)
     pairs = pairs if edges is None else unlinked(pairs, edges)
-    shaped = lambda s, t: pairs.select(F.col(s).alias("source_id"), F.col(t).alias("target_id"), F.lit("SIMILAR_TO").alias("edge_type"), F.round("score", 4).alias("similarity_score"))
+    rounded = F.round("score", 4).alias("similarity_score")
+    shaped = lambda s, t: pairs.select(F.col(s).alias("source_id"), F.col(t).alias("target_id"), F.lit("SIMILAR_TO").alias("edge_type"), rounded)
     return shaped("a", "b").unionAll(shaped("b", "a")) if bidirectional else shaped("a", "b")

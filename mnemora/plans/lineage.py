@@ -4,15 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """``df`` written to ``spark.checkpoint.dir`` and read in place from then on.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    A temporary folder of this machine stands in only where that setting is absent (tests).
+    A temporary folder stands in only where that setting is absent on a single machine (tests); on a cluster
+    its absence is an error, as other machines don't see such a folder.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    return (configured or spark.sparkContext.getCheckpointDir()).rstrip("/")
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read in place from then on."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -6,12 +6,15 @@ Tables are partitioned by tenant where they have one, so that a tenant's predica
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..plans.lineage import materialise
 
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 _AGENT = re.compile(r"[a-zA-Z0-9][a-zA-Z0-9_\-]{0,63}")
@@ -34,6 +37,16 @@ def agent_name(name: str) -> str:
     return name
 
 
+def is_identifier(name: Column) -> Column:
+    """:func:`identifier` over a column: whether a name would pass; null doesn't."""
+    return F.coalesce(name.rlike(f"^(?:{_IDENTIFIER.pattern})\\z"), F.lit(False))
+
+
+def is_agent_name(name: Column) -> Column:
+    """:func:`agent_name` over a column."""
+    return F.coalesce(name.rlike(f"^(?:{_AGENT.pattern})\\z"), F.lit(False))
+
+
 class Catalog:
     """Loads and saves memory tables of one agent (or of all, with ``agent=None``)."""
 
@@ -76,26 +89,101 @@ class Catalog:
         tenant = next((c for c in ("agent_id", "agent_name") if c in df.columns), None)
         return df if self.agent is None or tenant is None else df.where(F.col(tenant) == self.agent)
 
+    def _tenant(self, columns: Sequence[str]) -> list[str]:
+        return [c for c in ("agent_id", "agent_name", "edge_type") if c in columns][:1]
+
     def save(self, table: str, rows: DataFrame, mode: str = "append") -> None:
-        self.check_quota()
+        """Adds ``rows``, or with ``overwrite`` replaces the whole table, of all agents.
+
+        Under a quota appended rows are written aside first, so that a write which would pass it is refused.
+        """
         if self.backend == "view":
             kept = self.spark.table(table).unionByName(rows, allowMissingColumns=True) if mode == "append" and self._exists(table) else rows
             kept.createOrReplaceTempView(identifier(table))
             return
-        tenant = [c for c in ("agent_id", "agent_name", "edge_type") if c in rows.columns][:1]
-        rows.write.mode(mode).partitionBy(*tenant).parquet(self._path(table))
+        tenant = self._tenant(rows.columns)
+        if mode == "append":
+            aside = f"{self.root}/_aside/{uuid.uuid4().hex}"
+            try:
+                rows.write.parquet(aside)
+                self.check_quota(self._bytes(aside))
+                staged = self.spark.read.schema(rows.schema).parquet(aside)
+                staged.write.mode("append").partitionBy(*tenant).parquet(self._path(table))
+            finally:
+                self._delete(aside)
+        else:
+            rows.write.mode(mode).partitionBy(*tenant).parquet(self._path(table))
+
+    def replace(self, table: str, rows: DataFrame) -> None:
+        """Puts ``rows`` in place of this agent's part of a table, also where none is left; other agents' rows stay.
+
+        ``rows`` must not be read from the table any more (materialise them first).
+        """
+        tenant = self._tenant(rows.columns)
+        if self.agent is None or tenant[:1] not in (["agent_id"], ["agent_name"]):
+            self.save(table, rows, mode="overwrite")
+        elif self.backend == "view":
+            others = self.spark.table(identifier(table)).where(~F.col(tenant[0]).eqNullSafe(self.agent)) if self._exists(table) else None
+            self.save(table, rows if others is None else others.unionByName(rows, allowMissingColumns=True), mode="overwrite")
+        elif rows.isEmpty():
+            self._delete(f"{self._path(table)}/{tenant[0]}={self.agent}")  # an overwrite without rows would replace nothing
+        else:
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*tenant).parquet(self._path(table))
+
+    def replace_agents(self, table: str, rows: DataFrame) -> None:
+        """Puts ``rows`` in place of what their agents have in a table; agents without a row among them keep theirs."""
+        tenant, ready = self._tenant(rows.columns), materialise(rows)
+        if self.backend == "view":
+            agents = ready.select(*tenant).distinct()
+            rest = self.load(table).join(agents, tenant, "left_anti")
+            self.save(table, materialise(rest.unionByName(ready)), mode="overwrite")
+        else:
+            ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*tenant).parquet(self._path(table))
+
+    def _hadoop(self, folder: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _delete(self, folder: str) -> None:
+        store, path = self._hadoop(folder)
+        store.delete(path, True)
+
+    def _bytes(self, folder: str) -> int:
+        store, path = self._hadoop(folder)
+        return int(store.getContentSummary(path).getLength()) if store.exists(path) else 0
 
     def size_bytes(self) -> int:
-        """What the folder holds, from the file system's own summary."""
+        """What this agent's partitions hold (for all agents the whole folder), from the file system's own summary."""
         if self.backend == "view":
             return 0
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        store = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return int(store.getContentSummary(path).getLength()) if store.exists(path) else 0
-
-    def check_quota(self) -> None:
-        if self.size_bytes() > self.max_memory_mb * 1024 * 1024:
-            raise MemoryCatalogError(f"the memory of {self.root} exceeds {self.max_memory_mb} MB")
+        if self.agent is None:
+            return self._bytes(self.root)
+        store, path = self._hadoop(self.root)
+        tables = [
+            x.getPath().getName() for x in store.listStatus(path) if x.isDirectory() and not x.getPath().getName().startswith("_")
+        ] if store.exists(path) else []
+        return sum(self._bytes(f"{self.root}/{t}/{c}={self.agent}") for t in tables for c in ("agent_id", "agent_name"))
+
+    def check_quota(self, more: int = 0) -> None:
+        """Raises if what the agent holds and ``more`` bytes pass its quota."""
+        if self.size_bytes() + more > self.max_memory_mb * 1024 * 1024:
+            raise MemoryCatalogError(f"the memory of {self.agent or self.root} exceeds {self.max_memory_mb} MB")
+
+    def salvage(self, other: Catalog, tables: Sequence[str]) -> dict[str, int | None]:
+        """Copies what can be read of ``tables`` into a fresh store, whole rows only: rows copied by table, None for a table that is beyond reading.
+
+        Files that are corrupt or missing are passed over; their rows are lost, the rest of the table is not.
+        """
+        found: dict[str, int | None] = {}
+        for table in tables:
+            try:
+                schema = schemas.TABLES[identifier(table)]
+                reader = self.spark.read.schema(schema).option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+                other.save(table, reader.parquet(self._path(table)), mode="overwrite")
+                found[table] = other.load(table).count()
+            except (AnalysisException, KeyError):
+                found[table] = None
+        return found
 
     def copy_to(self, other: Catalog, tables: Sequence[str]) -> None:
         """A full copy of ``tables`` into a fresh store."""

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 FORMAT_VERSION = "1.0"
 NODE_SECTIONS = ("semantic_nodes", "episodic_nodes")
 EDGE_SECTIONS = ("similar_to_edges", "derives_from_edges", "supersedes_edges")
-_ENDS = {"similar_to_edges": ("semantic_nodes", "semantic_nodes"), "derives_from_edges": ("semantic_nodes", "episodic_nodes"), "supersedes_edges": ("semantic_nodes", "semantic_nodes")}
+_ENDS = {
+    "similar_to_edges": ("semantic_nodes", "semantic_nodes"), "derives_from_edges": ("semantic_nodes", "episodic_nodes"),
+    "supersedes_edges": ("semantic_nodes", "semantic_nodes")
+}
 
 
 def as_json(sections: Mapping[str, DataFrame]) -> DataFrame:
@@ -49,8 +52,14 @@ def combine(read: Mapping[str, DataFrame], current: Mapping[str, DataFrame], mer
 
     def note(name: str, total: DataFrame, new: DataFrame, errors: DataFrame | None) -> None:
         nonlocal stats
-        parts = [total.agg(F.count("*").alias("t")), new.agg(F.count("*").alias("n")), (errors if errors is not None else total.limit(0)).agg(F.count("*").alias("e"))]
-        row = parts[0].crossJoin(parts[1]).crossJoin(parts[2]).select(F.lit(name).alias("section"), F.col("n").alias("imported"), (F.col("t") - F.col("n") - F.col("e")).alias("skipped"), F.col("e").alias("errors"))
+        parts = [
+            total.agg(F.count("*").alias("t")), new.agg(F.count("*").alias("n")),
+            (errors if errors is not None else total.limit(0)).agg(F.count("*").alias("e"))
+        ]
+        row = parts[0].crossJoin(parts[1]).crossJoin(parts[2]).select(
+            F.lit(name).alias("section"), F.col("n").alias("imported"), (F.col("t") - F.col("n") - F.col("e")).alias("skipped"),
+            F.col("e").alias("errors")
+        )
         stats = row if stats is None else stats.unionAll(row)
 
     for name in (n for n in NODE_SECTIONS if n in read):
@@ -60,7 +69,9 @@ def combine(read: Mapping[str, DataFrame], current: Mapping[str, DataFrame], mer
         after[name] = current[name].unionByName(new) if merge else new
     for name in (n for n in EDGE_SECTIONS if n in read):
         a, b = _ENDS[name]
-        ends = read[name].join(after[a].select(F.col("node_id").alias("source_id")).distinct(), "source_id", "left_semi").join(after[b].select(F.col("node_id").alias("target_id")).distinct(), "target_id", "left_semi")
+        ends = read[name].join(
+            after[a].select(F.col("node_id").alias("source_id")).distinct(), "source_id", "left_semi"
+        ).join(after[b].select(F.col("node_id").alias("target_id")).distinct(), "target_id", "left_semi")
         sound = ends.dropDuplicates(["source_id", "target_id"])
         lost = read[name].join(ends.select("source_id", "target_id").distinct(), ["source_id", "target_id"], "left_anti")
         new = sound.join(current[name].select("source_id", "target_id"), ["source_id", "target_id"], "left_anti") if merge else sound

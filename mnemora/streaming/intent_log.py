@@ -7,6 +7,7 @@ in the ledger under its batch number, so a batch that runs again changes nothing
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -26,7 +27,9 @@ def offset(segment: int, position: int) -> str:
 
 def validated(intents: DataFrame) -> DataFrame:
     """Intents with a known kind; any other stops the job, as a broken record inside the log must."""
-    kind = F.when(F.col("kind").isin(*vocab.INTENT_KINDS), F.col("kind")).otherwise(F.raise_error(F.concat(F.lit("unknown kind of intent: "), F.coalesce("kind", F.lit("null")))))
+    kind = F.when(F.col("kind").isin(*vocab.INTENT_KINDS), F.col("kind")).otherwise(
+        F.raise_error(F.concat(F.lit("unknown kind of intent: "), F.coalesce("kind", F.lit("null"))))
+    )
     return intents.withColumn("kind", kind)
 
 
@@ -38,7 +41,9 @@ def fenced(intents: DataFrame, epoch_so_far: int = 0) -> DataFrame:
     """
     parts = intents.withColumn("segment", F.split_part("offset", F.lit(":"), F.lit(1)))
     tops = parts.groupBy("segment").agg(F.max("epoch").alias("top"))
-    earlier = tops.withColumn("before", F.coalesce(F.max("top").over(Window.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(epoch_so_far)))
+    earlier = tops.withColumn(
+        "before", F.coalesce(F.max("top").over(Window.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(epoch_so_far))
+    )
     own = Window.partitionBy("segment").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
     joined = parts.join(earlier.select("segment", "before"), "segment").withColumn("top", F.max("epoch").over(own))
     return joined.where((F.col("epoch") >= F.col("top")) & (F.col("epoch") >= F.col("before"))).drop("segment", "before", "top")
@@ -46,7 +51,9 @@ def fenced(intents: DataFrame, epoch_so_far: int = 0) -> DataFrame:
 
 def unapplied(intents: DataFrame, ledger: DataFrame) -> DataFrame:
     """Each intent once (its first offset), without those in the ledger."""
-    first = intents.groupBy("intent_id").agg(F.min_by(F.struct(*[c for c in intents.columns if c != "intent_id"]), "offset").alias("i")).select("intent_id", "i.*")
+    first = intents.groupBy("intent_id").agg(
+        F.min_by(F.struct(*[c for c in intents.columns if c != "intent_id"]), "offset").alias("i")
+    ).select("intent_id", "i.*")
     return first.join(ledger.select("intent_id").distinct(), "intent_id", "left_anti").select(*intents.columns)
 
 
@@ -65,13 +72,35 @@ class IntentLog:
         """Durable once it returns: files appear whole or not at all."""
         validated(intents).write.mode("append").parquet(f"{self.root}/intents")
 
+    def read_next(self, after: str | None = None, limit: int = 100) -> DataFrame:
+        """The first intents beyond an offset, in order, for readers that keep a cursor of their own."""
+        rows = self.spark.read.schema(INTENTS).parquet(f"{self.root}/intents")
+        return (rows if after is None else rows.where(F.col("offset") > after)).orderBy("offset").limit(limit)
+
     def ledger(self) -> DataFrame:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/ledger")
         there = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
         return self.spark.read.schema(LEDGER).parquet(f"{self.root}/ledger/*") if there else self.spark.createDataFrame([], LEDGER)
 
-    def drain(self, apply: Callable[[DataFrame, int], None]) -> StreamingQuery:
-        """Applies all that has arrived; ``apply`` gets the new intents of a batch, in no order, and its number."""
+    def compact(self, watermark: str | None = None) -> None:
+        """Writes the ledger as one folder, without entries below ``watermark``: intents before it can't come again.
+
+        Not while a drain runs. The new folder stands before the old ones go; an entry that is there twice
+        in between is harmless.
+        """
+        rows = self.ledger() if watermark is None else prune(self.ledger(), watermark)
+        base = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/ledger")
+        store = base.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        old = [x.getPath() for x in store.listStatus(base)] if store.exists(base) else []
+        rows.write.parquet(f"{self.root}/ledger/c{uuid.uuid4().hex}")
+        for path in old:
+            store.delete(path, True)
+
+    def drain(self, apply: Callable[[DataFrame, int], None], watermark: str | None = None) -> StreamingQuery:
+        """Applies all that has arrived; ``apply`` gets the new intents of a batch, in no order, and its number.
+
+        Afterwards the ledger is compacted, and pruned below ``watermark`` if one is given.
+        """
 
         def step(batch: DataFrame, number: int) -> None:
             done = self.ledger().where(F.col("batch") != number)
@@ -79,11 +108,14 @@ class IntentLog:
             fresh = unapplied(fenced(batch, top), done).persist()
             try:
                 apply(fresh, number)
-                fresh.select("intent_id", "offset", "epoch", F.lit(number).cast("long").alias("batch")).write.mode("overwrite").parquet(f"{self.root}/ledger/b{number:09d}")
+                fresh.select(
+                    "intent_id", "offset", "epoch", F.lit(number).cast("long").alias("batch")
+                ).write.mode("overwrite").parquet(f"{self.root}/ledger/b{number:09d}")
             finally:
                 fresh.unpersist()
 
         source = self.spark.readStream.schema(INTENTS).parquet(f"{self.root}/intents")
         query = source.writeStream.foreachBatch(step).option("checkpointLocation", f"{self.root}/cursor").trigger(availableNow=True).start()
         query.awaitTermination()
+        self.compact(watermark)
         return query

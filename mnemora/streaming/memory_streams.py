@@ -24,12 +24,16 @@ def live_sensory(stream: DataFrame, ttl_seconds: int = vocab.SENSORY_TTL_SECONDS
     has passed them. Later rows have expired and are dropped with the state.
     """
     timed = stream.withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark("created_at", delay)
-    return timed.groupBy(F.window("created_at", f"{ttl_seconds} seconds", f"{max(1, ttl_seconds // 2)} seconds"), "agent_id", "modality").agg(F.count("*").alias("n"))
+    return timed.groupBy(
+        F.window("created_at", f"{ttl_seconds} seconds", f"{max(1, ttl_seconds // 2)} seconds"), "agent_id", "modality"
+    ).agg(F.count("*").alias("n"))
 
 
 def unique_observations(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Each observation (node_id) once, within the watermark."""
-    return stream.withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["node_id"])
+    return stream.withColumn(
+        "created_at", F.col("created_at").cast("timestamp")
+    ).withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["node_id"])
 
 
 _SLOTS = "agent_id string, task_id string, node_id string, relevance double, n_slots int"
@@ -55,11 +59,15 @@ def bounded_slots(stream: DataFrame, capacity: int = vocab.WORKING_CAPACITY) ->
         yield pd.DataFrame(out, columns=[c.split()[0] for c in _SLOTS.split(", ")])
 
     keyed = stream.select("agent_id", "task_id", "node_id", F.col("relevance").cast("double").alias("relevance"))
-    return keyed.groupBy("agent_id", "task_id").applyInPandasWithState(push, _SLOTS, "ids array<string>, relevances array<double>", "append", GroupStateTimeout.NoTimeout)
+    return keyed.groupBy("agent_id", "task_id").applyInPandasWithState(
+        push, _SLOTS, "ids array<string>, relevances array<double>", "append", GroupStateTimeout.NoTimeout
+    )
 
 
 def triggered(contents: DataFrame, prospective: DataFrame) -> DataFrame:
     """Stream of contents (content_id, content) against the pending intentions: whole words, a stream-static join."""
-    pending = prospective.where("status = 'pending'").select("node_id", "priority", F.explode(T.plain_tokens(F.col("trigger_condition"))).alias("word"))
+    pending = prospective.where("status = 'pending'").select(
+        "node_id", "priority", F.explode(T.plain_tokens(F.col("trigger_condition"))).alias("word")
+    )
     said = contents.select("content_id", F.explode(T.plain_tokens(F.col("content"))).alias("word"))
     return said.join(pending, "word").select("content_id", "node_id", "priority", "word")

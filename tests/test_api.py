@@ -35,7 +35,7 @@ def test_life_of_a_memory(spark, tmp_path):
     assert [r.original_count for r in m.consolidate_episodes(now(2)).collect()] == [10] and m.get_episodes().count() == 2
     assert [r.steps for r in m.recall_procedure("deploy").collect()] == [["test", "build", "ship"]] and m.recall_procedure("deploy").first().usage_count == 1
     assert [r.node_id for r in m.check_triggers("time to deploy").collect()] == ["i1"] and m.check_triggers("deploy").count() == 0
-    assert m.prune_expired_sensory(now(2)) == 2 and m.get_recent_sensory(now(2)).count() == 0 and m.get_working("t").first().node_id == "w24"
+    assert m.prune_expired_sensory(now(2)) == 2 and m.catalog.load("sensory").count() == 0 and m.prune_expired_sensory(now(2)) == 0 and m.get_working("t").first().node_id == "w24"
 
 
 def test_upserts_supersession_and_retention(spark, tmp_path):
@@ -71,3 +71,82 @@ def test_o94_embeddings(spark):
     assert embedding.embed(df, "t", load, query=True, dimensions=2).first().embedding[0] == 2.0 + len(embedding.QUERY_PREFIX)
     with pytest.raises(Exception, match="dimensions"):
         embedding.embed(df, "t", load, dimensions=3).collect()
+
+
+def test_what_is_pruned_is_gone_and_others_stay(spark, tmp_path):
+    a, b = (AgentMemory(Catalog(spark, str(tmp_path / "m"), agent=x)) for x in ("a1", "a2"))
+    for m in (a, b):
+        m.record_sensory([{"node_id": "s", "modality": "text", "raw_data": "x"}], now(1))
+        m.store_facts([{"node_id": "f", "concept": "c", "content": "d", "confidence": 0.5, "importance": 0.1}], now(1))
+    assert a.prune_expired_sensory(now(2)) == 1
+    stored = spark.read.parquet(str(tmp_path / "m" / "sensory"))
+    assert [r.agent_id for r in stored.collect()] == ["a2"]
+    for _ in range(2):  # archived first, deleted next
+        a.prune_semantic_memory(now(3), RetentionPolicy(min_importance=0.5))
+    assert [r.agent_id for r in spark.read.parquet(str(tmp_path / "m" / "semantic")).collect()] == ["a2"] and b.facts().count() == 1
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() == "static"
+
+
+def test_views_keep_other_agents(spark):
+    table = "semantic"
+    spark.createDataFrame([("f1", "a1"), ("g1", "a2")], "node_id string, agent_id string").createOrReplaceTempView(table)
+    try:
+        catalog = Catalog(spark, agent="a1", backend="view")
+        catalog.replace(table, catalog.load(table).limit(0))
+        assert [r.agent_id for r in spark.table(table).collect()] == ["a2"]
+    finally:
+        spark.catalog.dropTempView(table)
+
+
+def test_accesses_are_appended_and_folded(spark, tmp_path):
+    m = AgentMemory(Catalog(spark, str(tmp_path / "m"), agent="a1"))
+    m.store_facts([{"node_id": "f1", "concept": "c", "content": "ada wrote notes", "confidence": 0.5}], now(1))
+    before = sorted((tmp_path / "m" / "semantic").rglob("*.parquet"))
+    for day in (2, 3):
+        m.recall_facts_ranked("ada notes", now(day))
+    assert m.record_access("f1", now(4)) and not m.record_access("f9", now(4))
+    assert sorted((tmp_path / "m" / "semantic").rglob("*.parquet")) == before  # no fact is written again
+    row = m.facts().first()
+    assert row.usage_count == 3 and row.last_accessed_at.day == 4
+    m.store_prospective([{"node_id": "i1", "trigger_condition": "x", "priority": 1}], now(1))
+    m.check_triggers("x")
+    m.compact()
+    assert m.facts().first() == row and m.catalog.load("accesses").count() == 0 and m.catalog.load("semantic").first().usage_count == 3
+    assert m.prospective().first().status == "triggered"
+    m.resolve_prospective("i1")
+    m.check_triggers("x")
+    assert m.prospective().first().status == "resolved"
+
+
+def test_quota_holds_for_one_agent_and_before_the_write(spark, tmp_path):
+    small = lambda agent: AgentMemory(Catalog(spark, str(tmp_path / "m"), agent=agent, max_memory_mb=1))
+    big = spark.range(40_000).selectExpr("cast(id as string) node_id", "'c' concept", "sha2(cast(id as string), 512) content", "0.5D confidence")
+    with pytest.raises(ValueError, match="exceeds"):
+        small("a1").store_facts(big, now(1))
+    assert small("a1").facts().count() == 0
+    AgentMemory(Catalog(spark, str(tmp_path / "m"), agent="a2")).store_facts(big, now(1))
+    small("a1").store_facts([{"node_id": "f", "concept": "c", "content": "d", "confidence": 0.5}], now(1))  # the other's bytes don't count
+    assert small("a1").facts().count() == 1
+
+
+def test_the_other_methods(spark, tmp_path):
+    m = AgentMemory(Catalog(spark, str(tmp_path / "m"), agent="a1"))
+    m.record_sensory([{"node_id": "s1", "modality": "text", "raw_data": "x"}], now(1))
+    assert m.attend_to_sensory("s1", "loud", now(1)) and not m.attend_to_sensory("s9", "loud", now(1))
+    assert [r.content for r in m.list_undistilled_episodes().collect()] == ["[text] x -- attended: loud"]
+    assert m.mark_episode_distilled("epi_s1") and not m.mark_episode_distilled("epi_s9") and m.list_undistilled_episodes().count() == 0
+    m.push_working([{"node_id": "w1", "task_id": "t", "content": "c", "relevance": 1.0}])
+    assert m.clear_working("t") == 1 and m.clear_working("t") == 0 and m.catalog.load("working").count() == 0
+    facts = [{"node_id": f"f{i}", "concept": "rivers", "content": c, "confidence": 0.5, "embedding": e} for i, (c, e) in enumerate([("long blue rivers", [1.0, 0.0]), ("old towns", [0.0, 1.0]), ("rivers of towns", [0.6, 0.8])])]
+    m.store_facts(facts, now(1))
+    m.link_similar_facts("f0", "f1", 0.9)
+    m.link_fact_to_episodes("f0", ["epi_s1"])
+    assert [r.episode_id for r in m.fact_provenance("f0").collect()] == ["epi_s1"]
+    assert [r.node_id for r in m.search_facts("x", limit=1, embedding=[1.0, 0.1]).collect()] == ["f0"]
+    assert {r.node_id for r in m.search_facts("blue").collect()} == {"f0", "f1"}  # f1 as a neighbour
+    m.store_procedures([{"node_id": "p1", "name": "deploy", "steps": ["ship"]}])
+    m.link_procedure_to_episodes("p1", ["epi_s1"])
+    assert [r.episode_id for r in m.procedure_provenance("p1").collect()] == ["epi_s1"]
+    m.store_prospective([{"node_id": "i1", "trigger_condition": "deploy", "priority": 1}, {"node_id": "i2", "trigger_condition": "rest", "priority": 2}], now(1))
+    assert [r.node_id for r in m.get_all_prospective().collect()] == ["i2", "i1"]
+    assert [r.node_id for r in m.get_prospective_by_trigger("deploy").collect()] == ["i1"]

@@ -67,13 +67,13 @@ def test_o111_upserts_equal_a_plain_fold(spark, mode):
     got = {r.node_id: (r.action, r.target_id) for r in decided.collect()}
     live = sorted((r for r in there if not r[6]), key=lambda r: (r[5], r[0]))
     holders, want = {}, {}
-    key = lambda r: (r[2], r[3]) if mode == "hash" else r[7]
+    key = lambda r: (r[1], r[2], r[3]) if mode == "hash" else (r[1], r[7])
     for r in live:
         if mode == "hash":
             holders.setdefault(key(r), r)
         elif mode == "key" and r[7] is not None:
-            same = holders.get(r[7])
-            holders[r[7]] = same if same and same[2:4] == r[2:4] else r
+            same = holders.get(key(r))
+            holders[key(r)] = same if same and same[2:4] == r[2:4] else r
     heads = list(live)
     for r in sorted(inputs, key=lambda r: (r[5], r[0])):
         if r[8] != r[8]:
@@ -81,7 +81,7 @@ def test_o111_upserts_equal_a_plain_fold(spark, mode):
         elif mode == "none" or (mode == "key" and r[7] is None):
             want[r[0]] = ("inserted", r[0])
         elif mode == "similarity":
-            near = [h for h in heads if h[2] == r[2] and score(h, r) >= 0.7 - 1e-12]
+            near = [h for h in heads if h[1:3] == r[1:3] and score(h, r) >= 0.7 - 1e-12]
             want[r[0]] = ("reused", near[0][0]) if near else ("inserted", r[0])
             if not near:
                 heads.append(r)
@@ -144,3 +144,28 @@ def test_o98_o105_federation(spark):
     assert federation.increment_fact_counts(more, spark.createDataFrame([("b",), ("b",)], "agent_id string")).where("agent_id = 'b'").first().fact_count == 2
     with pytest.raises(Exception, match="out of range"):
         federation.register_agents(agents, spark.createDataFrame([("c", "x", 1.5, 0)], agents.schema)).collect()
+
+
+def test_o56_new_facts_meet_old_ones_only_through_their_own_tokens(spark):
+    rows = facts()
+    old, new = rows[: len(rows) // 2], rows[len(rows) // 2 :]
+    df = lambda rs: spark.createDataFrame(rs, FACTS)
+    got = {(r.a, r.b) for r in similarity.similar_pairs(df(old), 0.6, df(new)).collect()}
+    ids = {r[0] for r in new}
+    pairs = {(r.a, r.b) for r in similarity.similar_pairs(df(rows), 0.6).collect()}
+    assert got == {p for p in pairs if set(p) & ids} and got != pairs
+    assert similarity.similar_pairs(df(old), 0.6, df(new).limit(0)).count() == 0
+    plan = similarity.candidates(similarity.prepared(df(old), False).unionByName(similarity.prepared(df(new))), 0.6)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter fresh" in plan or "fresh#" in plan  # one side of every join holds new facts alone
+
+
+def test_o74_o111_agents_are_apart(spark):
+    shape = "node_id string, agent_id string, concept string, content string, confidence double, tags array<string>, created_at int, archived boolean, dedup_key string, key string, n int"
+    rows = [("a1", "x", "rivers", "long blue water", 0.5, ["t"], 1, False, "k", "mine", 1), ("a2", "x", "rivers", "long blue water", 0.5, ["t"], 2, False, "k", "mine", 1), ("b1", "y", "rivers", "long blue water", 0.5, ["t"], 3, False, "k", "mine", 1), ("c1", None, "rivers", "long blue water", 0.5, ["t"], 4, False, "k", None, 1)]
+    df = spark.createDataFrame(rows, shape)
+    for by in ("hash", "key", "similarity"):
+        assert [(r.agent_id, r.fact_ids) for r in dedup.find_duplicates(df, by).collect()] == [("x", ["a1", "a2"])], by
+    new = spark.createDataFrame([("z", "y", "rivers", "long blue water", 0.5, ["t"], 9, False, "k", "mine", 1), ("w", "q", "rivers", "long blue water", 0.5, ["t"], 9, False, "k", "mine", 1)], shape)
+    for mode in ("hash", "key", "similarity"):
+        got = {r.node_id: (r.action, r.target_id) for r in dedup.upsert(df, new, mode).collect()}
+        assert got == {"z": ("reused", "b1"), "w": ("inserted", "w")}, mode

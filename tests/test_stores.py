@@ -155,3 +155,10 @@ def test_o38_stemmed_search_and_o62_trim(spark):
     assert ids(experiences.search_stemmed(df, "deploy failing"), "experience_id") == [] and ids(experiences.search_stemmed(df, "Deployment, fails"), "experience_id") == ["e1"]
     assert len(ids(experiences.search_stemmed(df, " "), "experience_id")) == 3
     assert sorted(ids(experiences.trim(df, 1), "experience_id")) == ["e2", "e3"] and experiences.trim(df, 3).count() == 3
+
+
+def test_o101_chains_have_no_limit_and_circles_end(spark):
+    pairs = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(200)] + [("h", "x"), ("x", "y"), ("y", "z"), ("z", "x")]
+    edges = spark.createDataFrame([(a, b, "SUPERSEDES", {}) for a, b in pairs], "source_id string, target_id string, edge_type string, properties map<string,string>")
+    got = {(r.head_id, r.position, r.node_id) for r in graphstore.chains(edges).collect()}
+    assert got == {("n000", i, f"n{i:03d}") for i in range(201)} | {("h", 0, "h"), ("h", 1, "x"), ("h", 2, "y"), ("h", 3, "z")}
