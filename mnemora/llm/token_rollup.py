@@ -194,14 +194,12 @@ def count_documents(docs: DataFrame, root: str | None = None, version: tuple[str
     rows without one. An empty table has no totals.
     """
     rollup = TokenRollup(docs.sparkSession, root or scratch(docs.sparkSession, "token-rollup"), version)
-    own = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"), "source", "lang")
     several = F.coalesce(F.instr("text", "\n") > 0, F.lit(False))
+    own = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")).alias("doc_id"), F.col("text").cast("string").alias("text"), "source", "lang")
+    own = own.withColumn("doc_id", F.when(several, F.concat("doc_id", F.lit("/lines"))).otherwise(F.col("doc_id")))  # rows of an id that are revised together
     drafts = own.withColumn("text", F.when(several, F.substring_index("text", "\n", 1)).otherwise(F.col("text")))
-    mirrors = own.where(~several & (F.length(F.coalesce("text", F.lit(""))) < 400)).withColumn(
-        "doc_id", F.concat(F.lit("mirror-"), F.coalesce("doc_id", F.lit("null")))
-    )
-    ids_of_several = own.where(several).select("doc_id").distinct()
-    revised = own.join(ids_of_several, own["doc_id"].eqNullSafe(ids_of_several["doc_id"]), "left_semi")
+    mirrors = own.where(~several & (F.length(F.coalesce("text", F.lit(""))) < 400)).withColumn("doc_id", F.concat(F.lit("mirror/"), "doc_id"))
+    revised = own.where(several)
     batches = {"load": ("insert", drafts.union(mirrors)), "revise": ("revise", revised), "withdraw": ("delete", mirrors)}
     for batch_id, (op, rows) in batches.items():
         for _ in range(2):
