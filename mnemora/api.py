@@ -217,6 +217,10 @@ class AgentMemory:
             self._note_accesses(hits.select("node_id"), "fact", now)
         return hits
 
+    def read_facts_ranked(self, query: str, now: Column, options: RecallOptions = RecallOptions()) -> DataFrame:
+        """Ranked recall for readers: nothing is recorded, and no more rows than a reader may ask for."""
+        return self.recall_facts_ranked(query, now, recall.read_only(options), record_access=False)
+
     def recall_episodes_ranked(self, query: str, now: Column, options: RecallOptions = RecallOptions()) -> DataFrame:
         return recall.recall_episodes(self.catalog.load("episodic"), query, now, options, self.catalog.load("edges"), self.facts())
 

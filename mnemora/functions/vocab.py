@@ -85,3 +85,4 @@ TRANSITIONS = {
 
 #: Intent kinds of the change log.
 INTENT_KINDS = ("store_fact", "store_procedure", "store_episode", "store_prospective", "link_fact_to_episodes", "link_similar_facts", "upsert_fact", "record_access")
+MAX_READ_LIMIT = 10_000

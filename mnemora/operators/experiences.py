@@ -28,9 +28,9 @@ def validation_error(context: Column, outcome: Column, confidence: Column, kind:
 def store(existing: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(rows to append, rejected (experience_id, error))``: valid experiences under new ids."""
     error = validation_error(F.col("context"), F.col("outcome"), F.col("confidence"), F.col("experience_type"))
-    known = existing.select("experience_id", F.lit("duplicate id").alias("taken")).distinct()
-    checked = new.withColumn("error", error).join(known, "experience_id", "left").withColumn("error", F.coalesce("error", "taken")).drop("taken")
-    return checked.where("error is null").drop("error"), checked.where("error is not null").select("experience_id", "error")
+    known = existing.select("experience_id", F.lit("duplicate id").alias("__taken")).distinct()
+    checked = new.withColumn("__error", error).join(known, "experience_id", "left").withColumn("__error", F.coalesce("__error", "__taken")).drop("__taken")
+    return checked.where("__error is null").drop("__error"), checked.where("__error is not null").select("experience_id", F.col("__error").alias("error"))
 
 
 def _kept(df: DataFrame, kind: str | None, min_confidence: float) -> DataFrame:

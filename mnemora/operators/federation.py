@@ -20,12 +20,12 @@ def merge(stores: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     """
     every = None
     for place, (name, nodes) in enumerate(stores):
-        tagged = nodes.withColumns({"source": F.lit(name), "place": F.lit(place)})
+        tagged = nodes.withColumns({"source": F.lit(name), "__place": F.lit(place)})
         every = tagged if every is None else every.unionByName(tagged)
-    once = every.withColumn("n", F.row_number().over(Window.partitionBy("node_id").orderBy("place"))).where("n = 1")
+    once = every.withColumn("__n", F.row_number().over(Window.partitionBy("node_id").orderBy("__place"))).where("__n = 1")
     hashed = once.withColumn("content_hash", T.node_hash(F.col("node_type"), F.col("properties")))
-    first = hashed.withColumn("n", F.row_number().over(Window.partitionBy("content_hash").orderBy("place", "node_id"))).where("n = 1")
-    return first.drop("n", "place")
+    first = hashed.withColumn("__n", F.row_number().over(Window.partitionBy("content_hash").orderBy("__place", "node_id"))).where("__n = 1")
+    return first.drop("__n", "__place")
 
 
 def federated_query(
@@ -73,12 +73,12 @@ def register_agents(agents: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def update_trust(agents: DataFrame, changes: DataFrame) -> DataFrame:
-    last = changes.groupBy("agent_id").agg(F.max_by("trust", F.col("at")).alias("new_trust"))
+    last = changes.groupBy("agent_id").agg(F.max_by("trust", F.col("at")).alias("__new_trust"))
     joined = agents.join(last, "agent_id", "left")
     sound = F.when(
-        F.col("new_trust").isNull() | F.col("new_trust").between(0.0, 1.0), F.coalesce("new_trust", "trust")
+        F.col("__new_trust").isNull() | F.col("__new_trust").between(0.0, 1.0), F.coalesce("__new_trust", "trust")
     ).otherwise(F.raise_error(F.concat(F.lit("trust out of range: "), "agent_id")))
-    return joined.withColumn("trust", sound).drop("new_trust")
+    return joined.withColumn("trust", sound).drop("__new_trust")
 
 
 def agent_trust(agents: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -89,10 +89,10 @@ def agent_trust(agents: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def increment_fact_counts(agents: DataFrame, stored: DataFrame) -> DataFrame:
-    added = stored.groupBy("agent_id").agg(F.count("*").alias("added"))
+    added = stored.groupBy("agent_id").agg(F.count("*").alias("__added"))
     return agents.join(added, "agent_id", "left").withColumn(
-        "fact_count", F.coalesce("fact_count", F.lit(0)) + F.coalesce("added", F.lit(0))
-    ).drop("added")
+        "fact_count", F.coalesce("fact_count", F.lit(0)) + F.coalesce("__added", F.lit(0))
+    ).drop("__added")
 
 
 def assertions(rows: DataFrame, edge_type: str, properties: Mapping[str, Column] | None = None) -> DataFrame:

@@ -147,8 +147,8 @@ def retrieve_by_entity(facts: DataFrame, entity: str, limit: int = 20) -> DataFr
     """Facts whose entity name contains the entity; only where there is none, facts that mention it. One pass: the best tier present wins."""
     needle = F.lit(entity.lower())
     tier = F.when(_lower_contains("entity_name", needle), 1).when(_lower_contains("content", needle) | _lower_contains("concept", needle), 2)
-    found = facts.withColumn("tier", tier).where("tier is not null").orderBy("tier", F.desc("confidence"), "node_id").limit(limit)
-    return found.withColumn("best", F.min("tier").over(Window.partitionBy(F.lit(1)))).where("tier = best").drop("tier", "best")
+    found = facts.withColumn("__tier", tier).where("__tier is not null").orderBy("__tier", F.desc("confidence"), "node_id").limit(limit)
+    return found.withColumn("__best", F.min("__tier").over(Window.partitionBy(F.lit(1)))).where("__tier = __best").drop("__tier", "__best")
 
 
 def aggregation(facts: DataFrame, kind: str, contains: str | None = None, limit: int = 10) -> DataFrame:

@@ -84,7 +84,7 @@ def attend_to_sensory(sensory: DataFrame, attended: DataFrame, now: Column, next
 def working_slots(working: DataFrame, capacity: int = vocab.WORKING_CAPACITY) -> DataFrame:
     """Slots that a task holds in steady state: the ``capacity`` most relevant ones."""
     order = Window.partitionBy("agent_id", "task_id").orderBy(F.desc("relevance"), F.desc("created_at"), "node_id")
-    return working.withColumn("n", F.row_number().over(order)).where(F.col("n") <= capacity).drop("n")
+    return working.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= capacity).drop("__n")
 
 
 def replay_working(pushes: DataFrame, capacity: int = vocab.WORKING_CAPACITY) -> DataFrame:
@@ -169,10 +169,10 @@ def undistilled_episodes(episodes: DataFrame, limit: int = 50) -> DataFrame:
 
 def mark_distilled(episodes: DataFrame, ids: DataFrame, agent: str) -> DataFrame:
     """Sets a one-way latch on the agent's own episodes among ``ids`` (node_id)."""
-    named = episodes.join(ids.select("node_id", F.lit(True).alias("named")).distinct(), "node_id", "left")
+    named = episodes.join(ids.select("node_id", F.lit(True).alias("__named")).distinct(), "node_id", "left")
     return named.withColumn(
-        "distilled", F.coalesce("distilled", F.lit(False)) | (F.coalesce("named", F.lit(False)) & (F.col("agent_id") == agent))
-    ).drop("named")
+        "distilled", F.coalesce("distilled", F.lit(False)) | (F.coalesce("__named", F.lit(False)) & (F.col("agent_id") == agent))
+    ).drop("__named")
 
 
 def consolidate_episodes(
@@ -195,10 +195,10 @@ def consolidate_episodes(
 
 def compress_consolidated(episodes: DataFrame, consolidated: DataFrame) -> DataFrame:
     """Episodes with those that went into a summary marked as compressed."""
-    used = consolidated.select("agent_id", F.explode("episode_ids").alias("node_id")).withColumn("used", F.lit(True))
+    used = consolidated.select("agent_id", F.explode("episode_ids").alias("node_id")).withColumn("__used", F.lit(True))
     return episodes.join(used, ["agent_id", "node_id"], "left").withColumn(
-        "compressed", F.col("compressed") | F.coalesce("used", F.lit(False))
-    ).drop("used")
+        "compressed", F.col("compressed") | F.coalesce("__used", F.lit(False))
+    ).drop("__used")
 
 
 # -- semantic --------------------------------------------------------------------------------------
@@ -214,16 +214,16 @@ def store_facts(new: DataFrame, episodes: DataFrame, sources: DataFrame, strict:
     error = F.when(
         F.isnan("confidence") | F.col("confidence").isNull() | ~F.col("confidence").between(0.0, 1.0), "confidence out of range"
     ).when(F.trim(F.coalesce("concept", F.lit(""))) == "", "blank concept").when(F.trim(F.coalesce("content", F.lit(""))) == "", "blank content")
-    checked = new.withColumn("error", error)
+    checked = new.withColumn("__error", error)
     known = sources.join(episodes.select(F.col("node_id").alias("episode_id")).distinct(), "episode_id", "left_semi")
     if strict:
         lost = sources.join(
             episodes.select(F.col("node_id").alias("episode_id")), "episode_id", "left_anti"
-        ).select("node_id").distinct().withColumn("lost", F.lit(True))
+        ).select("node_id").distinct().withColumn("__lost", F.lit(True))
         checked = checked.join(lost, "node_id", "left").withColumn(
-            "error", F.coalesce("error", F.when(F.col("lost"), "unknown episode"))
-        ).drop("lost")
-    good = checked.where("error is null").drop("error")
+            "__error", F.coalesce("__error", F.when(F.col("__lost"), "unknown episode"))
+        ).drop("__lost")
+    good = checked.where("__error is null").drop("__error")
     if "importance" in new.columns:
         good = good.withColumn("importance", F.coalesce("importance", "confidence"))
     edges = known.join(good.select("node_id"), "node_id", "left_semi").select(
@@ -231,7 +231,7 @@ def store_facts(new: DataFrame, episodes: DataFrame, sources: DataFrame, strict:
     ).distinct()
     return good.withColumn(
         "content_hash", T.content_hash(F.col("concept"), F.col("content"))
-    ), edges, checked.where("error is not null").select("node_id", "error")
+    ), edges, checked.where("__error is not null").select("node_id", F.col("__error").alias("error"))
 
 
 def all_facts(facts: DataFrame, limit: int = 50) -> DataFrame:
@@ -252,32 +252,32 @@ def record_access(facts: DataFrame, accesses: DataFrame, agent: str | None = Non
 
     A fact of another agent stops the job. Counts are summed before the join.
     """
-    used = accesses.groupBy("node_id").agg(F.count("*").alias("uses"), F.max("accessed_at").alias("at"))
+    used = accesses.groupBy("node_id").agg(F.count("*").alias("__uses"), F.max("accessed_at").alias("__at"))
     joined = facts.join(used, "node_id", "left")
     if agent is not None:
-        foreign = F.col("uses").isNotNull() & (F.col("agent_id") != agent)
+        foreign = F.col("__uses").isNotNull() & (F.col("agent_id") != agent)
         joined = joined.withColumn(
-            "uses", F.when(foreign, F.raise_error(F.concat(F.lit("fact of another agent: "), "node_id"))).otherwise(F.col("uses"))
+            "__uses", F.when(foreign, F.raise_error(F.concat(F.lit("fact of another agent: "), "node_id"))).otherwise(F.col("__uses"))
         )
     return joined.withColumns(
-        {"usage_count": F.coalesce("usage_count", F.lit(0)) + F.coalesce("uses", F.lit(0)), "last_accessed_at": F.greatest("last_accessed_at", "at")}
-    ).drop("uses", "at")
+        {"usage_count": F.coalesce("usage_count", F.lit(0)) + F.coalesce("__uses", F.lit(0)), "last_accessed_at": F.greatest("last_accessed_at", "__at")}
+    ).drop("__uses", "__at")
 
 
 def fold_statuses(prospective: DataFrame, statuses: DataFrame) -> DataFrame:
     """Intentions with the furthest status that was noted (node_id, status): pending, triggered, resolved."""
     rank = F.when(F.col("status") == "resolved", 2).when(F.col("status") == "triggered", 1).otherwise(0)
-    furthest = statuses.groupBy("node_id").agg(F.max(F.struct(rank.alias("rank"), "status")).alias("noted"))
+    furthest = statuses.groupBy("node_id").agg(F.max(F.struct(rank.alias("rank"), "status")).alias("__noted"))
     joined = prospective.join(furthest, "node_id", "left")
-    later = F.col("noted").isNotNull() & (F.col("noted.rank") > rank)
-    return joined.withColumn("status", F.when(later, F.col("noted.status")).otherwise(F.col("status"))).drop("noted").select(*prospective.columns)
+    later = F.col("__noted").isNotNull() & (F.col("__noted.rank") > rank)
+    return joined.withColumn("status", F.when(later, F.col("__noted.status")).otherwise(F.col("status"))).drop("__noted").select(*prospective.columns)
 
 
 def fold_uses(procedures: DataFrame, accesses: DataFrame) -> DataFrame:
     """Procedures with the uses that were noted (node_id) added to their count."""
-    used = accesses.groupBy("node_id").agg(F.count("*").alias("uses"))
+    used = accesses.groupBy("node_id").agg(F.count("*").alias("__uses"))
     joined = procedures.join(used, "node_id", "left")
-    return joined.withColumn("usage_count", F.coalesce("usage_count", F.lit(0)) + F.coalesce("uses", F.lit(0))).select(*procedures.columns)
+    return joined.withColumn("usage_count", F.coalesce("usage_count", F.lit(0)) + F.coalesce("__uses", F.lit(0))).select(*procedures.columns)
 
 
 def link_once(edges: DataFrame, new: DataFrame) -> DataFrame:
@@ -318,8 +318,8 @@ def store_prospective(new: DataFrame) -> DataFrame:
 
 
 def resolve_prospective(prospective: DataFrame, ids: DataFrame) -> DataFrame:
-    done = prospective.join(ids.select("node_id", F.lit(True).alias("done")).distinct(), "node_id", "left")
-    return done.withColumn("status", F.when(F.col("done"), "resolved").otherwise(F.col("status"))).drop("done")
+    done = prospective.join(ids.select("node_id", F.lit(True).alias("__done")).distinct(), "node_id", "left")
+    return done.withColumn("status", F.when(F.col("__done"), "resolved").otherwise(F.col("status"))).drop("__done")
 
 
 def all_prospective(prospective: DataFrame, limit: int = 50) -> DataFrame:

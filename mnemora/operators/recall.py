@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,8 +45,8 @@ def graph_scores(scored: DataFrame, links: DataFrame, max_hops: int) -> DataFram
 
     ``scored``: node_id, agent_id and keyword similarity ``s`` of everything that may be a neighbour;
     ``links``: here, there, edge_type as they may be walked. Neighbours of other agents neither score nor
-    are walked through. Only neighbours that share a word with the query score, so the last hop joins
-    those alone.
+    are walked through. Only neighbours that share a word with the query score; scores walk from them back to the
+    facts, the best two per node and hop, so the work grows with the edges whatever the degree of a hub.
     """
     hops = min(max_hops, vocab.MAX_GRAPH_HOPS)
     own = scored.select("node_id", "agent_id", "s")
@@ -57,19 +57,18 @@ def graph_scores(scored: DataFrame, links: DataFrame, max_hops: int) -> DataFram
     if hops == 1:
         reached = walk.where("s > 0").select(F.col("here").alias("start"), "there", "edge_type", "s", F.lit(1).alias("hop"))
     else:
-        frontier = walk.select(
-            F.col("here").alias("start"), F.col("there").alias("at"), "edge_type", "s"
-        ).groupBy("start", "at").agg(F.min_by(F.struct("edge_type", "s"), "edge_type").alias("e"))
-        reached, seen = None, None
+        # per node the two best ends within so many steps, as one of them may be the node asked about: a hub passes on no more
+        steps, reached = walk.select("here", "there").distinct(), None
+        ends = walk.where("s > 0").select("here", F.col("there").alias("end"), "edge_type", "s")
         for hop in range(1, hops + 1):
-            now_here = frontier.select("start", F.col("at").alias("there"), "e.edge_type", "e.s", F.lit(hop).alias("hop"))
-            reached = now_here if reached is None else reached.unionAll(now_here)
-            visited = frontier.select("start", "at")
-            seen = visited if seen is None else seen.unionAll(visited)
+            once = ends.groupBy("here", "end").agg(F.min("edge_type").alias("edge_type"), F.max("s").alias("s"))
+            order = Window.partitionBy("here").orderBy(F.desc("s"), F.desc("edge_type"), "end")
+            best = materialise(once.withColumn("n", F.row_number().over(order)).where("n <= 2").drop("n"))
+            level = best.select(F.col("here").alias("start"), F.col("end").alias("there"), "edge_type", "s", F.lit(hop).alias("hop"))
+            reached = level if reached is None else reached.unionAll(level)
             if hop < hops:
-                step = frontier.select("start", "at").join(walk, F.col("at") == F.col("here")).where("start <> there")
-                fresh = step.groupBy("start", F.col("there").alias("to")).agg(F.min_by(F.struct("edge_type", "s"), "edge_type").alias("e"))
-                frontier = fresh.withColumnRenamed("to", "at").join(seen, ["start", "at"], "left_anti")
+                passed = best.withColumnRenamed("here", "there")
+                ends = steps.join(passed, "there").where("end <> here").select("here", "end", "edge_type", "s")
     value = F.col("s") / F.col("hop")
     best = reached.where("s > 0").groupBy(F.col("start").alias("node_id")).agg(
         F.max_by(
@@ -234,6 +233,11 @@ def vector_search(facts: DataFrame, query: Sequence[float], limit: int = 10, min
     return scored.where("similarity is not null").orderBy(F.desc("similarity"), "node_id").limit(limit)
 
 
+def read_only(options: RecallOptions) -> RecallOptions:
+    """What a reader who may not write can ask for: at most :data:`vocab.MAX_READ_LIMIT` facts."""
+    return replace(options, limit=min(options.limit, vocab.MAX_READ_LIMIT))
+
+
 def access_updates(hits: DataFrame, now: Column) -> DataFrame:
     """``(node_id, accessed_at)``: the accesses that a recall counts, for ``memory.record_access``."""
     return hits.select("node_id", now.alias("accessed_at"))

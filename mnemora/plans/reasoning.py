@@ -235,6 +235,17 @@ def _(v: Views) -> DataFrame:
     return found.select("node_id", F.round("score", 6).alias("score"))
 
 
+@query("o110_read_plane", f"""WITH {_NEAR} SELECT f.node_id,
+    round({S.jaccard(S.plain("concept || ' ' || content"), S.plain(S.text(ASKED)))} + 0.7 * confidence + 0.5 * importance + 0.4 * pow(2,
+    -{_age('coalesce(last_accessed_at, created_at)')} / 604800.0) + 0.3 * ln(1 + usage_count) + 0.6 * coalesce(g.best, 0), 6) AS score
+    FROM facts f LEFT JOIN g USING (node_id) WHERE NOT archived AND superseded_by IS NULL AND confidence >= 0.1 ORDER BY score DESC, confidence DESC,
+    f.node_id LIMIT 10000""")
+def _(v: Views) -> DataFrame:
+    options = recall.read_only(recall.RecallOptions(limit=1_000_000, min_confidence=0.1))
+    found = recall.recall_facts(v.facts, ASKED, at(), options, v.links, v.episodes)
+    return found.select("node_id", F.round("score", 6).alias("score"))
+
+
 @query("o85_recall_episodes_ranked", f"""WITH t AS (SELECT node_id, agent_id,
     {S.jaccard(S.plain("concept || ' ' || content"), S.plain(S.text(ASKED)))} AS s FROM facts), g AS (SELECT e.node_id, max(s) AS best FROM links l
     JOIN t ON t.node_id = source_id JOIN episodes e ON e.node_id = target_id AND e.agent_id = t.agent_id WHERE edge_type = 'DERIVES_FROM'

@@ -1,7 +1,7 @@
 """Catalog, exchange, graph store, memory types, experiences."""
 
 import pytest
-from mnemora.operators import experiences, federation, graphstore, memory
+from mnemora.operators import experiences, federation, graphstore, hierarchical, memory
 from mnemora.sources import exchange
 from mnemora.sources.catalog import Catalog, MemoryCatalogError, agent_name, identifier
 from pyspark.sql import functions as F
@@ -162,3 +162,28 @@ def test_o101_chains_have_no_limit_and_circles_end(spark):
     edges = spark.createDataFrame([(a, b, "SUPERSEDES", {}) for a, b in pairs], "source_id string, target_id string, edge_type string, properties map<string,string>")
     got = {(r.head_id, r.position, r.node_id) for r in graphstore.chains(edges).collect()}
     assert got == {("n000", i, f"n{i:03d}") for i in range(201)} | {("h", 0, "h"), ("h", 1, "x"), ("h", 2, "y"), ("h", 3, "z")}
+
+
+def test_columns_of_the_caller_stay_whatever_their_names(spark):
+    own = ("tier", "best", "n", "place", "uses", "at", "used", "error", "lost", "named", "done", "noted", "all_steps", "added", "key", "rank", "source_x")
+    extra = lambda df: df.withColumns({c: F.lit(f"my {c}") for c in own if c not in df.columns})
+    kept = lambda df: all(getattr(r, c) == f"my {c}" for r in df.collect() for c in own) and df.count() > 0
+    facts = extra(spark.createDataFrame([("f1", "a", "rivers", "blue water", 0.5, 0, None, "ada")], "node_id string, agent_id string, concept string, content string, confidence double, usage_count long, last_accessed_at timestamp, entity_name string"))
+    episodes = extra(spark.createDataFrame([("e1", "a", "x", False, False, 1)], "node_id string, agent_id string, content string, compressed boolean, distilled boolean, temporal_index long"))
+    ids = spark.createDataFrame([("f1",), ("e1",)], "node_id string")
+    assert kept(hierarchical.retrieve_by_entity(facts, "ada"))
+    assert kept(memory.record_access(facts, ids.withColumn("accessed_at", F.current_timestamp()), "a"))
+    good, _, rejected = memory.store_facts(facts, episodes, ids.limit(0).withColumn("episode_id", F.lit("e1")), strict=True)
+    assert kept(good) and rejected.count() == 0
+    assert kept(memory.mark_distilled(episodes, ids, "a"))
+    assert kept(memory.compress_consolidated(episodes, spark.createDataFrame([("a", ["e1"])], "agent_id string, episode_ids array<string>")))
+    slots = extra(spark.createDataFrame([("w1", "a", "t", 1.0, None)], "node_id string, agent_id string, task_id string, relevance double, created_at timestamp"))
+    assert kept(memory.working_slots(slots))
+    steps = extra(spark.createDataFrame([("p1", "deploy", ["ship"], 0)], "node_id string, name string, steps array<string>, usage_count long"))
+    assert kept(memory.recall_procedures(steps, "ship")[0]) and kept(memory.fold_uses(steps, ids))
+    wishes = extra(spark.createDataFrame([("i1", "pending")], "node_id string, status string"))
+    assert kept(memory.resolve_prospective(wishes, ids)) and kept(memory.fold_statuses(wishes, wishes.select("node_id", F.lit("resolved").alias("status"))))
+    rows = extra(spark.createDataFrame([("x1", "c", "o", 0.5, "success")], "experience_id string, context string, outcome string, confidence double, experience_type string"))
+    assert kept(experiences.store(rows.limit(0), rows)[0])
+    nodes = extra(spark.createDataFrame([("a", "t", {"k": "v"})], "node_id string, node_type string, properties map<string,string>"))
+    assert kept(federation.merge([("here", nodes)]))
