@@ -3,8 +3,8 @@
 A pair reaches the threshold only if its content words overlap enough given what its tags and concept add.
 Under a shared concept word the least overlap is low, without one it is high; each of the two cases joins on
 tokens of a prefix: a fact's tokens, rarest first, up to the length within which two facts of the needed Jaccard
-similarity must meet (Chaudhuri et al. 2006). Where they meet, the pair's own tags and concepts say what it
-needs, and the places of the token in both orders bound what it can still reach. Candidates are then scored exactly.
+similarity must meet (Chaudhuri et al. 2006). Where they meet, the places of the token in both orders bound what
+they can still reach. Candidates are then scored exactly.
 Tokens are compared by 64-bit hash.
 """
 
@@ -18,7 +18,7 @@ from ..functions import vocab
 from ..plans.lineage import materialise
 
 #: So many of the most frequent tokens are put last; which ones they are changes speed, not results.
-FREQUENT = 4096
+FREQUENT = 1024
 
 
 def _hashed(words: Column) -> Column:
@@ -41,29 +41,26 @@ def _ordered(ready: DataFrame) -> DataFrame:
     frequent = seen.orderBy(F.desc("n"), "token").limit(FREQUENT).agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("f"))
     frequent = frequent.select(F.transform("f", lambda x: x["token"]).alias("frequent"))  # one row
     ws = F.concat(F.array_except("w", "frequent"), F.array_intersect("frequent", "w"))
-    return materialise(ready.crossJoin(F.broadcast(frequent)).select("node_id", "agent_id", "fresh", "c", "t", ws.alias("ws")))
+    return materialise(ready.crossJoin(F.broadcast(frequent)).select("node_id", "agent_id", "fresh", "c", ws.alias("ws")))
 
 
 def _prefixes(ordered: DataFrame, least: float) -> DataFrame:
     """Rarest tokens and their places, as many as a partner with Jaccard ``least`` can't all lack."""
     size = F.size("ws")
     prefix = F.slice("ws", 1, F.greatest(size - F.ceil(size * least - 1e-9) + 1, F.lit(0)).cast("int"))
-    return ordered.select("agent_id", "node_id", "fresh", "c", "t", size.alias("size"), F.posexplode(prefix).alias("place", "token"))
+    return ordered.select("agent_id", "node_id", "fresh", "c", size.alias("size"), F.posexplode(prefix).alias("place", "token"))
 
 
-def _meeting(prefixes: DataFrame, key: list[str], threshold: float, shared_concept: bool) -> DataFrame:
-    """Pairs with a fresh fact that meet in a token and can reach the threshold from there."""
-    w, t, c = vocab.SIMILARITY_WEIGHTS
-    side = lambda x: [F.col(k).alias(f"{k}_{x}") for k in ("node_id", "fresh", "size", "place", "t", "c")]
+def _meeting(prefixes: DataFrame, key: list[str], least: float) -> DataFrame:
+    """Pairs with a fresh fact that meet in a token and can reach a Jaccard similarity of ``least`` from there."""
+    side = lambda x: [F.col(k).alias(f"{k}_{x}") for k in ("node_id", "fresh", "size", "place")]
     left, right = prefixes.where("fresh").select(*key, *side("l")), prefixes.select(*key, *side("r"))
-    met = left.join(right, key).where((F.col("node_id_l") < F.col("node_id_r")) | ((F.col("node_id_l") > F.col("node_id_r")) & ~F.col("fresh_r")))
-    concept = T.jaccard(F.col("c_l"), F.col("c_r")) if shared_concept else F.lit(0.0)
-    met = met.withColumn("need", (threshold - t * T.jaccard(F.col("t_l"), F.col("t_r")) - c * concept) / w)
-    # before the first token they share, they share none: after it, no more than the rest of the shorter rest
+    once = (F.col("node_id_l") < F.col("node_id_r")) | ((F.col("node_id_l") > F.col("node_id_r")) & ~F.col("fresh_r"))
+    # before the first token they share, they share none: from it on, no more than the shorter rest
     reach = F.least(F.col("size_l") - F.col("place_l"), F.col("size_r") - F.col("place_r"))
-    overlap = F.col("need") / (1 + F.col("need")) * (F.col("size_l") + F.col("size_r"))
-    fine = (F.least("size_l", "size_r") + 1e-9 >= F.greatest("size_l", "size_r") * F.col("need")) & (reach + 1e-6 >= overlap)
-    return met.where(fine).select(F.least("node_id_l", "node_id_r").alias("a"), F.greatest("node_id_l", "node_id_r").alias("b")).distinct()
+    fine = (F.least("size_l", "size_r") + 1e-9 >= F.greatest("size_l", "size_r") * least) & (reach + 1e-6 >= least / (1 + least) * (F.col("size_l") + F.col("size_r")))
+    met = left.join(right, key).where(once & fine)
+    return met.select(F.least("node_id_l", "node_id_r").alias("a"), F.greatest("node_id_l", "node_id_r").alias("b")).distinct()
 
 
 def candidates(ready: DataFrame, threshold: float) -> DataFrame:
@@ -76,9 +73,9 @@ def candidates(ready: DataFrame, threshold: float) -> DataFrame:
     if near <= 0:
         raise ValueError(f"a threshold of {threshold} needs no common word; it must exceed {t + c}")
     ordered = _ordered(ready)
-    found = _meeting(_prefixes(ordered, near).withColumn("concept_token", F.explode("c")), ["agent_id", "concept_token", "token"], threshold, True)
+    found = _meeting(_prefixes(ordered, near).withColumn("concept_token", F.explode("c")), ["agent_id", "concept_token", "token"], near)
     if far <= 1:
-        found = found.union(_meeting(_prefixes(ordered, far), ["agent_id", "token"], threshold, False)).distinct()
+        found = found.union(_meeting(_prefixes(ordered, far), ["agent_id", "token"], far)).distinct()
     return found
 
 
