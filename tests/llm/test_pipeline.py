@@ -4,10 +4,8 @@ import random
 from collections import Counter
 
 import corpus_pipeline
-import zstandard
 from mnemora.llm import mixing
 from mnemora.llm.packing import PackingPlan
-from mnemora.llm.quality import QualityRules
 
 from . import test_mixing, test_quality, test_simhash
 
@@ -24,14 +22,6 @@ def documents():
     return rows
 
 
-def judged(text):
-    if test_quality.brute(text)[5]:
-        return False
-    rules, raw, pack = QualityRules(), text.encode(), zstandard.ZstdCompressor(level=3).compress
-    pieces = [raw[i : i + 4096] for i in range(0, len(raw), 4096)]
-    return rules.inside(len(raw), len(pack(raw)), rules.bands) and all(rules.inside(len(p), len(pack(p)), rules.chunk_bands) for p in pieces if len(p) >= 2048)
-
-
 def test_stages(spark, tmp_path):
     data = documents()
     docs = spark.createDataFrame(data, DOCS)
@@ -45,7 +35,7 @@ def test_stages(spark, tmp_path):
         found.write.parquet(str(tmp_path / str(k)))
         docs = spark.read.parquet(str(tmp_path / str(k)))
         out[name] = [tuple(r) for r in docs.collect()]
-    good = [r for r in data if judged(r[1])]
+    good = [r for r in data if test_quality.plain_verdict(r[1])]
     assert Counter(map(str, out["quality rules"])) == Counter(map(str, good))
     fps = [test_simhash.brute_fingerprint(r[1]) for r in good]
     at = test_simhash.brute_components(sorted(set(fps)), [(a, b) for a in set(fps) for b in set(fps) if a < b and (a ^ b).bit_count() <= 3])
