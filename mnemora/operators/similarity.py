@@ -1,24 +1,30 @@
-"""Similar pairs of facts without comparing all with all: an inverted index of rare tokens.
+"""Similar pairs of facts without a row for each two facts that share a word.
 
-A pair reaches the threshold only if its content words overlap enough given what its tags and concept add.
-Under a shared concept word the least overlap is low, without one it is high; each of the two cases joins on
+A pair reaches the threshold only if its content words overlap enough given what its tags and concept add. Under a shared
+concept word the least overlap is low, so that nearly all facts of the concept share a frequent word: they are compared
+as blocks in memory (``blockjoin``). Without one the least overlap is high, and facts meet in
 tokens of a prefix: a fact's tokens, rarest first, up to the length within which two facts of the needed Jaccard
 similarity must meet (Chaudhuri et al. 2006). Where they meet, the places of the token in both orders bound what
-they can still reach. Candidates are then scored exactly.
+they can still reach. Candidates are then scored exactly; facts whose tags have no partner take no part.
 Tokens are compared by 64-bit hash.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocab
-from ..plans.lineage import materialise
+from ..plans.lineage import materialise, remove, scratch
+from . import blockjoin
 
 #: So many of the most frequent tokens are put last; which ones they are changes speed, not results.
 FREQUENT = 1024
+#: Facts of a concept word that are sorted together; profiles (tags and concept) up to which those without a partner are left out.
+TOGETHER, PROFILES = 16384, 1024
 
 
 def _hashed(words: Column) -> Column:
@@ -63,35 +69,90 @@ def _meeting(prefixes: DataFrame, key: list[str], least: float) -> DataFrame:
     return met.select(F.least("node_id_l", "node_id_r").alias("a"), F.greatest("node_id_l", "node_id_r").alias("b")).distinct()
 
 
-def candidates(ready: DataFrame, threshold: float) -> DataFrame:
-    """``(a, b)``, a < b by node_id, of one agent, one of them fresh: every pair that can reach ``threshold``.
-
-    Raises where the threshold is so low that pairs without a common content word could reach it.
+def _near(ready: DataFrame, threshold: float, folder: str) -> DataFrame:
+    """``(a, b, score)`` of pairs that share a concept word: rows are written once, as blocks, and compared block by block."""
+    spark = ready.sparkSession
+    weights, size = vocab.SIMILARITY_WEIGHTS, F.size("w")
+    keyed = ready.where(F.col("agent_id").isNotNull()).withColumn("g", F.explode("c"))
+    groups = materialise(keyed.groupBy("agent_id", "g").agg(F.count("*").alias("n")))
+    rows = groups.agg(F.sum("n")).first()[0] or 0
+    large = groups.where(F.col("n") > blockjoin.BLOCK)
+    spread = max(spark.sparkContext.defaultParallelism, -(-rows // TOGETHER))
+    salt = F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64("w"), F.ceil(F.col("n") / TOGETHER)))  # equal facts stay together
+    sized = keyed.where(size > 0).withColumn("w", F.sort_array("w")).join(F.broadcast(large), ["agent_id", "g"], "left").withColumn("salt", salt)
+    dealt = sized.repartition(spread, "agent_id", "g", "salt").sortWithinPartitions("agent_id", "g", "salt", F.desc("fresh"), "t", "c", size, F.xxhash64("w"))
+    written = dealt.select("agent_id", "g", "n", "node_id", "fresh", "t", "c", "w").mapInArrow(partial(blockjoin.cut_blocks, folder), blockjoin.SUMMARY)
+    blocks = materialise(written)
+    side = lambda x: blocks.select("run", *(F.col(k).alias(f"{k}_{x}") for k in ("path", "fresh", "lo", "hi")))
+    least = (threshold - weights[1] - weights[2]) / weights[0]
+    fine = (F.col("hi_l") + 1e-9 >= F.col("lo_r") * least) & (F.col("hi_r") + 1e-9 >= F.col("lo_l") * least)
+    met = side("l").join(side("r"), "run").where((F.col("path_l") <= F.col("path_r")) & (F.col("fresh_l") | F.col("fresh_r")) & fine)
+    met = materialise(met.select("path_l", "path_r"))
+    tasks = max(spark.sparkContext.defaultParallelism, min(-(-met.count() // 4), 4096))
+    dealt = met.repartition(tasks, "path_l", F.pmod(F.xxhash64("path_r"), F.lit(16))).sortWithinPartitions("path_l", "path_r")
+    return dealt.mapInArrow(partial(blockjoin.compare, threshold, weights), blockjoin.PAIRS)
+
+
+def _with_partners(ready: DataFrame, least: float) -> DataFrame | None:
+    """Facts that may be similar to one without a common concept word, by what their tags add; None if there are none.
+
+    Beyond ``PROFILES`` combinations of tags and concept nothing is left out.
     """
+    w, t, _ = vocab.SIMILARITY_WEIGHTS
+    profiles = ready.where("agent_id is not null").select("agent_id", "t", "c").distinct().limit(PROFILES + 1).collect()
+    if len(profiles) > PROFILES:
+        return ready
+    sets = [(p, frozenset(p.t), frozenset(p.c)) for p in profiles]
+    share = lambda x, y: len(x & y) / len(x | y) if x and y else 0.0
+    kept = [p for p, a, c in sets if any(p.agent_id == q.agent_id and not c & d and w + t * share(a, b) >= least - 1e-9 for q, b, d in sets)]
+    if not kept:
+        return None
+    known = ready.sparkSession.createDataFrame(kept, ready.select("agent_id", "t", "c").schema)
+    return ready.join(F.broadcast(known), ["agent_id", "t", "c"], "left_semi")
+
+
+def _scored(ready: DataFrame, threshold: float, folder: str) -> DataFrame:
     w, t, c = vocab.SIMILARITY_WEIGHTS
     near, far = (threshold - t - c) / w, (threshold - t) / w
     if near <= 0:
         raise ValueError(f"a threshold of {threshold} needs no common word; it must exceed {t + c}")
-    ordered = _ordered(ready)
-    found = _meeting(_prefixes(ordered, near).withColumn("concept_token", F.explode("c")), ["agent_id", "concept_token", "token"], near)
-    if far <= 1:
-        found = found.union(_meeting(_prefixes(ordered, far), ["agent_id", "token"], far)).distinct()
-    return found
+    found = _near(ready, threshold, folder)
+    apart = _with_partners(ready, threshold) if far <= 1 else None
+    if apart is None:
+        return found
+    apart = materialise(apart)  # read several times below; texts are tokenised once
+    met = _meeting(_prefixes(_ordered(apart), far), ["agent_id", "token"], far)
+    side = lambda x: apart.select(F.col("node_id").alias(x), F.struct("w", "t", "c").alias(f"{x}_s"))
+    both = met.join(side("a"), "a").join(side("b"), "b").where(~F.arrays_overlap("a_s.c", "b_s.c"))
+    scored = both.select("a", "b", score("a_s", "b_s").alias("score"))
+    return found.unionByName(scored.where(F.col("score") >= threshold - 1e-12))
+
+
+def candidates(ready: DataFrame, threshold: float) -> DataFrame:
+    """``(a, b)``, a < b by node_id, of one agent, one of them fresh: every pair that reaches ``threshold``.
+
+    Raises where the threshold is so low that pairs without a common content word could reach it.
+    """
+    return _scored(ready, threshold, _folder(ready)).select("a", "b")
+
+
+def _folder(df: DataFrame) -> str:
+    return scratch(df.sparkSession, "blocks")
 
 
 def similar_pairs(facts: DataFrame, threshold: float = vocab.LINK_THRESHOLD, new: DataFrame | None = None) -> DataFrame:
     """``(a, b, score)``, a < b: all pairs of an agent's facts with composite similarity of ``threshold`` and more.
 
-    With ``new`` (rows of the same columns that aren't in ``facts``) only pairs that hold one of them: the old
-    facts are met through tokens of the new ones alone, never among themselves. Facts without content words,
-    tags or agent are similar to none; ids must be unique.
+    With ``new`` (rows of the same columns that aren't in ``facts``) only pairs that hold one of them: blocks of
+    old facts are compared with blocks of new ones alone, never among themselves. Facts without content words,
+    tags or agent are similar to none; ids must be unique. The blocks are removed when the pairs are there.
     """
     ready = prepared(facts) if new is None else prepared(facts, fresh=False).unionByName(prepared(new))
-    ready = materialise(ready)  # read several times below; texts are tokenised once
-    side = lambda x: ready.select(F.col("node_id").alias(x), F.struct("w", "t", "c").alias(f"{x}_s"))
-    both = candidates(ready, threshold).join(side("a"), "a").join(side("b"), "b")
-    scored = both.select("a", "b", score("a_s", "b_s").alias("score"))
-    return scored.where(F.col("score") >= threshold - 1e-12)
+    folder = _folder(ready)
+    try:
+        return materialise(_scored(ready, threshold, folder))
+    finally:
+        remove(ready.sparkSession, folder)
 
 
 def unlinked(pairs: DataFrame, edges: DataFrame) -> DataFrame:
