@@ -191,6 +191,29 @@ def distances(reached: DataFrame) -> DataFrame:
     return reached.groupBy("start_id", F.col("to_id").alias("node_id")).agg(F.min("hops").alias("hops"))
 
 
+def distances_from(
+    nodes: DataFrame, edges: DataFrame, starts: DataFrame, edge_types: Sequence[str] | None = None, max_hops: int = 3, direction: str = "outgoing",
+    expand: Column | None = None
+) -> DataFrame:
+    """:func:`distances` of :func:`traverse`, without a row for each edge that each start crosses.
+
+    From its first step on a walk depends on the node entered alone. So walks begin at the distinct neighbours, starts
+    with the same neighbours share what these reach, and only the result has a row per start and node.
+    """
+    ids = starts.select(F.col("node_id").alias("start_id")).distinct()
+    first = traverse(nodes, edges, ids.withColumnRenamed("start_id", "node_id"), edge_types, 1, direction, expand)
+    kin = materialise(first.groupBy("start_id").agg(F.array_sort(F.collect_set("to_id")).alias("kin")))
+    classes = kin.select("kin").distinct().select("kin", F.explode("kin").alias("node_id"))
+    entries = classes.select("node_id").distinct()
+    entered = entries.select(F.col("node_id").alias("entry"), "node_id", F.lit(1).alias("hops"))
+    if max_hops > 1:
+        further = distances(traverse(nodes, edges, entries, edge_types, max_hops - 1, direction, expand))
+        entered = entered.unionAll(further.select(F.col("start_id").alias("entry"), "node_id", F.col("hops") + 1))
+    reached = classes.withColumnRenamed("node_id", "entry").join(entered, "entry").groupBy("kin", "node_id").agg(F.min("hops").alias("hops"))
+    spread = kin.repartition(kin.sparkSession.sparkContext.defaultParallelism * 4, "start_id")
+    return spread.join(reached, "kin").select("start_id", "node_id", "hops")
+
+
 def chains(edges: DataFrame, edge_type: str = "SUPERSEDES") -> DataFrame:
     """``(head_id, position, node_id, reason)``: from every node that nothing supersedes, newest to oldest.
 
