@@ -334,7 +334,7 @@ def check_triggers(prospective: DataFrame, contents: DataFrame, mode: str = "wor
     """``(node_id, priority, content_id)``: pending intentions that a content (content_id, content) triggers.
 
     ``word`` joins on whole words; ``substring`` also takes words inside others, by looking up every
-    piece of a content word that is as long as a trigger word. Both are equi-joins. The caller marks the
+    piece of a content word that is as long as a trigger word, once for each distinct word. Both are equi-joins. The caller marks the
     intentions as triggered.
     """
     pending = prospective.where(F.col("status") == "pending").select(
@@ -345,15 +345,17 @@ def check_triggers(prospective: DataFrame, contents: DataFrame, mode: str = "wor
         found = pending.join(said, F.col("word") == F.col("said"))
     elif mode == "substring":
         sizes = pending.agg(F.min(F.length("word")).alias("lo"), F.max(F.length("word")).alias("hi"))  # one row
-        pieces = said.distinct().crossJoin(F.broadcast(sizes)).where(F.length("said") >= F.col("lo"))
-        pieces = pieces.select("content_id", "said", F.explode(F.sequence("lo", F.least("hi", F.length("said")))).alias("size"))
+        pieces = said.select("said").distinct().crossJoin(F.broadcast(sizes)).where(F.length("said") >= F.col("lo"))
+        pieces = pieces.select("said", F.explode(F.sequence("lo", F.least("hi", F.length("said")))).alias("size"))
         pieces = pieces.select(
-            "content_id",
+            "said",
             F.explode(
                 F.transform(F.sequence(F.lit(1), F.length("said") - F.col("size") + 1), lambda i: F.substring(F.col("said"), i, F.col("size")))
             ).alias("word")
-        ).distinct()
-        found = pending.join(pieces, "word")
+        )
+        inside = pieces.join(pending.select("word").distinct(), "word").distinct()
+        # a content's words become its trigger words before they meet the intentions
+        found = pending.join(said.join(inside, "said").select("content_id", "word").distinct(), "word")
     else:
         raise ValueError(f"unknown mode: {mode!r}")
     return found.select("node_id", "priority", "content_id").distinct()
