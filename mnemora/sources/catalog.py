@@ -108,11 +108,16 @@ class Catalog:
                 rows.write.parquet(aside)
                 self.check_quota(self._bytes(aside))
                 staged = self.spark.read.schema(rows.schema).parquet(aside)
-                staged.write.mode("append").partitionBy(*tenant).parquet(self._path(table))
+                self._gathered(staged, tenant).write.mode("append").partitionBy(*tenant).parquet(self._path(table))
             finally:
                 self._delete(aside)
         else:
-            rows.write.mode(mode).partitionBy(*tenant).parquet(self._path(table))
+            self._gathered(rows, tenant).write.mode(mode).partitionBy(*tenant).parquet(self._path(table))
+
+    @staticmethod
+    def _gathered(rows: DataFrame, tenant: Sequence[str]) -> DataFrame:
+        """A tenant's rows together, so that a write makes a file per tenant and not per task and tenant; large tenants are split."""
+        return rows.hint("rebalance", *tenant) if tenant else rows
 
     def replace(self, table: str, rows: DataFrame) -> None:
         """Puts ``rows`` in place of this agent's part of a table, also where none is left; other agents' rows stay.
