@@ -2,13 +2,15 @@
 
 Where the least Jaccard similarity is low (0.2 under a shared concept), nearly every two texts of a language meet in
 some token, so a join on tokens makes more rows than there are pairs. Here a group's rows are written once, as blocks of
-sorted hashes, to the folder that all machines share; a task compares two blocks in memory. Overlaps are exact: frequent
-tokens by a product of matrices, the others through an index of one block. Equal rows are one class. Disk grows with the
-rows, memory with a block; the time of a group grows with the square of its classes.
+numbered tokens, to the folder that all machines share; a task compares two blocks in memory, in chunks of rows of one
+profile and of like lengths. A product of two matrices bounds every overlap of two chunks from above; what can still reach
+the threshold is counted exactly. Equal rows are one class. Disk grows with the rows, memory with a block; the time of a
+group grows with the square of its classes, by some ten nanoseconds a pair.
 """
 
 from __future__ import annotations
 
+import math
 import pickle
 import uuid
 from collections.abc import Iterator
@@ -19,7 +21,11 @@ import pyarrow as pa
 from pyarrow import fs
 
 #: Classes a block holds at most, and its tokens; rows compared at once; tokens of the matrix; meetings counted at once.
-BLOCK, TOKENS, ROWS, DENSE, MEETINGS = 2048, 1 << 22, 512, 4096, 1 << 22
+BLOCK, TOKENS, ROWS, DENSE, MEETINGS = 4096, 1 << 22, 512, 4096, 1 << 18
+#: Columns of a bound's matrix, powers of two; rows of a profile that make a chunk of their own; bytes of marks at once.
+COLUMNS, ALONE, MARKS = (64, 16384), 64, 1 << 24
+#: Nanoseconds of a pair per column and of an exact count per token; how far pairs are from the mean of overlaps, and of bounds.
+MULTIPLY, COUNT, UNLIKE = 0.02, 10, (0.4, 0.15)
 #: A token that more than this share of a block's classes hold goes to the matrix.
 SHARE = 0.05
 SUMMARY = "run string, path string, fresh boolean, lo int, hi int"
@@ -97,8 +103,9 @@ class Index:
 
 @dataclass
 class Block:
-    """Classes of equal facts of one group (or of several small ones), shortest first within a group."""
+    """Classes of equal facts of one group (or of several small ones), by profile and size within a group."""
 
+    tokens: np.ndarray  # sorted; w holds places in it
     w: Sets
     t: Sets  # of profiles
     c: Sets
@@ -107,16 +114,21 @@ class Block:
     ids: list[list[str]]
     groups: list[tuple[int, int, int]]  # group's concept token, first class, end
 
+    def __post_init__(self):
+        self.column = ((self.tokens.view(np.uint64) >> np.uint64(11)) & np.uint64(COLUMNS[1] - 1)).astype(np.int32)  # of each token
+
     @classmethod
     def of(cls, groups: list[tuple[int, list[tuple]]]) -> Block:
         profiles: dict[tuple, int] = {}
         rows, bounds = [], []
         for token, classes in groups:
             bounds.append((token, len(rows), len(rows) + len(classes)))
-            rows += sorted(classes, key=lambda x: len(x[0]))
-        of = [profiles.setdefault((t, c), len(profiles)) for _, t, c, _, _ in rows]
+            rows += sorted(classes, key=lambda x: (profiles.setdefault((x[1], x[2]), len(profiles)), len(x[0])))
+        of = [profiles[t, c] for _, t, c, _, _ in rows]
+        w = Sets.of([r[0] for r in rows])
+        tokens, places = np.unique(w.flat, return_inverse=True)
         return cls(
-            Sets.of([r[0] for r in rows]), Sets.of([np.array(t, np.int64) for t, _ in profiles]),
+            tokens, Sets(places.astype(np.int32), w.at), Sets.of([np.array(t, np.int64) for t, _ in profiles]),
             Sets.of([np.array(c, np.int64) for _, c in profiles]), np.array(of, np.int64), np.array([r[3] for r in rows], bool),
             [r[4] for r in rows], bounds,
         )
@@ -149,6 +161,8 @@ def cut_blocks(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
         for i in range(batch.num_rows):
             group = (plain["agent_id"][i], plain["g"][i], plain["n"][i])
             w = flat[at[i] : at[i + 1]]
+            if not len(w):
+                continue
             own = (tuple(plain["t"][i]), tuple(plain["c"][i]), plain["fresh"][i])
             if group == here and classes and classes[-1][1:4] == own and np.array_equal(classes[-1][0], w):
                 classes[-1][4].append(plain["node_id"][i])
@@ -182,31 +196,115 @@ def _base(x: Block, y: Block) -> tuple[np.ndarray, np.ndarray]:
     return each(x.t, y.t), each(x.c, y.c)
 
 
-def similar_classes(x: Block, y: Block, xs: tuple[int, int], ys: tuple[int, int], base: tuple, threshold: float, weights: tuple) -> Iterator[tuple[int, int, float]]:
-    """``(i, j, score)`` of classes i of ``x`` and j of ``y`` in the given ranges; of one range with itself each pair once."""
+class Chunk:
+    """Rows ``lo`` to ``hi`` of a block, which are compared at once."""
+
+    def __init__(self, block: Block, lo: int, hi: int):
+        self.block, self.lo, self.hi = block, lo, hi
+        self.sizes, self.profile, self.fresh = block.w.sizes[lo:hi], block.profile[lo:hi], block.fresh[lo:hi]
+        self.least, self.most, self.mean = int(self.sizes.min()), int(self.sizes.max()), float(self.sizes.mean())
+        self.known, self._roots = np.unique(self.profile), {}
+        self.column = block.column[block.w.flat[block.w.at[lo] : block.w.at[hi]]]
+        counts, self.loads = np.bincount(self.column, minlength=COLUMNS[1]) / (hi - lo), {}
+        for k in range(COLUMNS[1].bit_length() - 1, COLUMNS[0].bit_length() - 2, -1):
+            self.loads[1 << k] = (counts / np.sqrt(1 + counts)).astype(np.float32)  # about the mean of the roots
+            counts = counts[: len(counts) // 2] + counts[len(counts) // 2 :]
+
+    def roots(self, columns: int) -> np.ndarray:
+        """Square roots of how many tokens of a row fall in each column."""
+        if columns not in self._roots:
+            cell = np.repeat(np.arange(self.hi - self.lo, dtype=np.int32) * np.int32(columns), self.sizes) + (self.column & np.int32(columns - 1))
+            counts = np.bincount(cell, minlength=(self.hi - self.lo) * columns).astype(np.float32)
+            self._roots[columns] = np.sqrt(counts, out=counts).reshape(-1, columns)
+        return self._roots[columns]
+
+
+def chunks(x: Block, lo: int, hi: int) -> list[Chunk]:
+    """Rows ``lo`` to ``hi`` in chunks of one profile each; of profiles with few rows several together."""
+    ends = [lo + 1 + int(k) for k in np.flatnonzero(np.diff(x.profile[lo:hi]))] + [hi]
+    cuts, at, sizes = [lo], lo, x.w.sizes[lo:hi]
+    for end in ends:
+        if end - at >= ALONE:
+            cuts.append(at)
+            while at < end:  # rows are sorted by size: none of a chunk is half as long again as its first, if it holds enough
+                like = int(np.searchsorted(sizes[at - lo : end - lo], sizes[at - lo] * 1.5, side="right"))
+                at = min(at + min(max(like, ALONE), ROWS), end)
+                cuts.append(at)
+        elif end - cuts[-1] >= ROWS:
+            cuts.append(end)
+        at = end
+    cuts = sorted({*cuts, hi})
+    return [Chunk(x, m, n) for m, n in zip(cuts, cuts[1:], strict=False)]
+
+
+def _columns(a: Chunk, b: Chunk, share: float) -> int:
+    """Columns for which the product and the exact counts it leaves should take the least time together, by the mean of the bound."""
+    needed, best = share * (a.mean + b.mean), (float("inf"), 0)
+    columns, shared = COLUMNS[0], float(a.loads[COLUMNS[1]] @ b.loads[COLUMNS[1]])
+    while columns <= COLUMNS[1] and columns * MULTIPLY < best[0]:
+        met = float(a.loads[columns] @ b.loads[columns])
+        spread = (met + (UNLIKE[0] * shared) ** 2 + (UNLIKE[1] * met) ** 2 + 1e-9) ** 0.5
+        left = math.erfc((needed - met) / spread / 2**0.5) / 2
+        best = min(best, (columns * MULTIPLY + left * b.mean * COUNT, columns))
+        columns *= 2
+    return best[1]
+
+
+def exact_overlaps(x: Block, i: np.ndarray, y: Block, j: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Tokens that class ``i`` of ``x`` shares with class ``j`` of ``y``, for each pair; ``i`` ascends, ``places`` are x's tokens in ``y``."""
+    out, width = np.zeros(len(i), np.int64), len(y.tokens) + 1  # the last place: not in y
+    sizes, first = y.w.sizes[j], y.w.at[j]
+    ends, tall, lo = np.cumsum(sizes), max(MARKS // width, 1), 0
+    while lo < len(i):
+        hi = max(int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + MEETINGS)), lo + 1)
+        hi = min(hi, lo + int(np.searchsorted(np.cumsum(np.diff(i[lo:hi], prepend=i[lo]) > 0), tall)))
+        rows, row = np.unique(i[lo:hi], return_inverse=True)
+        mark = np.zeros((len(rows), width), np.uint8)
+        for k, r in enumerate(rows):
+            mark[k, places[x.w[r]]] = 1
+        mark[:, -1] = 0
+        n = sizes[lo:hi]
+        cell = np.repeat(first[lo:hi] - (np.cumsum(n) - n), n)
+        cell += np.arange(len(cell))
+        cell = np.repeat((row * width).astype(np.int32), n) + y.w.flat[cell]
+        hits = np.flatnonzero(mark.ravel()[cell])
+        out[lo:hi] = np.bincount(np.searchsorted(np.cumsum(n), hits, side="right"), minlength=hi - lo)
+        lo = hi
+    return out
+
+
+def _places(x: Block, y: Block) -> np.ndarray:
+    k = np.minimum(np.searchsorted(y.tokens, x.tokens), len(y.tokens) - 1)
+    return np.where(y.tokens[k] == x.tokens, k, len(y.tokens))
+
+
+def similar_classes(x: Block, y: Block, left: list[Chunk], right: list[Chunk], base: tuple, places: np.ndarray, threshold: float, weights: tuple) -> Iterator[tuple[int, int, float]]:
+    """``(i, j, score)`` of classes i of ``x`` and j of ``y`` in the given chunks; of one list with itself each pair once."""
     wt, tt, ct = weights
-    same = x is y and xs == ys
-    if same and xs[1] - xs[0] < 2:
-        return
-    index: Index | None = None
-    right, pb, fb = y.w.part(*ys), y.profile[ys[0] : ys[1]], y.fresh[ys[0] : ys[1]]
-    known = np.unique(pb)
-    for i in range(*xs, ROWS):
-        p = (i, min(i + ROWS, xs[1]))
-        left, pl, fl = x.w.part(*p), x.profile[p[0] : p[1]], x.fresh[p[0] : p[1]]
-        best = np.ix_(np.unique(pl), known)
-        need = (threshold - (tt * base[0][best] + ct * base[1][best]).max()) / wt
-        a, b = left.sizes, right.sizes
-        if need > 1 + 1e-9 or not (fl.any() or fb.any()) or a.max() < b.min() * need - 1e-9 or b.max() < a.min() * need - 1e-9:
-            continue
-        index = index or Index(right)
-        t, c = (m[pl[:, None], pb[None, :]] for m in base)
-        score = jaccard(index.overlaps(left), a[:, None], b[None, :]) * wt + t * tt + c * ct
-        keep = (score >= threshold - 1e-12) & (fl[:, None] | fb[None, :])
-        if same:
-            keep &= np.arange(*p)[:, None] < np.arange(*ys)[None, :]
-        m, n = np.nonzero(keep)
-        yield from zip((m + p[0]).tolist(), (n + ys[0]).tolist(), score[m, n].tolist(), strict=True)
+    for a in left:
+        for b in right:
+            if left is right and b.lo < a.lo or not (a.fresh.any() or b.fresh.any()):
+                continue
+            best = np.ix_(a.known, b.known)
+            need = (threshold - (tt * base[0][best] + ct * base[1][best]).max()) / wt - 1e-9
+            if need > 1 or a.most < b.least * need or b.most < a.least * need:
+                continue
+            # a shared token is in one column on both sides, and min(m, n) <= sqrt(m * n); single precision is off by less than a thousandth
+            share = need / (1 + need)
+            columns, enough = _columns(a, b, share), np.float32(share * 0.999)
+            bound = a.roots(columns) @ b.roots(columns).T
+            i, j = np.nonzero(bound >= (enough * a.sizes.astype(np.float32) - np.float32(1e-3))[:, None] + (enough * b.sizes.astype(np.float32))[None, :])
+            m, n = a.sizes[i], b.sizes[j]
+            fine = (np.minimum(m, n) >= np.maximum(m, n) * need) & (a.fresh[i] | b.fresh[j])
+            if a is b:
+                fine &= i < j
+            i, j, m, n = i[fine], j[fine], m[fine], n[fine]
+            if not len(i):
+                continue
+            shared, p, q = exact_overlaps(x, i + a.lo, y, j + b.lo, places), a.profile[i], b.profile[j]
+            score = jaccard(shared, m, n) * wt + base[0][p, q] * tt + base[1][p, q] * ct
+            keep = score >= threshold - 1e-12
+            yield from zip((i[keep] + a.lo).tolist(), (j[keep] + b.lo).tolist(), score[keep].tolist(), strict=True)
 
 
 def compare(threshold: float, weights: tuple[float, float, float], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,9 +321,10 @@ def compare(threshold: float, weights: tuple[float, float, float], batches: Iter
         return len(a) == 1 or len(b) == 1 or int(np.intersect1d(a, b)[0]) == token
 
     def pairs(x: Block, y: Block) -> Iterator[tuple[str, str, float]]:
-        base = _base(x, y)
-        for (token, lo, hi), (_, ylo, yhi) in zip(x.groups, y.groups, strict=True):
-            for i, j, score in similar_classes(x, y, (lo, hi), (ylo, yhi), base, threshold, weights):
+        base, places = _base(x, y), _places(x, y)
+        for g, (token, lo, hi) in enumerate(x.groups):
+            mine = at_once(x, g)
+            for i, j, score in similar_classes(x, y, mine, mine if x is y else at_once(y, g), base, places, threshold, weights):
                 if once(x, i, y, j, token):
                     for m in x.ids[i]:
                         for n in y.ids[j]:
@@ -240,6 +339,15 @@ def compare(threshold: float, weights: tuple[float, float, float], batches: Iter
                             for n in ids[k + 1 :]:
                                 yield m, n, score
 
+    cut: dict[int, list[Chunk]] = {}  # of the left block: its matrices serve all right ones
+
+    def at_once(x: Block, g: int) -> list[Chunk]:
+        if x is not left:
+            return chunks(x, *x.groups[g][1:])
+        if g not in cut:
+            cut[g] = chunks(x, *x.groups[g][1:])
+        return cut[g]
+
     def shaped(rows: list[tuple[str, str, float]]) -> pa.RecordBatch:
         a, b, score = zip(*rows, strict=True) if rows else ((), (), ())
         return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(score, pa.float64())], names=["a", "b", "score"])
@@ -249,6 +357,7 @@ def compare(threshold: float, weights: tuple[float, float, float], batches: Iter
         for l_path, r_path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if l_path != at:
                 at, left = l_path, load(l_path)
+                cut.clear()
             rows = []
             for row in pairs(left, left if l_path == r_path else load(r_path)):
                 rows.append(row)

@@ -33,8 +33,8 @@ def _hashed(words: Column) -> Column:
 
 def prepared(facts: DataFrame, fresh: bool = True) -> DataFrame:
     """``node_id, agent_id, concept, w, t, c, fresh``: token sets of content, tags and concept, as hashes."""
-    sets = {"w": T.tokens(F.col("content")), "t": T.tag_set(F.col("tags")), "c": T.tokens(F.col("concept"))}
-    return facts.select("node_id", "agent_id", "concept", *(_hashed(x).alias(k) for k, x in sets.items()), F.lit(fresh).alias("fresh"))
+    sets = {"w": T.token_hashes(F.col("content")), "t": _hashed(T.tag_set(F.col("tags"))), "c": T.token_hashes(F.col("concept"))}
+    return facts.select("node_id", "agent_id", "concept", *(x.alias(k) for k, x in sets.items()), F.lit(fresh).alias("fresh"))
 
 
 def score(a: str = "a", b: str = "b") -> Column:
@@ -79,7 +79,8 @@ def _near(ready: DataFrame, threshold: float, folder: str) -> DataFrame:
     large = groups.where(F.col("n") > blockjoin.BLOCK)
     spread = max(spark.sparkContext.defaultParallelism, -(-rows // TOGETHER))
     salt = F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64("w"), F.ceil(F.col("n") / TOGETHER)))  # equal facts stay together
-    sized = keyed.where(size > 0).withColumn("w", F.sort_array("w")).join(F.broadcast(large), ["agent_id", "g"], "left").withColumn("salt", salt)
+    # facts without words are left out where blocks are cut: a filter here would move below the sets and work them out twice
+    sized = keyed.withColumn("w", F.sort_array("w")).join(F.broadcast(large), ["agent_id", "g"], "left").withColumn("salt", salt)
     dealt = sized.repartition(spread, "agent_id", "g", "salt").sortWithinPartitions("agent_id", "g", "salt", F.desc("fresh"), "t", "c", size, F.xxhash64("w"))
     written = dealt.select("agent_id", "g", "n", "node_id", "fresh", "t", "c", "w").mapInArrow(partial(blockjoin.cut_blocks, folder), blockjoin.SUMMARY)
     blocks = materialise(written)
@@ -89,7 +90,7 @@ def _near(ready: DataFrame, threshold: float, folder: str) -> DataFrame:
     met = side("l").join(side("r"), "run").where((F.col("path_l") <= F.col("path_r")) & (F.col("fresh_l") | F.col("fresh_r")) & fine)
     met = materialise(met.select("path_l", "path_r"))
     tasks = max(spark.sparkContext.defaultParallelism, min(-(-met.count() // 4), 4096))
-    dealt = met.repartition(tasks, "path_l", F.pmod(F.xxhash64("path_r"), F.lit(16))).sortWithinPartitions("path_l", "path_r")
+    dealt = met.repartitionByRange(tasks, "path_l", "path_r").sortWithinPartitions("path_l", "path_r")  # even shares; a left block stays
     return dealt.mapInArrow(partial(blockjoin.compare, threshold, weights), blockjoin.PAIRS)
 
 
